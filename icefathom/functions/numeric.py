@@ -12,11 +12,25 @@ def fixed(value: Column, digits: int = 3) -> Column:
     return F.floor(value * unit + 0.5) / unit
 
 
+# Fixed value: cell of rows without a position.
+NO_CELL = -(2**40)
+
+
 def cell_index(value: Column, size: float) -> Column:
     """Index of the grid cell a coordinate falls in."""
     return F.floor(value / F.lit(float(size))).cast("bigint")
 
 
+def join_cell(value: Column, size: Column | float) -> Column:
+    """Cell index used as a join key, never null.
+
+    A nullable key makes the optimizer push a null test below the projection
+    and evaluate the whole coordinate formula again there; drop rows without
+    a position before the join instead.
+    """
+    return F.coalesce(F.floor(value / size).cast("bigint"), F.lit(NO_CELL))
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     """Value cut to [low, high]; null stays null."""
     return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))

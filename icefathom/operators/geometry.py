@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icefathom.functions import geo
-from icefathom.functions.numeric import cell_index
+from icefathom.functions.numeric import cell_index, join_cell
 from icefathom.operators import segments as sg
 
 
@@ -169,10 +169,10 @@ def land_mask(points: DataFrame, edges: DataFrame, key: str, band_m: float = 50_
     """
     y_low, y_high = F.least("y1", "y2"), F.greatest("y1", "y2")
     banded = edges.filter(F.col("y1") != F.col("y2")).select(
-        F.explode(F.sequence(cell_index(y_low, band_m), cell_index(y_high, band_m))).alias("_band"),
+        F.explode(F.sequence(join_cell(y_low, band_m), join_cell(y_high, band_m))).alias("_band"),
         "x1", "y1", "x2", "y2",
     )
-    probe = points.select(key, "x", "y", cell_index(F.col("y"), band_m).alias("_band"))
+    probe = points.select(key, "x", "y", join_cell(F.col("y"), band_m).alias("_band"))
     x_cross = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     crossed = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < x_cross)
     odd = (

@@ -1,4 +1,13 @@
-"""Exact nearest neighbours between two tables by equi-joins only."""
+"""Exact nearest neighbours between two tables by equi-joins only.
+
+Targets are summarised into a pyramid of nested boxes over the globe's
+straight-line coordinates, points into cells; both keep the tight bounding box
+of what they hold. Cells walk down the pyramid: at every level a cell keeps
+the boxes that can still hold one of its k nearest targets, because they are
+no farther than what the k-th best box guarantees. Only points and targets of
+the leaf boxes left over are compared. Straight-line distance orders targets
+as the great circle does, so pole and date line need no care.
+"""
 
 from __future__ import annotations
 
@@ -7,123 +16,139 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from icefathom.functions import geo
+from icefathom.functions.numeric import join_cell
+from icefathom.session import ensure_checkpoint_dir
 
-# Cells at the coarsest level are wider than the globe, so a block of three by
-# three there holds every target.
-GLOBE_KM = 2 * geo.EARTH_RADIUS_KM
+FAN = 4
+BOX = ["_bx", "_by", "_bz"]
+SLACK_KM = 1e-6
 
 
-def nearest(
-    points: DataFrame, targets: DataFrame, k: int, point_id: str, target_id: str,
-    cell_km: float = 25.0, prefix: str = "t_",
-) -> DataFrame:
-    """``k`` nearest targets of each point with ``dist_km`` and ``rank``.
+def _with_xyz(df: DataFrame, lat: str, lon: str, mark: str) -> DataFrame:
+    a, o = F.col(lat), F.col(lon)
+    return df.withColumns(
+        {f"{mark}x": geo.unit_x(a, o), f"{mark}y": geo.unit_y(a, o), f"{mark}z": geo.unit_z(a)}
+    )
 
-    Ties go to the lowest target id. Points are summarised into cells (a
-    bounding box each); only cells search for targets. With ``d`` the k-th
-    smallest straight-line distance from the box centre and ``r`` its half
-    diagonal, every wanted target of any point in the cell lies within
-    ``d + 2r`` of the centre. Points then meet just their cell's short list.
-    """
-    side = float(cell_km)
+
+def _hull(mark: str) -> list[Column]:
+    return [f(f"{mark}{c}").alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "_lo"), (F.max, "_hi"))]
+
+
+def _levels(side: float) -> int:
     levels = 1
-    while side * 2 ** (levels - 1) < GLOBE_KM:
+    while side * FAN ** (levels - 1) < geo.EARTH_RADIUS_KM + 1:
         levels += 1
+    return levels
+
 
-    def at_level(coordinate: Column, level: Column) -> Column:
-        return F.floor(coordinate / (F.lit(side) * F.pow(F.lit(2.0), level))).cast("bigint")
-
-    placed = points.withColumns(
-        {
-            "_px": geo.unit_x(F.col("lat"), F.col("lon")),
-            "_py": geo.unit_y(F.col("lat"), F.col("lon")),
-            "_pz": geo.unit_z(F.col("lat")),
-        }
-    ).withColumns(
-        {
-            "_cell": F.struct(
-                F.floor(F.col("_px") / side).alias("i"),
-                F.floor(F.col("_py") / side).alias("j"),
-                F.floor(F.col("_pz") / side).alias("k"),
-            )
-        }
+def _pyramid(goals: DataFrame, levels: int) -> DataFrame:
+    """Boxes of every level with their parent, hull and target count."""
+    leaves = goals.groupBy(*BOX).agg(*_hull("_t"), F.count(F.lit(1)).alias("_n"))
+    hull = [f"{n}{c}" for c in "xyz" for n in ("_lo", "_hi")]
+    scale = F.pow(F.lit(float(FAN)), F.col("_lv"))
+    at_levels = leaves.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    nested = at_levels.select(
+        "_lv", *[F.floor(F.col(b) / scale).alias(b) for b in BOX], *hull, "_n"
     )
-    lows_highs = [f(f"_p{c}").alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "_lo"), (F.max, "_hi"))]
-    boxes = placed.groupBy("_cell").agg(*lows_highs).select(
+    merged = nested.groupBy("_lv", *BOX).agg(
+        *[(F.min if n == "_lo" else F.max)(f"{n}{c}").alias(f"{n}{c}") for c in "xyz" for n in ("_lo", "_hi")],
+        F.sum("_n").alias("_n"),
+    )
+    return merged.select("*", *[F.floor(F.col(b) / FAN).alias(f"_p{b}") for b in BOX])
+
+
+def _gap(c: str) -> Column:
+    """Distance along one axis from the cell centre to a box (0 inside)."""
+    zero = F.lit(0.0)
+    return F.greatest(zero, F.col(f"_lo{c}") - F.col(f"_c{c}"), F.col(f"_c{c}") - F.col(f"_hi{c}"))
+
+
+def _far(c: str) -> Column:
+    return F.greatest(F.abs(F.col(f"_lo{c}") - F.col(f"_c{c}")), F.abs(F.col(f"_hi{c}") - F.col(f"_c{c}")))
+
+
+def _length(parts: list[Column]) -> Column:
+    return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
+
+
+def _leaf_lists(placed: DataFrame, pyramid: DataFrame, levels: int, k: int) -> DataFrame:
+    """Per cell the leaf boxes that may hold a wanted target.
+
+    ``_low`` is a lower bound of the distance from any point of the cell to
+    the box, ``_sure`` an upper bound of the k-th best distance of any of
+    its points.
+    """
+    cells = placed.groupBy("_cell").agg(*_hull("_p")).select(
         "_cell",
         *[((F.col(f"_lo{c}") + F.col(f"_hi{c}")) / 2).alias(f"_c{c}") for c in "xyz"],
-        (
-            F.sqrt(sum((F.col(f"_hi{c}") - F.col(f"_lo{c}")) * (F.col(f"_hi{c}") - F.col(f"_lo{c}")) for c in "xyz")) / 2
-        ).alias("_r"),
-    )
-    goals = targets.select(*[F.col(c).alias(f"{prefix}{c}") for c in targets.columns]).withColumns(
-        {
-            "_tx": geo.unit_x(F.col(f"{prefix}lat"), F.col(f"{prefix}lon")),
-            "_ty": geo.unit_y(F.col(f"{prefix}lat"), F.col(f"{prefix}lon")),
-            "_tz": geo.unit_z(F.col(f"{prefix}lat")),
-        }
+        (_length([F.col(f"_hi{c}") - F.col(f"_lo{c}") for c in "xyz"]) / 2).alias("_r"),
     )
-    filed = goals.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumns(
-        {"_i": at_level(F.col("_tx"), F.col("_lv")), "_j": at_level(F.col("_ty"), F.col("_lv"))}
-    )
-    steps = F.sequence(F.lit(-1), F.lit(1))
-
-    def blocks(cells: DataFrame) -> DataFrame:
-        return (
-            cells.withColumn("_di", F.explode(steps))
-            .withColumn("_dj", F.explode(steps))
-            .withColumns(
-                {
-                    "_i": at_level(F.col("_cx"), F.col("_lv")) + F.col("_di"),
-                    "_j": at_level(F.col("_cy"), F.col("_lv")) + F.col("_dj"),
-                }
-            )
-            .drop("_di", "_dj")
+    cell = ["_cell", "_cx", "_cy", "_cz", "_r"]
+    halves = F.array(F.lit(-1).cast("bigint"), F.lit(0).cast("bigint"))
+    front = cells
+    for b in BOX:
+        front = front.withColumn(f"_p{b}", F.explode(halves))
+    top = pyramid.filter(F.col("_lv") == levels - 1).drop(*[f"_p{b}" for b in BOX])
+    front = front.select(*cell, *[F.col(f"_p{b}").alias(b) for b in BOX]).join(top, BOX)
+    for level in range(levels - 1, -1, -1):
+        if level < levels - 1:
+            children = pyramid.filter(F.col("_lv") == level)
+            parents = front.select(*cell, *[F.col(b).alias(f"_p{b}") for b in BOX])
+            front = parents.join(children, [f"_p{b}" for b in BOX])
+        near, far = _length([_gap(c) for c in "xyz"]), _length([_far(c) for c in "xyz"])
+        measured = front.select(*cell, *BOX, "_n", (near - F.col("_r")).alias("_low"), (far + F.col("_r")).alias("_up"))
+        mine = W.partitionBy("_cell")
+        if k > 1:
+            # The bound is met by the first box that brings the count to k.
+            so_far = F.sum("_n").over(mine.orderBy("_up").rowsBetween(W.unboundedPreceding, 0))
+            counted = measured.withColumn("_ok", F.when(so_far >= k, F.col("_up")))
+            sure = F.coalesce(F.min("_ok").over(mine), F.lit(float("inf")))
+        else:
+            counted, sure = measured, F.min("_up").over(mine)
+        front = (
+            counted.withColumn("_sure", sure)
+            .filter(F.col("_low") <= F.col("_sure") + SLACK_KM)
+            .select(*cell, *BOX, "_low", "_sure")
         )
+    return front
 
-    # Finest level whose 3 x 3 block holds k targets, from counts alone.
-    n_at = filed.groupBy("_lv", "_i", "_j").agg(F.count(F.lit(1)).alias("_n"))
-    every_level = boxes.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    start = (
-        blocks(every_level)
-        .join(n_at, ["_lv", "_i", "_j"])
-        .groupBy("_cell", "_cx", "_cy", "_cz", "_r", "_lv")
-        .agg(F.sum("_n").alias("_n"))
-        .groupBy("_cell", "_cx", "_cy", "_cz", "_r")
-        .agg(F.coalesce(F.min(F.when(F.col("_n") >= k, F.col("_lv"))), F.lit(levels - 1)).alias("_lv"))
-    )
 
-    def chord() -> Column:
-        parts = [(F.col(f"_c{c}") - F.col(f"_t{c}")) * (F.col(f"_c{c}") - F.col(f"_t{c}")) for c in "xyz"]
-        return F.sqrt(parts[0] + parts[1] + parts[2])
-
-    # k-th smallest centre distance: only the k best per cell leave a task.
-    ranked = W.partitionBy("_cell").orderBy("_d")
-    bound = (
-        blocks(start)
-        .join(filed.select("_lv", "_i", "_j", "_tx", "_ty", "_tz"), ["_lv", "_i", "_j"])
-        .select("_cell", "_cx", "_cy", "_cz", "_r", chord().alias("_d"))
-        .withColumn("_rn", F.row_number().over(ranked))
-        .filter(F.col("_rn") <= k)
-        .groupBy("_cell", "_cx", "_cy", "_cz", "_r")
-        .agg(F.max("_d").alias("_d"))
-        .withColumn("_reach", F.col("_d") + 2 * F.col("_r") + 1e-6)
-        .withColumn(
-            "_lv",
-            F.least(
-                F.lit(levels - 1),
-                F.greatest(F.lit(0), F.ceil(F.log2(F.col("_reach") / side))),
-            ).cast("int"),
-        )
-    )
-    short_list = (
-        blocks(bound)
-        .join(filed, ["_lv", "_i", "_j"])
-        .filter(chord() <= F.col("_reach"))
-        .select("_cell", *goals.columns)
-        .drop("_tx", "_ty", "_tz")
+def _setup(points: DataFrame, targets: DataFrame, k: int, cell_km: float, prefix: str):
+    ensure_checkpoint_dir(points.sparkSession)
+    side = float(cell_km)
+    levels = _levels(side)
+    placed = _with_xyz(points, "lat", "lon", "_p")
+    placed = placed.withColumn("_cell", F.struct(*[join_cell(F.col(f"_p{c}"), side).alias(c) for c in "xyz"]))
+    named = targets.select(*[F.col(c).alias(f"{prefix}{c}") for c in targets.columns])
+    goals = _with_xyz(named, f"{prefix}lat", f"{prefix}lon", "_t")
+    goals = goals.withColumns({b: join_cell(F.col(f"_t{c}"), side) for b, c in zip(BOX, "xyz")})
+    # Every level reads the pyramid, a table of occupied boxes: kept once.
+    pyramid = _pyramid(goals, levels).checkpoint()
+    return placed, goals, _leaf_lists(placed, pyramid, levels, k)
+
+
+def _short_lists(leaves: DataFrame, goals: DataFrame, keep: list[str]) -> DataFrame:
+    """Targets any point of each cell may want."""
+    chord = _length([F.col(f"_c{c}") - F.col(f"_t{c}") for c in "xyz"])
+    wanted = [c for c in goals.columns if c not in ("_tx", "_ty", "_tz", *BOX)]
+    return (
+        leaves.join(goals, BOX)
+        .filter(chord - F.col("_r") <= F.col("_sure") + SLACK_KM)
+        .select("_cell", *keep, *wanted)
     )
-    pairs = placed.drop("_px", "_py", "_pz").join(short_list, "_cell").drop("_cell")
+
+
+def nearest(
+    points: DataFrame, targets: DataFrame, k: int, point_id: str, target_id: str,
+    cell_km: float = 2.0, prefix: str = "t_",
+) -> DataFrame:
+    """``k`` nearest targets of each point with ``dist_km`` and ``rank``.
+
+    Ties go to the lowest target id. Points without a position get no row.
+    """
+    placed, goals, leaves = _setup(points, targets, k, cell_km, prefix)
+    pairs = placed.drop("_px", "_py", "_pz").join(_short_lists(leaves, goals, []), "_cell").drop("_cell")
     dist = geo.haversine_km(F.col("lat"), F.col("lon"), F.col(f"{prefix}lat"), F.col(f"{prefix}lon"))
     best = W.partitionBy(point_id).orderBy("dist_km", f"{prefix}{target_id}")
     return (
@@ -133,6 +158,38 @@ def nearest(
     )
 
 
-def nearest_station(points: DataFrame, stations: DataFrame, k: int, point_id: str, cell_km: float = 100.0) -> DataFrame:
+def nearest_by_group(
+    points: DataFrame, targets: DataFrame, group: str, point_id: str, target_id: str, cell_km: float = 2.0
+) -> DataFrame:
+    """The closest (point, target) pair of every group of points.
+
+    A leaf box of one cell is dropped for a group when another cell of the
+    group guarantees something closer.
+    """
+    placed, goals, found = _setup(points, targets, 1, cell_km, "t_")
+    leaves = found.checkpoint()
+    visits = placed.select(group, "_cell").distinct()
+    sure = leaves.groupBy("_cell").agg(F.min("_sure").alias("_best"))
+    best = visits.join(sure, "_cell").groupBy(group).agg(F.min("_best").alias("_best"))
+    useful = (
+        visits.join(leaves, "_cell")
+        .join(best, group)
+        .filter(F.col("_low") <= F.col("_best") + SLACK_KM)
+        .withColumn("_sure", F.least("_sure", "_best"))
+        .drop("_best", "_low")
+    )
+    lists = _short_lists(useful, goals, [group])
+    dist = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
+    pair = F.struct(dist.alias("dist_km"), F.col(f"t_{target_id}").alias("target_id"), F.col(point_id).alias("point_id"))
+    return (
+        placed.select(group, point_id, "lat", "lon", "_cell")
+        .join(lists, [group, "_cell"])
+        .groupBy(group)
+        .agg(F.min(pair).alias("_b"))
+        .select(group, "_b.*")
+    )
+
+
+def nearest_station(points: DataFrame, stations: DataFrame, k: int, point_id: str, cell_km: float = 20.0) -> DataFrame:
     """``k`` nearest stations or shelters of each point."""
     return nearest(points, stations, k, point_id, "station_id", cell_km, "s_")

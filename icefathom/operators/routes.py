@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from icefathom.operators import segments as sg
-from icefathom.operators.nearest import nearest
+from icefathom.operators.nearest import nearest_by_group
 
 FRONT_BLOCK = 256
 FRONT_CUTS = 3
@@ -219,21 +219,25 @@ def berg_density(points: DataFrame, min_pts: int, berg: str = "berg_id", cell: l
     ).withColumn("is_cluster", F.col("n_bergs") >= min_pts)
 
 
-def standoff(route_points: DataFrame, hazards: DataFrame, route: str, point_id: str, hazard_id: str,
-             cell_km: float = 10.0) -> DataFrame:
+def standoff(
+    route_points: DataFrame, hazards: DataFrame, route: str, point_id: str, hazard_id: str, cell_km: float = 2.0
+) -> DataFrame:
     """Least distance of each route to any hazard, with the hazard and the fix.
 
-    Uses the nearest-hazard search, never the list of all close pairs.
+    Hazards in one place count once. Uses the nearest-hazard search, never the
+    list of all close pairs.
     """
-    spots = hazards.groupBy("lat", "lon").agg(F.min(hazard_id).alias(hazard_id))
-    near = nearest(route_points.select(route, point_id, "lat", "lon"), spots, 1, point_id, hazard_id, cell_km, "h_")
-    best = F.struct("dist_km", F.col(f"h_{hazard_id}").alias("hazard_id"), F.col(point_id).alias("point_id"))
-    return near.groupBy(route).agg(F.min(best).alias("_b")).select(
-        route,
-        F.col("_b.dist_km").alias("standoff_km"),
-        F.col("_b.hazard_id").alias("hazard_id"),
-        F.col("_b.point_id").alias("point_id"),
+    # Positions come out of the aggregate as values: a filter on them then
+    # stays above it instead of repeating whatever formula made them below.
+    spots = (
+        hazards.groupBy(F.col("lat").alias("_a"), F.col("lon").alias("_o"))
+        .agg(F.min(hazard_id).alias(hazard_id), F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+        .drop("_a", "_o")
+    )
+    near = nearest_by_group(
+        route_points.select(route, point_id, "lat", "lon"), spots, route, point_id, hazard_id, cell_km
     )
+    return near.select(route, F.col("dist_km").alias("standoff_km"), F.col("target_id").alias("hazard_id"), "point_id")
 
 
 def collision_watch(

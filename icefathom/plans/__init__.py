@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tracks",)
+MODULES = ("tracks", "meetings")
 
 
 def load_all() -> None:
