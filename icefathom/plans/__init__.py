@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tracks", "meetings")
+MODULES = ("tracks", "meetings", "voyages", "sensing")
 
 
 def load_all() -> None:
