@@ -1,5 +1,5 @@
 """icefathom: polar maritime analytics as plain Spark DataFrame jobs."""
 
-from icefathom.session import build_session, ensure_checkpoint_dir
+from icefathom.session import apply_defaults, build_session, ensure_checkpoint_dir
 
-__all__ = ["build_session", "ensure_checkpoint_dir"]
+__all__ = ["apply_defaults", "build_session", "ensure_checkpoint_dir"]

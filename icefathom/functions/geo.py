@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from icefathom.functions.numeric import clamp
+
 # WGS84 ellipsoid, EPSG:3031 true-scale latitude, mean Earth
 # radius in km, Earth rotation rate in rad/s.
 WGS84_A = 6378137.0
@@ -87,7 +89,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     dphi = F.sin(_rad(lat2 - lat1) / 2)
     dlam = F.sin(_rad(lon2 - lon1) / 2)
     h = dphi * dphi + F.cos(_rad(lat1)) * F.cos(_rad(lat2)) * dlam * dlam
-    return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * EARTH_RADIUS_KM)
+    return F.atan2(F.sqrt(h), F.sqrt(F.abs(1 - h))) * (2 * EARTH_RADIUS_KM)
 
 
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -103,7 +105,7 @@ def destination_lat(lat: Column, bearing: Column, km: Column) -> Column:
     """Latitude reached by a great-circle move."""
     p, b, d = _rad(lat), _rad(bearing), km / EARTH_RADIUS_KM
     s = F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(b)
-    return _deg(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))))
+    return _deg(F.asin(clamp(s, -1.0, 1.0)))
 
 
 def destination_lon(lat: Column, lon: Column, bearing: Column, km: Column) -> Column:

@@ -32,8 +32,8 @@ def join_cell(value: Column, size: Column | float) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    """Value cut to [low, high]; null stays null."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
+    """Value cut to [low, high]; null stays null (least and greatest skip it)."""
+    return F.when(value < low, F.lit(float(low))).when(value > high, F.lit(float(high))).otherwise(value)
 
 
 def epoch_seconds(ts: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icefathom.functions import geo
-from icefathom.functions.numeric import cell_index, join_cell
+from icefathom.functions.numeric import cell_index, clamp, join_cell
 from icefathom.operators import segments as sg
 
 
@@ -222,7 +222,7 @@ def off_chord_km(a: tuple[Column, Column], b: tuple[Column, Column], p: tuple[Co
     reach = geo.haversine_km(*a, *p)
     angle = F.radians(geo.bearing_deg(*a, *p) - geo.bearing_deg(*a, *b))
     sine = F.sin(reach / geo.EARTH_RADIUS_KM) * F.sin(angle)
-    cross = F.abs(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sine)))) * geo.EARTH_RADIUS_KM
+    cross = F.abs(F.asin(clamp(sine, -1.0, 1.0))) * geo.EARTH_RADIUS_KM
     return F.when(geo.haversine_km(*a, *b) == 0, reach).when(a[0].isNotNull() & b[0].isNotNull(), cross)
 
 

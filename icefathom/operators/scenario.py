@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icefathom.functions import geo
+from icefathom.functions.numeric import clamp
 from icefathom.operators.spread import fan_out
 
 
@@ -13,7 +14,7 @@ def perturb_cells(cells: DataFrame, scenarios: DataFrame) -> DataFrame:
     """One copy of the grid per scenario: more ice (at most 1) and higher waves."""
     return fan_out(cells, scenarios).withColumns(
         {
-            "sic": F.least(F.lit(1.0), F.col("sic") * F.col("sic_mult")),
+            "sic": clamp(F.col("sic") * F.col("sic_mult"), 0.0, 1.0),
             "wave_m": F.col("wave_m") + F.col("wave_add_m"),
         }
     ).drop("sic_mult", "berg_shift_km", "wave_add_m")

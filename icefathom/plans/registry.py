@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from icefathom.plans.views import with_views
+from icefathom.session import apply_defaults
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +20,11 @@ def registered(sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[
     """Registers a query under its function name, with its SQL twin if any."""
 
     def keep(query: Query) -> Query:
-        QUERIES[query.__name__] = query
+        @wraps(query)
+        def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return query(apply_defaults(spark), sf_dir)
+
+        QUERIES[query.__name__] = ready
         if sql is not None:
             ORACLES[query.__name__] = with_views(sql, *views)
         return query

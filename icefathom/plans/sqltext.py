@@ -13,10 +13,12 @@ def fx(expr: str, digits: int = 3) -> str:
 
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return (
-        f"(2 * {R} * asin(least(1.0e0, sqrt(power(sin(radians(({lat2}) - ({lat1})) / 2), 2)"
-        f" + cos(radians({lat1})) * cos(radians({lat2})) * power(sin(radians(({lon2}) - ({lon1})) / 2), 2)))))"
+    half = (
+        f"power(sin(radians(({lat2}) - ({lat1})) / 2), 2)"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * power(sin(radians(({lon2}) - ({lon1})) / 2), 2)"
     )
+    # Not asin(least(1, ...)): least skips nulls, and a missing end must give null.
+    return f"(2 * {R} * atan2(sqrt({half}), sqrt(abs(1 - ({half})))))"
 
 
 def _t(phi: str) -> str:

@@ -33,6 +33,13 @@ def build_session(app: str = "icefathom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def apply_defaults(spark: SparkSession) -> SparkSession:
+    """Sets the library defaults on a session somebody else built."""
+    for key, value in SESSION_DEFAULTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints, taken from ``spark.checkpoint.dir``.
 
