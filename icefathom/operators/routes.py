@@ -10,7 +10,7 @@ from icefathom.operators import segments as sg
 from icefathom.operators.nearest import nearest_by_group
 
 FRONT_BLOCK = 256
-FRONT_CUTS = 3
+FRONT_REGIONS = 256
 
 
 def route_totals(legs: DataFrame, route: str, fuel_t_per_km: Column | float) -> DataFrame:
@@ -56,83 +56,93 @@ def _dominates(y: Column, x: Column, dims: list[str]) -> Column:
     return no_worse & better
 
 
+def _block_fronts(rows: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
+    """Front of each (bounded) block, by an array test that emits no pairs."""
+    packed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
+    front = F.filter("_rows", lambda x: ~F.exists("_rows", lambda y: _dominates(y, x, dims)))
+    return packed.select(F.inline(front))
+
+
 def pareto_front(
-    df: DataFrame, by: list[str], minimise: list[str], row_id: str, block_rows: int = FRONT_BLOCK
+    df: DataFrame, by: list[str], minimise: list[str], block_rows: int = FRONT_BLOCK
 ) -> DataFrame:
     """Rows of each group no other row of the group dominates.
 
-    Groups are cut into blocks by a hash of the row id and each block keeps
-    its own front, an array test that emits no pairs. Groups of one block are
-    then done. Larger ones compare what is left region by region: a region is
-    a box of quantiles, regions that lie wholly behind another are dropped,
-    and only regions that may hold a dominator are consulted.
+    Groups of at most ``block_rows`` rows are tested as one array each. Larger
+    ones, found by a count, work on their distinct points: blocks by hash keep
+    their own front, then what is left is compared region by region. A region
+    is a box of quantiles (at most ``FRONT_REGIONS`` per group); regions wholly
+    behind another are dropped and a point only meets regions that can hold a
+    dominator, again as bounded arrays. Rows come back by a semi-join, so any
+    number of equal rows costs one point. Rows with a null measure are left out.
     """
     clean = df.filter(" and ".join(f"{d} is not null" for d in minimise))
-    sizes = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.filter(F.col("_n") > block_rows).withColumn("_m", F.ceil(F.col("_n") / block_rows).cast("int"))
-    row = F.struct(*clean.columns)
-
-    def block_fronts(rows: DataFrame, keys: list[str]) -> DataFrame:
-        packed = rows.groupBy(*keys).agg(F.collect_list(row).alias("_rows"))
-        front = F.filter("_rows", lambda x: ~F.exists("_rows", lambda y: _dominates(y, x, minimise)))
-        return packed.select(F.inline(front))
-
+    big = (
+        clean.groupBy(*by)
+        .agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_m"))
+        .filter(F.col("_m") > 1)
+    )
     if big.isEmpty():
-        return block_fronts(clean, by)
-
-    blocks = clean.join(big.select(*by, "_m"), by, "left")
-    salt = F.pmod(F.xxhash64(F.col(row_id)), F.coalesce(F.col("_m"), F.lit(1))).cast("int")
-    local = block_fronts(blocks.withColumn("_b", salt).drop("_m"), [*by, "_b"])
-    small_done = local.join(big.select(*by), by, "left_anti")
-    left = local.join(big.select(*by), by, "left_semi")
-
-    # Regions: quantile boxes of the remaining rows, a bounded number per group.
-    at = [i / (FRONT_CUTS + 1) for i in range(1, FRONT_CUTS + 1)]
-    cuts = left.groupBy(*by).agg(*[F.percentile_approx(F.col(d), at, F.lit(1000)).alias(f"_q_{d}") for d in minimise])
-    region = F.concat_ws(
-        "-", *[F.size(F.filter(F.col(f"_q_{d}"), lambda c, d=d: c < F.col(d))).cast("string") for d in minimise]
+        return _block_fronts(clean, by, minimise)
+    small = clean.join(big, by, "left_anti")
+    hot = clean.join(big.select(*by), by, "left_semi")
+    return _block_fronts(small, by, minimise).select(*df.columns).unionByName(
+        hot.join(_hot_front(hot, big, by, minimise, block_rows), [*by, *minimise], "left_semi").select(*df.columns)
     )
-    placed = left.join(cuts, by).withColumn("_region", region).drop(*[f"_q_{d}" for d in minimise])
+
+
+def _hot_front(hot: DataFrame, big: DataFrame, by: list[str], dims: list[str], block_rows: int) -> DataFrame:
+    """Undominated distinct points of large groups."""
+    spots = hot.select(*by, *dims).distinct().join(big, by)
+    salted = spots.withColumn("_b", F.pmod(F.xxhash64(*dims), F.col("_m")).cast("int")).drop("_m")
+    left = _block_fronts(salted, [*by, "_b"], dims).drop("_b")
+
+    cut_dims = dims[:8]
+    per_dim = max(2, int(FRONT_REGIONS ** (1 / len(cut_dims)) + 1e-9))
+    at = [i / per_dim for i in range(1, per_dim)]
+    cuts = left.groupBy(*by).agg(*[F.percentile_approx(F.col(d), at, F.lit(1000)).alias(f"_q_{d}") for d in cut_dims])
+
+    def above(d: str) -> Column:
+        return F.size(F.filter(F.col(f"_q_{d}"), lambda c: c < F.col(d))).cast("string")
+
+    placed = left.join(cuts, by).withColumn("_region", F.concat_ws("-", *[above(d) for d in cut_dims]))
+    placed = placed.drop(*[f"_q_{d}" for d in cut_dims])
+
     corners = placed.groupBy(*by, "_region").agg(
-        *[F.min(d).alias(f"_lo_{d}") for d in minimise], *[F.max(d).alias(f"_hi_{d}") for d in minimise]
+        *[F.min(d).alias(f"_lo_{d}") for d in dims], *[F.max(d).alias(f"_hi_{d}") for d in dims]
     )
     other = corners.select(
         *by, F.col("_region").alias("_other"),
-        *[F.col(f"_lo_{d}").alias(f"_olo_{d}") for d in minimise],
-        *[F.col(f"_hi_{d}").alias(f"_ohi_{d}") for d in minimise],
+        *[F.col(f"_lo_{d}").alias(f"_olo_{d}") for d in dims], *[F.col(f"_hi_{d}").alias(f"_ohi_{d}") for d in dims],
     )
-    met = corners.join(other, by)
     may, wholly, strictly = F.lit(True), F.lit(True), F.lit(False)
-    for d in minimise:
+    for d in dims:
         may = may & (F.col(f"_olo_{d}") <= F.col(f"_hi_{d}"))
         wholly = wholly & (F.col(f"_ohi_{d}") <= F.col(f"_lo_{d}"))
         strictly = strictly | (F.col(f"_ohi_{d}") < F.col(f"_lo_{d}"))
-    relation = met.select(*by, "_region", "_other", may.alias("_may"), (wholly & strictly).alias("_gone"))
+    relation = corners.join(other, by).select(
+        *by, "_region", "_other", may.alias("_may"), (wholly & strictly).alias("_gone")
+    )
     gone = relation.filter("_gone").select(*by, "_region").distinct()
     alive = placed.join(gone, [*by, "_region"], "left_anti")
-    arrays = (
-        alive.withColumn("_b", F.pmod(F.xxhash64(F.col(row_id)), F.lit(1 << 20)))
-        .join(
-            alive.groupBy(*by, "_region").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_k")),
-            [*by, "_region"],
-        )
-        .withColumn("_b", F.col("_b") % F.col("_k"))
-        .groupBy(*by, F.col("_region").alias("_other"), "_b")
-        .agg(F.collect_list(F.struct(*minimise)).alias("_rivals"))
+
+    blocks = alive.groupBy(*by, "_region").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_k"))
+    rivals = (
+        alive.join(blocks, [*by, "_region"])
+        .groupBy(*by, F.col("_region").alias("_other"), F.pmod(F.xxhash64(*dims, F.lit(1)), F.col("_k")).alias("_b"))
+        .agg(F.collect_list(F.struct(*dims)).alias("_rivals"))
         .drop("_b")
     )
-    consult = relation.filter("_may").select(*by, "_region", "_other").join(gone, [*by, "_region"], "left_anti")
-    here = F.struct(*minimise)
+    consult = relation.filter("_may").select(*by, "_region", "_other")
+    here = F.struct(*dims)
     beaten = (
-        alive.select(*by, "_region", row_id, *[d for d in minimise if d != row_id])
-        .join(consult, [*by, "_region"])
-        .join(arrays, [*by, "_other"])
-        .filter(F.exists("_rivals", lambda y: _dominates(y, here, minimise)))
-        .select(*by, row_id)
+        alive.join(consult, [*by, "_region"])
+        .join(rivals, [*by, "_other"])
+        .filter(F.exists("_rivals", lambda y: _dominates(y, here, dims)))
+        .select(*by, *dims)
         .distinct()
     )
-    final = alive.join(beaten, [*by, row_id], "left_anti").select(*df.columns)
-    return small_done.select(*df.columns).unionByName(final)
+    return alive.join(beaten, [*by, *dims], "left_anti").select(*by, *dims)
 
 
 def diversion_delta(

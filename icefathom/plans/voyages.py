@@ -167,7 +167,7 @@ PARETO_SQL = """select voyage_id, route_id from candidates x where not exists (s
 @registered(PARETO_SQL, ("candidates",))
 def pareto_front(spark, sf_dir):
     c = view(spark, sf_dir, "candidates")
-    front = routes.pareto_front(c, ["voyage_id"], ["dist_km", "time_h", "risk", "fuel_t"], "route_id")
+    front = routes.pareto_front(c, ["voyage_id"], ["dist_km", "time_h", "risk", "fuel_t"])
     return front.select("voyage_id", "route_id")
 
 
