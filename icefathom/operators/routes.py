@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from icefathom.operators import segments as sg
 from icefathom.operators.nearest import nearest_by_group
+from icefathom.session import ensure_checkpoint_dir
 
 FRONT_BLOCK = 256
 FRONT_REGIONS = 256
@@ -93,9 +94,10 @@ def pareto_front(
 
 def _hot_front(hot: DataFrame, big: DataFrame, by: list[str], dims: list[str], block_rows: int) -> DataFrame:
     """Undominated distinct points of large groups."""
+    ensure_checkpoint_dir(hot.sparkSession)
     spots = hot.select(*by, *dims).distinct().join(big, by)
     salted = spots.withColumn("_b", F.pmod(F.xxhash64(*dims), F.col("_m")).cast("int")).drop("_m")
-    left = _block_fronts(salted, [*by, "_b"], dims).drop("_b")
+    left = _block_fronts(salted, [*by, "_b"], dims).drop("_b").checkpoint()
 
     cut_dims = dims[:8]
     per_dim = max(2, int(FRONT_REGIONS ** (1 / len(cut_dims)) + 1e-9))
@@ -106,7 +108,8 @@ def _hot_front(hot: DataFrame, big: DataFrame, by: list[str], dims: list[str], b
         return F.size(F.filter(F.col(f"_q_{d}"), lambda c: c < F.col(d))).cast("string")
 
     placed = left.join(cuts, by).withColumn("_region", F.concat_ws("-", *[above(d) for d in cut_dims]))
-    placed = placed.drop(*[f"_q_{d}" for d in cut_dims])
+    # Read several times below: kept once, which also keeps the plan small.
+    placed = placed.drop(*[f"_q_{d}" for d in cut_dims]).checkpoint()
 
     corners = placed.groupBy(*by, "_region").agg(
         *[F.min(d).alias(f"_lo_{d}") for d in dims], *[F.max(d).alias(f"_hi_{d}") for d in dims]
@@ -122,9 +125,9 @@ def _hot_front(hot: DataFrame, big: DataFrame, by: list[str], dims: list[str], b
         strictly = strictly | (F.col(f"_ohi_{d}") < F.col(f"_lo_{d}"))
     relation = corners.join(other, by).select(
         *by, "_region", "_other", may.alias("_may"), (wholly & strictly).alias("_gone")
-    )
+    ).checkpoint()
     gone = relation.filter("_gone").select(*by, "_region").distinct()
-    alive = placed.join(gone, [*by, "_region"], "left_anti")
+    alive = placed.join(gone, [*by, "_region"], "left_anti").checkpoint()
 
     blocks = alive.groupBy(*by, "_region").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_k"))
     rivals = (
