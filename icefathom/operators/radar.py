@@ -24,21 +24,21 @@ def cfar(pixels: DataFrame, guard: int, train: int, alpha: float, tile: int = TI
         return F.sequence(F.floor((F.col(at) - train) / tile), F.floor((F.col(at) + train) / tile))
 
     rimmed = (
-        pixels.select("scene", "r", "c", F.col("p").cast("bigint").alias("p"))
+        pixels.filter("p is not null")
+        .select("scene", "r", "c", F.col("p").cast("bigint").alias("p"))
         .withColumn("_tr", F.explode(tiles("r")))
         .withColumn("_tc", F.explode(tiles("c")))
-        .repartition("scene", "_tr", "_tc")
     )
     area = ["scene", "_tr", "_tc"]
+    filled = _fill_holes(rimmed, area).repartition(*area)
     along = W.partitionBy(*area, "r").orderBy("c")
     down = W.partitionBy(*area, "c").orderBy("r")
-    one = F.lit(1).cast("bigint")
-    rows = rimmed.withColumns(
+    rows = filled.withColumns(
         {
             "_ws": F.sum("p").over(along.rangeBetween(-train, train)),
-            "_wn": F.sum(one).over(along.rangeBetween(-train, train)),
+            "_wn": F.count("p").over(along.rangeBetween(-train, train)),
             "_gs": F.sum("p").over(along.rangeBetween(-guard, guard)),
-            "_gn": F.sum(one).over(along.rangeBetween(-guard, guard)),
+            "_gn": F.count("p").over(along.rangeBetween(-guard, guard)),
         }
     )
     boxes = rows.withColumns(
@@ -50,16 +50,39 @@ def cfar(pixels: DataFrame, guard: int, train: int, alpha: float, tile: int = TI
         }
     ).select(
         "*",
-        (F.col("_WS") - F.col("_GS")).alias("ring_sum"),
+        (F.coalesce("_WS", F.lit(0)) - F.coalesce("_GS", F.lit(0))).alias("ring_sum"),
         (F.col("_WN") - F.col("_GN")).alias("ring_n"),
     )
     home = (F.floor(F.col("r") / tile) == F.col("_tr")) & (F.floor(F.col("c") / tile) == F.col("_tc"))
-    return boxes.filter(home).select(
+    return boxes.filter(home & F.col("p").isNotNull()).select(
         "scene", "r", "c", "p", "ring_sum", "ring_n",
         (F.col("p") * F.col("ring_n") > F.lit(float(alpha)) * F.col("ring_sum")).alias("hit"),
     )
 
 
+def _fill_holes(rimmed: DataFrame, area: list[str]) -> DataFrame:
+    """Empty pixels where a tile has holes, so that column sums meet every row.
+
+    One partially aggregated pass finds tiles with fewer pixels than their
+    extent; complete scenes go on unchanged.
+    """
+    extent = rimmed.groupBy(*area).agg(
+        F.min("r").alias("_r0"), F.max("r").alias("_r1"), F.min("c").alias("_c0"), F.max("c").alias("_c1"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    full = (F.col("_r1") - F.col("_r0") + 1) * (F.col("_c1") - F.col("_c0") + 1)
+    holed = extent.filter(F.col("_n") < full)
+    if holed.isEmpty():
+        return rimmed
+    every = (
+        holed.withColumn("r", F.explode(F.sequence("_r0", "_r1")))
+        .withColumn("c", F.explode(F.sequence("_c0", "_c1")))
+        .select("scene", "r", "c", "_tr", "_tc")
+    )
+    empty = every.join(rimmed, [*area, "r", "c"], "left_anti").withColumn("p", F.lit(None).cast("bigint"))
+    return rimmed.unionByName(empty)
+
+
 def detections_to_cells(hits: DataFrame, size: int) -> DataFrame:
     """Hits per scene and cell with their peak and mean."""
     return hits.groupBy(
