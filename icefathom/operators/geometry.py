@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from icefathom.functions import geo
 from icefathom.functions.numeric import cell_index, clamp, join_cell
 from icefathom.operators import segments as sg
+from icefathom.session import ensure_checkpoint_dir
 
 
 def project_3031(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -196,7 +197,11 @@ def simplify_track(
     order = [ts, row_id]
     w = sg.segment_window([key], order)
     current = df
-    for _ in range(passes):
+    for n in range(passes):
+        if n:
+            # A pass reads its input more than once: keep the last result.
+            ensure_checkpoint_dir(df.sparkSession)
+            current = current.checkpoint()
         cut = sg.add_segment(current, [key], ts, segment_s)
         near = sg.carry_neighbours(cut, [key], order, back=1, ahead=1).withColumns(
             {

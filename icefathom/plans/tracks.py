@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from icefathom.functions.numeric import fixed
 from icefathom.operators import geometry as g
@@ -14,7 +15,7 @@ from icefathom.plans import sqltext as t
 from icefathom.plans.registry import registered
 from icefathom.plans.views import view
 from icefathom.session import ensure_checkpoint_dir
-from icefathom.sources import feeds, geojson, state
+from icefathom.sources import feeds, geojson, state, tracks
 
 
 @registered(
@@ -42,6 +43,43 @@ def read_feed(spark, sf_dir):
     return rows.select("feed", F.month("date").alias("slot"), "cell_i", "cell_j", fixed(F.col("value"), 4).alias("value"))
 
 
+@registered(
+    f"""select vessel_id as id, ping_id as fix_id, cast(floor(epoch_us(ts) / 1e6) as bigint) as s, {t.fx('lat', 6)} as lat,
+    {t.fx('lon', 6)} as lon from pings where ping_id % 50 <> 0""",
+    ("pings",),
+)
+def read_tracks(spark, sf_dir):
+    """Pings written as CSV with a broken latitude now and then, the readable lines read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tracks-{uuid.uuid4().hex}"
+    inputs.pings(spark, sf_dir).select(
+        F.col("vessel_id").alias("id"),
+        F.col("ping_id").alias("fix_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("ping_id") % 50 == 0, "not a number").otherwise(F.col("lat").cast("string")).alias("lat"),
+        "lon",
+    ).write.option("header", True).csv(folder)
+    good, _ = tracks.split_corrupt(tracks.read_tracks(spark, folder))
+    return good.select(
+        "id", "fix_id", F.unix_seconds("ts").alias("s"), fixed(F.col("lat"), 6).alias("lat"), fixed(F.col("lon"), 6).alias("lon")
+    )
+
+
+@registered(
+    f"select station_id, name, 'Point' as geometry_type, {t.fx('lon', 4)} as lon, {t.fx('lat', 4)} as lat from stations",
+    ("stations",),
+)
+def read_geojson(spark, sf_dir):
+    """The station catalogue as a GeoJSON file, read back as columns."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stations-{uuid.uuid4().hex}"
+    geojson.write_features(geojson.to_geojson_points(view(spark, sf_dir, "stations"), ["station_id", "name"]), folder)
+    props = T.StructType([T.StructField("station_id", T.LongType()), T.StructField("name", T.StringType())])
+    back = geojson.read_geojson(spark, folder, props, lines=True)
+    return back.select(
+        "station_id", "name", "geometry_type",
+        fixed(F.col("coordinates")[0], 4).alias("lon"), fixed(F.col("coordinates")[1], 4).alias("lat"),
+    )
+
+
 def _by_regime(spark, sf_dir):
     obs = view(spark, sf_dir, "feed_obs")
     return feeds.union_feeds({r: obs.filter(F.col("regime") == r).drop("regime") for r in feeds.REGIMES})

@@ -110,26 +110,32 @@ def event_match(
     event_ts: str = "event_ts",
     ping_id: str = "ping_id",
     event_id: str = "event_id",
+    salts: int = 8,
 ) -> DataFrame:
     """Pings within ``tol_s`` of a sudden event in the same cell.
 
     The time bucket makes the interval join an equi-join in a batch. A stream
     keys on the cell and gives Spark the plain interval, from which it knows
-    when to drop state on both (watermarked) sides.
+    when to drop state on both (watermarked) sides; pings are dealt over
+    ``salts`` copies of the (rarer) events, so the state of a busy cell is
+    held by that many tasks.
     """
     left, right = event_time(pings, ts), event_time(events, event_ts)
     near = (F.col(event_ts) >= F.col(ts) - F.expr(f"interval {int(tol_s)} seconds")) & (
         F.col(event_ts) <= F.col(ts) + F.expr(f"interval {int(tol_s)} seconds")
     )
     if pings.isStreaming or events.isStreaming:
-        a = left.withWatermark(ts, delay).alias("a")
-        b = right.withWatermark(event_ts, delay).alias("b")
-        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
+        dealt = F.pmod(F.xxhash64(ping_id), F.lit(salts)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        a = left.withColumn("_salt", dealt).withWatermark(ts, delay).alias("a")
+        b = right.withColumn("_salt", copies).withWatermark(event_ts, delay).alias("b")
+        keys = [*on, "_salt"]
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
         condition = near
         for eq in same:
             condition = eq & condition
         joined = a.join(b, condition)
-        return joined.drop(*[F.col(f"b.{c}") for c in on])
+        return joined.drop(*[F.col(f"b.{c}") for c in keys], F.col("a._salt"))
     width = max(int(tol_s) * 2, 1)
     bucket = F.floor(F.unix_seconds(F.col(ts)) / width)
     spread = F.explode(
