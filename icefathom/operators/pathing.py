@@ -26,44 +26,53 @@ def grid_edges(nodes: DataFrame) -> DataFrame:
     return reach.join(ends, ["ni", "nj"]).select("i", "j", "ni", "nj", (F.col("cost") + F.col("_ncost")).alias("w"))
 
 
-def _relax_tile(edges: pd.DataFrame, state: pd.DataFrame, slice_len: float | None, last_slot: int) -> pd.DataFrame:
-    """Settle all voyages of a batch inside one tile and offer costs to its rim."""
-    if edges.empty or state.empty:
-        return pd.DataFrame({"voyage_id": [], "i": [], "j": [], "d": [], "inside": []})
-    ends = np.concatenate([edges[["i", "j"]].to_numpy(), edges[["ni", "nj"]].to_numpy(), state[["i", "j"]].to_numpy()])
-    nodes, code = np.unique(ends, axis=0, return_inverse=True)
-    code = code.reshape(-1)
-    n_edges = len(edges)
-    src, dst, at = code[:n_edges], code[n_edges : 2 * n_edges], code[2 * n_edges :]
-    arcs, arc_of = np.unique(np.stack([dst, src], axis=1), axis=0, return_inverse=True)
-    slots = edges["slot"].to_numpy()
-    weight = np.full((len(arcs), last_slot + 1), np.inf)
-    np.minimum.at(weight, (arc_of.reshape(-1), slots), edges["w"].to_numpy(float))
-    heads, first = np.unique(arcs[:, 0], return_index=True)
-    tails = arcs[:, 1]
-    voyages, v_at = np.unique(state["voyage_id"].to_numpy(), return_inverse=True)
-    dist = np.full((len(voyages), len(nodes)), np.inf)
-    dist[v_at, at] = state["d"].to_numpy()
-    inside = np.zeros(len(nodes), dtype=bool)
-    inside[src] = True
-    inside[at] = True
-    before = dist.copy()
-    while True:
-        leave = dist[:, tails]
-        if slice_len is None:
-            cost = weight[:, 0]
-        else:
-            slot = np.minimum(np.where(np.isfinite(leave), leave, 0) // slice_len, last_slot).astype(int)
-            cost = weight[np.arange(len(arcs)), slot]
-        offer = np.minimum.reduceat(leave + cost, first, axis=1)
-        better = offer < dist[:, heads]
-        if not better.any():
-            break
-        dist[:, heads] = np.where(better, offer, dist[:, heads])
-    v, n = np.nonzero(dist < before)
-    return pd.DataFrame(
-        {"voyage_id": voyages[v], "i": nodes[n, 0], "j": nodes[n, 1], "d": dist[v, n], "inside": inside[n]}
-    )
+def _tile_solver(slice_len: float | None, last_slot: int):
+    """Task function that settles one tile.
+
+    It is a closure over plain values, so it travels with the job and tasks
+    need not have this package installed.
+    """
+
+    def settle(edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        """Settles all voyages of a batch inside the tile and offers costs to its rim."""
+        if edges.empty or state.empty:
+            return pd.DataFrame({"voyage_id": [], "i": [], "j": [], "d": [], "inside": []})
+        ends = np.concatenate([edges[["i", "j"]].to_numpy(), edges[["ni", "nj"]].to_numpy(), state[["i", "j"]].to_numpy()])
+        nodes, code = np.unique(ends, axis=0, return_inverse=True)
+        code = code.reshape(-1)
+        n_edges = len(edges)
+        src, dst, at = code[:n_edges], code[n_edges : 2 * n_edges], code[2 * n_edges :]
+        arcs, arc_of = np.unique(np.stack([dst, src], axis=1), axis=0, return_inverse=True)
+        slots = edges["slot"].to_numpy()
+        weight = np.full((len(arcs), last_slot + 1), np.inf)
+        np.minimum.at(weight, (arc_of.reshape(-1), slots), edges["w"].to_numpy(float))
+        heads, first = np.unique(arcs[:, 0], return_index=True)
+        tails = arcs[:, 1]
+        voyages, v_at = np.unique(state["voyage_id"].to_numpy(), return_inverse=True)
+        dist = np.full((len(voyages), len(nodes)), np.inf)
+        dist[v_at, at] = state["d"].to_numpy()
+        inside = np.zeros(len(nodes), dtype=bool)
+        inside[src] = True
+        inside[at] = True
+        before = dist.copy()
+        while True:
+            leave = dist[:, tails]
+            if slice_len is None:
+                cost = weight[:, 0]
+            else:
+                slot = np.minimum(np.where(np.isfinite(leave), leave, 0) // slice_len, last_slot).astype(int)
+                cost = weight[np.arange(len(arcs)), slot]
+            offer = np.minimum.reduceat(leave + cost, first, axis=1)
+            better = offer < dist[:, heads]
+            if not better.any():
+                break
+            dist[:, heads] = np.where(better, offer, dist[:, heads])
+        v, n = np.nonzero(dist < before)
+        return pd.DataFrame(
+            {"voyage_id": voyages[v], "i": nodes[n, 0], "j": nodes[n, 1], "d": dist[v, n], "inside": inside[n]}
+        )
+
+    return settle
 
 
 def cost_distance(
@@ -110,9 +119,6 @@ def cost_distance(
         .checkpoint()
     )
 
-    def settle(key, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        return _relax_tile(e, s, slice_len, last_slot)
-
     state = sources.select(
         "voyage_id", F.col("i").cast("bigint"), F.col("j").cast("bigint"), F.lit(0.0).alias("d"),
         F.lit(True).alias("fresh"),
@@ -125,7 +131,7 @@ def cost_distance(
         solved = (
             arc_work.groupBy(*area)
             .cogroup(work.groupBy(*area))
-            .applyInPandas(settle, "voyage_id bigint, i bigint, j bigint, d double, inside boolean")
+            .applyInPandas(_tile_solver(slice_len, last_slot), "voyage_id bigint, i bigint, j bigint, d double, inside boolean")
         )
         known = state.select("voyage_id", "i", "j", "d", F.lit(True).alias("inside"))
         state = (
