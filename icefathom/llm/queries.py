@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icefathom.llm import license_scan, sentencepiece_codec
+from icefathom.llm import license_scan, sentencepiece_codec, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +33,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "exact", "ids")
 
 
+@_query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on a ring of 8 shards, counts at most one apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    placed = sharding.assign(docs, 8, "doc_id", ("size", "text_crc32"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @_query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and licence templates in every document."""
