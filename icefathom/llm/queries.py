@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icefathom.llm import license_scan, sentencepiece_codec, sharding
+from icefathom.llm import language_id, license_scan, sentencepiece_codec, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +50,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and licence templates in every document."""
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from two thirds of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = language_id.train(docs.filter(~F.coalesce(language_id.held_out(), F.lit(True))))
+    found = language_id.identify(docs.select("doc_id", "text"), trees)
+    kept = F.coalesce(language_id.held_out(), F.lit(False))
+    return found.select("doc_id", kept.alias("held_out"), "lang_pred", "score", "bits_per_byte")
