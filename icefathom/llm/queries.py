@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icefathom.llm import language_id, license_scan, sentencepiece_codec, sharding
+from icefathom.llm import language_id, license_scan, quality_rules, sentencepiece_codec, sharding
+from icefathom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +53,16 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@_query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, score and verdict of every document."""
+    ensure_checkpoint_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    judged = quality_rules.judge(docs, labels)
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "score")
+
+
 @_query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from two thirds of them."""
