@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icefathom.llm import language_id, license_scan, quality_rules, sentencepiece_codec, sharding
+from icefathom.llm import decontamination, language_id, license_scan, quality_rules, sentencepiece_codec, sharding
 from icefathom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "score")
 
 
+@_query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.col("spans.item_id")))
+    return found.select("doc_id", (F.size("spans") > 0).alias("contaminated"), items.alias("item_ids"), "spans")
+
+
 @_query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from two thirds of them."""
