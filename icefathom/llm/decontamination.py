@@ -6,7 +6,7 @@ them on diagonals no further than e apart. Shared q-grams are counted per docume
 and diagonal band; the bands are twice as wide as their step, so that every such place
 lies wholly in one of them. Bands that meet the bound are aligned (edit distance of the
 whole item against the band's stretch of the document, bit-parallel), and places within
-the budget are reported. Letters are compared without ASCII case and any white space
+the budget are reported. Latin letters are compared without case and any white space
 counts as one blank.
 
 Items of 48 bytes or more use q = 12, shorter ones q = 6, and items below 16 bytes must
@@ -56,10 +56,18 @@ SPANS = T.ArrayType(
 )
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """Bytes without case: ASCII letters, and the two-byte Latin letters of U+00C0 to U+00DE."""
+    out = _lowered[data]
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    out[capital] += 32
+    return out
+
+
 def normalised(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes with one blank for any white space, where each text begins, and
     the original place of each byte."""
-    data = _lowered[texts.data]
+    data = _folded(texts.data)
     keep = np.ones(len(data), bool)
     keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
     keep[texts.offsets[:-1][texts.offsets[:-1] < len(data)]] = True
@@ -69,7 +77,7 @@ def normalised(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def plain(text: str) -> bytes:
     """One item as documents are compared with it."""
-    return b" ".join(text.encode().translate(bytes(_lowered)).split())
+    return b" ".join(_folded(np.frombuffer(text.encode(), np.uint8)).tobytes().split())
 
 
 @dataclass
