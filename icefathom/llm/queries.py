@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icefathom.llm import decontamination, language_id, license_scan, quality_rules, sentencepiece_codec, sharding
+from icefathom.llm import decontamination, language_id, license_scan, order_minhash, quality_rules, sentencepiece_codec, sharding
 from icefathom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@_query
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document."""
+    ensure_checkpoint_dir(spark)
+    return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, score and verdict of every document."""
