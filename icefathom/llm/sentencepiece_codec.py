@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -52,9 +53,35 @@ def implied_merges(pieces: dict[str, tuple[int, float]]) -> list[tuple[str, str]
     return [(left, right) for *_, left, right in found]
 
 
+@dataclass
+class Codec:
+    """A tokenizer and, where it is simple, the normaliser as string operations.
+
+    The library's own normalisers track every character's origin, which ids don't need;
+    a dummy prefix and the marker for blanks are plain string work.
+    """
+
+    tokenizer: object
+    prefix: str | None
+    escape: bool
+
+    def prepared(self, text: str) -> str:
+        if self.prefix is None:
+            return text
+        return self.prefix + (text.replace(" ", MARK) if self.escape else text) if text else text
+
+    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+        made = self.tokenizer.encode_batch_fast([self.prepared(t) if t else "" for t in texts], add_special_tokens=False)
+        return [None if t is None else e.ids if t else [] for t, e in zip(texts, made)]
+
+    def decode(self, lists: list[list[int] | None]) -> list[str | None]:
+        made = self.tokenizer.decode_batch([x or [] for x in lists], skip_special_tokens=False)
+        return [None if x is None else t for x, t in zip(lists, made)]
+
+
 @lru_cache(maxsize=4)
-def tokenizer_of(model: bytes, threads: int = 2):
-    """Tokenizer equal to the SentencePiece model in ``model``."""
+def codec_of(model: bytes, threads: int = 1) -> Codec:
+    """Codec equal to the SentencePiece model in ``model``, with a pool of ``threads``."""
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
     from sentencepiece import sentencepiece_model_pb2 as schema
@@ -92,14 +119,22 @@ def tokenizer_of(model: bytes, threads: int = 2):
         steps.append(normalizers.Prepend(MARK))
     if spec.escape_whitespaces:
         steps.append(normalizers.Replace(" ", MARK))
-    tokenizer.normalizer = normalizers.Sequence(steps)
+    simple = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
+    if not simple:
+        tokenizer.normalizer = normalizers.Sequence(steps)
     if not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type in (NORMAL, USER_DEFINED)):
         # No piece has a marker after other characters, so no piece crosses the
         # start of a run of markers: cutting there changes nothing and feeds the cache.
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+"), "merged_with_next")
     tail = [decoders.Replace(MARK, " ")] + ([decoders.ByteFallback()] if fallback else []) + [decoders.Fuse()]
     tokenizer.decoder = decoders.Sequence(tail + ([decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else []))
-    return tokenizer
+    prefix = (MARK if spec.escape_whitespaces else " ") if spec.add_dummy_prefix else ""
+    return Codec(tokenizer, prefix if simple else None, spec.escape_whitespaces)
+
+
+def task_threads(df: DataFrame) -> int:
+    """Threads a task may use: the cores Spark gives it."""
+    return int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
 
 
 def _refuse(df: DataFrame, *names: str) -> None:
@@ -108,60 +143,59 @@ def _refuse(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the input already has {sorted(taken)}")
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", threads: int = 2) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text: str = "text", threads: int | None = None) -> DataFrame:
     """Adds ``ids``: the token ids of the whole text."""
     _refuse(docs, "ids")
+    threads = threads or task_threads(docs)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(model, threads)
+        codec = codec_of(model, threads)
         for batch in rows:
             column = batch.column(batch.schema.get_field_index(text))
             for part in slices(column):
                 chunk = column.slice(part.first, len(part)).to_pylist()
-                made = tokenizer.encode_batch_fast([t or "" for t in chunk], add_special_tokens=False)
-                ids = [None if t is None else e.ids if t else [] for t, e in zip(chunk, made)]
+                ids = codec.encode(chunk)
                 cut = batch.slice(part.first, len(part))
                 yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(ids, pa.list_(pa.int32()))], [*cut.schema.names, "ids"])
 
     return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def decode(tokens: DataFrame, model: bytes, ids: str = "ids", threads: int = 2) -> DataFrame:
+def decode(tokens: DataFrame, model: bytes, ids: str = "ids", threads: int | None = None) -> DataFrame:
     """Adds ``decoded``: the text that the ids stand for."""
     _refuse(tokens, "decoded")
+    threads = threads or task_threads(tokens)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(model, threads)
+        codec = codec_of(model, threads)
         for batch in rows:
             for at in range(0, batch.num_rows, 256):
                 cut = batch.slice(at, 256)
                 lists = cut.column(cut.schema.get_field_index(ids)).to_pylist()
-                made = tokenizer.decode_batch([x or [] for x in lists], skip_special_tokens=False)
-                back = pa.array([None if x is None else t for x, t in zip(lists, made)], pa.string())
+                back = pa.array(codec.decode(lists), pa.string())
                 yield pa.RecordBatch.from_arrays([*cut.columns, back], [*cut.schema.names, "decoded"])
 
     return tokens.mapInArrow(batches, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def round_trip(docs: DataFrame, model: bytes, text: str = "text", threads: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, model: bytes, text: str = "text", threads: int | None = None) -> DataFrame:
     """Encodes and decodes in one pass: ``ids`` and ``exact`` take the place of the text.
 
     ``exact`` says whether the text came back. A text that the normaliser changes
     (here: one that holds the marker itself) comes back changed and is not exact.
     """
     _refuse(docs, "ids", "exact")
+    threads = threads or task_threads(docs)
     rest = [f for f in docs.schema.fields if f.name != text]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(model, threads)
+        codec = codec_of(model, threads)
         for batch in rows:
             column = batch.column(batch.schema.get_field_index(text))
             for part in slices(column):
                 chunk = column.slice(part.first, len(part)).to_pylist()
-                made = tokenizer.encode_batch_fast([t or "" for t in chunk], add_special_tokens=False)
-                ids = [None if t is None else e.ids if t else [] for t, e in zip(chunk, made)]
-                back = tokenizer.decode_batch([x or [] for x in ids], skip_special_tokens=False)
-                exact = [None if t is None else t == d for t, d in zip(chunk, back)]
+                ids = codec.encode(chunk)
+                exact = [None if t is None else t == d for t, d in zip(chunk, codec.decode(ids))]
                 kept = [batch.column(batch.schema.get_field_index(f.name)).slice(part.first, len(part)) for f in rest]
                 new = [pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(kept + new, [f.name for f in rest] + ["ids", "exact"])
