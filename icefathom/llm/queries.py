@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icefathom.llm import decontamination, language_id, license_scan, order_minhash, quality_rules, sentencepiece_codec, sharding
+from icefathom.llm import decontamination, language_id, license_scan, order_minhash, quality_rules, sentencepiece_codec, sharding, suffix_dedup
 from icefathom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "score")
 
 
+@_query
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that an earlier one has, as word ranges."""
+    ensure_checkpoint_dir(spark)
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", "copy_of", removed.alias("n_removed"), "spans")
+
+
 @_query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every document."""
