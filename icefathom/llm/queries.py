@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icefathom.llm import decontamination, language_id, license_scan, order_minhash, quality_rules, sentencepiece_codec, sharding, suffix_dedup
+from icefathom.llm import decontamination, language_id, license_scan, order_minhash, quality_rules, sentencepiece_codec, sharding, suffix_dedup, warc
 from icefathom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +97,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(docs.select("doc_id", "text"), trees)
     kept = F.coalesce(language_id.held_out(), F.lit(False))
     return found.select("doc_id", kept.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4()}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payloads=False).drop("payload", "url")
+
+
+ORACLES["op9_warc"] = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+sized as (select page_id, cast(strlen(body) as bigint) as payload_bytes, sha1(body) as payload_digest from p),
+kept as (select payload_digest, max(page_id) as top from sized where payload_bytes >= 1000 group by payload_digest)
+select s.page_id, s.payload_bytes, s.payload_digest,
+       case when k.top is not null and s.page_id is distinct from k.top then 'revisit' else 'response' end as record_type,
+       case when k.top is not null and s.page_id is distinct from k.top then k.top end as refers_to
+from sized s left join kept k on k.payload_digest = s.payload_digest and s.payload_bytes >= 1000
+"""
