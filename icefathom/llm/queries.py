@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icefathom.llm import decontamination, language_id, license_scan, order_minhash, quality_rules, sentencepiece_codec, sharding, suffix_dedup, warc
+from icefathom.llm import decontamination, html_extraction, language_id, license_scan, order_minhash, quality_rules, sentencepiece_codec, sharding, suffix_dedup, warc
 from icefathom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, payloads=False).drop("payload", "url")
 
 
+@_query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extraction.extract(pages, html_extraction.fit(pages))
+
+
 ORACLES["op9_warc"] = """
 with p as (select page_id, coalesce(html, '') as body from pages),
 sized as (select page_id, cast(strlen(body) as bigint) as payload_bytes, sha1(body) as payload_digest from p),
