@@ -15,9 +15,9 @@ from icefathom.llm import decontamination, language_id, order_minhash, sentencep
 from icefathom.llm.queries import PIECE_MODEL
 from icefathom.session import ensure_checkpoint_dir
 
-#: A text that its best language explains no better than bytes drawn evenly is no text of
-#: any of the languages.
-MOST_BITS = 8.0
+#: A text whose best language needs this many bits for each byte, half as much again as
+#: even chances need, is written in signs that no known language has.
+MOST_BITS = 12.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
