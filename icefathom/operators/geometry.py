@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from icefathom.functions import geo
-from icefathom.functions.numeric import cell_index, clamp, join_cell
+from icefathom.functions.numeric import NO_CELL, cell_index, clamp, join_cell
 from icefathom.operators import segments as sg
 from icefathom.session import ensure_checkpoint_dir
 
@@ -161,29 +162,79 @@ def part_lines(
     return line_of
 
 
-def land_mask(points: DataFrame, edges: DataFrame, key: str, band_m: float = 50_000.0) -> DataFrame:
-    """Adds ``on_land``: an eastward ray crosses the outline an odd number of times.
+def land_cells(cells: DataFrame, edges: DataFrame, cell_m: float) -> DataFrame:
+    """What the outline looks like in each of the given grid cells (``_ci``, ``_cj``).
 
-    Edges are filed under every y band they touch, which turns the crossing
-    test into an equi-join on the band. Only (key, x, y) travels; crossings
-    are counted before the shuffle back to the key.
+    ``_far``: whether the right end of the cell's lower side is inside the outline;
+    ``_low``: x where the outline crosses the lower side; ``_edges``: the edges that touch
+    the cell. A cell carries its own piece of the outline only, whatever the outline's length.
     """
+    size = F.lit(float(cell_m))
+
+    def index(value: Column) -> Column:
+        return F.floor(value / size).cast("bigint")
+
     y_low, y_high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.filter(F.col("y1") != F.col("y2")).select(
-        F.explode(F.sequence(join_cell(y_low, band_m), join_cell(y_high, band_m))).alias("_band"),
-        "x1", "y1", "x2", "y2",
+    x_low, x_high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    x_at = (F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    # Lower sides that an edge crosses (its upper end lies above, its lower end not).
+    crossings = (
+        edges.filter(F.col("y1") != F.col("y2"))
+        .withColumns({"_first": F.ceil(y_low / size).cast("bigint"), "_last": F.ceil(y_high / size).cast("bigint") - 1})
+        .filter("_first <= _last")
+        .withColumn("_cj", F.explode(F.sequence("_first", "_last")))
+        .withColumn("_y", F.col("_cj") * size)
+        .select("_cj", x_at.alias("_x"))
+        .select("_cj", index(F.col("_x")).alias("_ci"), "_x")
+        .groupBy("_cj", "_ci")
+        .agg(F.collect_list("_x").alias("_low"))
     )
-    probe = points.select(key, "x", "y", join_cell(F.col("y"), band_m).alias("_band"))
-    x_cross = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    crossed = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < x_cross)
-    odd = (
-        probe.join(banded, "_band")
-        .filter(crossed)
-        .groupBy(key)
-        .agg((F.count(F.lit(1)) % 2).alias("_odd"))
-        .filter("_odd = 1")
+    # Edges by the cells they touch: per row of cells the stretch of x inside that row.
+    y_a, y_b = F.greatest(y_low, F.col("_cj") * size), F.least(y_high, (F.col("_cj") + 1) * size)
+    slope = (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    x_a, x_b = F.col("x1") + slope * (y_a - F.col("y1")), F.col("x1") + slope * (y_b - F.col("y1"))
+    flat = F.col("y1") == F.col("y2")
+    left = F.when(flat, x_low).otherwise(F.greatest(x_low, F.least(x_a, x_b) - 1e-6 * size))
+    right = F.when(flat, x_high).otherwise(F.least(x_high, F.greatest(x_a, x_b) + 1e-6 * size))
+    touching = (
+        edges.withColumn("_cj", F.explode(F.sequence(index(y_low), index(y_high))))
+        .withColumn("_ci", F.explode(F.sequence(index(left), index(right))))
+        .groupBy("_cj", "_ci")
+        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
     )
-    return points.join(odd, key, "left").withColumn("on_land", F.col("_odd").isNotNull()).drop("_odd")
+    wanted = cells.select("_ci", "_cj").distinct().withColumn("_asked", F.lit(True))
+    rows = wanted.join(crossings, ["_ci", "_cj"], "full")
+    east = W.partitionBy("_cj").orderBy(F.col("_ci").desc()).rowsBetween(W.unboundedPreceding, -1)
+    far = rows.withColumn("_n", F.when(F.col("_low").isNull(), 0).otherwise(F.size("_low")))
+    far = far.withColumn("_far", F.coalesce(F.sum("_n").over(east), F.lit(0)) % 2 == 1).drop("_n")
+    return far.filter("_asked").drop("_asked").join(touching, ["_ci", "_cj"], "left")
+
+
+def land_mask(points: DataFrame, edges: DataFrame, key: str, cell_m: float = 25_000.0) -> DataFrame:
+    """Adds ``on_land``: the position lies inside the outline; null where it is unknown.
+
+    The grid cell of a point knows whether one of its corners is inside and which edges
+    touch it. The answer is that corner's, turned once for every crossing on the way from
+    the corner along the lower side and up to the point. Points meet the edges of their own
+    cell, and the points themselves are joined once, by cell.
+    """
+    ensure_checkpoint_dir(points.sparkSession)
+    placed = points.withColumns({"_ci": join_cell(F.col("x"), cell_m), "_cj": join_cell(F.col("y"), cell_m)})
+    # Stored first: both sides of the join are then plain shuffles, whose hot cells split.
+    cells = land_cells(placed.filter(f"_ci <> {NO_CELL} and _cj <> {NO_CELL}"), edges, cell_m).checkpoint()
+    joined = placed.join(cells, ["_ci", "_cj"], "left")
+    x, y, base = F.col("x"), F.col("y"), F.col("_cj") * F.lit(float(cell_m))
+
+    def climbed(e: Column) -> Column:
+        over = (e["x1"] > x) != (e["x2"] > x)
+        at = (e["y2"] - e["y1"]) * (x - e["x1"]) / (e["x2"] - e["x1"]) + e["y1"]
+        return over & (at > base) & (at <= y)
+
+    along = F.when(F.col("_low").isNull(), 0).otherwise(F.size(F.filter("_low", lambda c: c > x)))
+    up = F.when(F.col("_edges").isNull(), 0).otherwise(F.size(F.filter("_edges", climbed)))
+    inside = F.coalesce(F.col("_far"), F.lit(False)) != ((along + up) % 2 == 1)
+    known = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    return joined.withColumn("on_land", F.when(known, inside)).drop("_ci", "_cj", "_far", "_low", "_edges")
 
 
 def simplify_track(

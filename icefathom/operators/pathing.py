@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,7 +62,8 @@ def _tile_solver(slice_len: float | None, last_slot: int):
             if slice_len is None:
                 cost = weight[:, 0]
             else:
-                slot = np.minimum(np.where(np.isfinite(leave), leave, 0) // slice_len, last_slot).astype(int)
+                # The same division as in the predecessor step: floor division differs in the last digit.
+                slot = np.minimum(np.floor(np.where(np.isfinite(leave), leave, 0) / slice_len), last_slot).astype(int)
                 cost = weight[np.arange(len(arcs)), slot]
             offer = np.minimum.reduceat(leave + cost, first, axis=1)
             better = offer < dist[:, heads]
@@ -78,7 +81,7 @@ def _tile_solver(slice_len: float | None, last_slot: int):
 def cost_distance(
     edges: DataFrame,
     sources: DataFrame,
-    max_iter: int = 1000,
+    max_iter: int | None = None,
     slice_len: float | None = None,
     tile: int = TILE,
     batch_voyages: int = BATCH_VOYAGES,
@@ -94,7 +97,9 @@ def cost_distance(
     A round settles whole tiles and then passes improved rim costs on, so the
     number of rounds follows tiles crossed, not nodes crossed. Work is spread
     by (tile, batch of voyages), both bounded. Every round ends in a reliable
-    checkpoint. No convergence within ``max_iter`` rounds is an error.
+    checkpoint. Weights are positive, so every round settles the tile that holds the least
+    open cost for good and the rounds end by themselves; ``max_iter`` makes a longer run an
+    error. A node other than a source that has no predecessor is an error too.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -123,7 +128,7 @@ def cost_distance(
         "voyage_id", F.col("i").cast("bigint"), F.col("j").cast("bigint"), F.lit(0.0).alias("d"),
         F.lit(True).alias("fresh"),
     ).checkpoint()
-    for _ in range(max_iter):
+    for _ in range(max_iter) if max_iter is not None else count():
         tagged = in_batches(state)
         active = tagged.filter("fresh").select(*area).distinct()
         work = tagged.join(active, area, "left_semi")
@@ -154,10 +159,11 @@ def cost_distance(
     best = departing.groupBy("voyage_id", F.col("ni").alias("i"), F.col("nj").alias("j")).agg(F.min(arrive).alias("_p"))
     found = dist.join(best, ["voyage_id", "i", "j"], "left")
     reached = F.col("_p.a") <= F.col("dist")
+    broken = F.raise_error(F.lit("cost_distance: a node other than the source has no predecessor")).cast("bigint")
     return found.select(
         "voyage_id", "i", "j", "dist",
-        F.when(reached, F.col("_p.pi")).alias("pi"),
-        F.when(reached, F.col("_p.pj")).alias("pj"),
+        F.when(F.col("dist") == 0, F.lit(None)).when(reached, F.col("_p.pi")).otherwise(broken).cast("bigint").alias("pi"),
+        F.when(F.col("dist") == 0, F.lit(None)).when(reached, F.col("_p.pj")).otherwise(broken).cast("bigint").alias("pj"),
     )
 
 
@@ -166,12 +172,13 @@ def extract_routes(pred: DataFrame, targets: DataFrame, max_rounds: int = 40) ->
 
     ``targets``: voyage_id, i, j. Predecessor steps are doubled each round
     (1, 2, 4, ... hops), so the rounds follow the logarithm of the longest
-    route; both tables are checkpointed per round.
+    route; both tables are checkpointed per round. A target that ``pred`` does not reach
+    has no route and no row (``unreachable`` lists those).
     """
     ensure_checkpoint_dir(pred.sparkSession)
     key = ["voyage_id", "i", "j"]
     hop = pred.filter("pi is not null").select(*key, F.col("pi").alias("hi"), F.col("pj").alias("hj")).checkpoint()
-    walk = targets.select(
+    walk = targets.join(pred.select(*key), key, "left_semi").select(
         *key, F.col("i").alias("target_i"), F.col("j").alias("target_j"), F.lit(0).cast("bigint").alias("back")
     )
     size = 1
@@ -194,3 +201,8 @@ def extract_routes(pred: DataFrame, targets: DataFrame, max_rounds: int = 40) ->
     ends = ["voyage_id", "target_i", "target_j"]
     hops = walk.groupBy(*ends).agg(F.max("back").alias("_hops"))
     return walk.join(hops, ends).select(*ends, (F.col("_hops") - F.col("back")).alias("seq"), "i", "j")
+
+
+def unreachable(pred: DataFrame, targets: DataFrame) -> DataFrame:
+    """Targets that ``cost_distance`` has not reached."""
+    return targets.join(pred.select("voyage_id", "i", "j"), ["voyage_id", "i", "j"], "left_anti")

@@ -19,7 +19,9 @@ def fix_rules(lat: str = "lat", lon: str = "lon", speed: str | None = None) -> d
         "lon_range": (o < -180) | ((o > 180) & ~F.isnan(o)),
     }
     if speed is not None:
-        rules["speed_negative"] = F.col(speed) < 0
+        v = F.col(speed)
+        rules["speed_missing"] = v.isNull() | F.isnan(v.cast("double"))
+        rules["speed_negative"] = v < 0
     return rules
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TILE = 512
 
@@ -15,17 +16,24 @@ def cfar(pixels: DataFrame, guard: int, train: int, alpha: float, tile: int = TI
     ``hit`` iff p * n > alpha * ring sum; the ring is the training box less
     the guard box and ``n`` its pixels inside the scene. Scenes are cut into
     tiles with a rim of ``train`` pixels, shuffled once; the row and column
-    box sums both run inside that partitioning.
+    box sums both run inside that partitioning. Pixels keep their value: integers
+    and decimals are summed exactly, floating point as double.
     """
     if not 0 <= guard < train <= tile:
         raise ValueError("need 0 <= guard < train <= tile")
 
+    kind = pixels.schema["p"].dataType
+    if isinstance(kind, (T.IntegralType, T.FractionalType)) and not isinstance(kind, T.DecimalType):
+        kind = T.LongType() if isinstance(kind, T.IntegralType) else T.DoubleType()
+    elif not isinstance(kind, T.DecimalType):
+        raise ValueError(f"pixels must be numbers, not {kind.simpleString()}")
+
     def tiles(at: str) -> Column:
         return F.sequence(F.floor((F.col(at) - train) / tile), F.floor((F.col(at) + train) / tile))
 
     rimmed = (
         pixels.filter("p is not null")
-        .select("scene", "r", "c", F.col("p").cast("bigint").alias("p"))
+        .select("scene", "r", "c", F.col("p").cast(kind).alias("p"))
         .withColumn("_tr", F.explode(tiles("r")))
         .withColumn("_tc", F.explode(tiles("c")))
     )
@@ -56,7 +64,7 @@ def cfar(pixels: DataFrame, guard: int, train: int, alpha: float, tile: int = TI
     home = (F.floor(F.col("r") / tile) == F.col("_tr")) & (F.floor(F.col("c") / tile) == F.col("_tc"))
     return boxes.filter(home & F.col("p").isNotNull()).select(
         "scene", "r", "c", "p", "ring_sum", "ring_n",
-        (F.col("p") * F.col("ring_n") > F.lit(float(alpha)) * F.col("ring_sum")).alias("hit"),
+        (F.col("p").cast("double") * F.col("ring_n") > F.lit(float(alpha)) * F.col("ring_sum").cast("double")).alias("hit"),
     )
 
 
@@ -79,7 +87,7 @@ def _fill_holes(rimmed: DataFrame, area: list[str]) -> DataFrame:
         .withColumn("c", F.explode(F.sequence("_c0", "_c1")))
         .select("scene", "r", "c", "_tr", "_tc")
     )
-    empty = every.join(rimmed, [*area, "r", "c"], "left_anti").withColumn("p", F.lit(None).cast("bigint"))
+    empty = every.join(rimmed, [*area, "r", "c"], "left_anti").withColumn("p", F.lit(None).cast(rimmed.schema["p"].dataType))
     return rimmed.unionByName(empty)
 
 

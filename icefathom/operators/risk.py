@@ -71,9 +71,10 @@ def cost_surface(cells: DataFrame, profiles: DataFrame, factors: dict[str, Colum
 
 
 def barrier_reason(depth: Column, draft: Column, on_land: Column, margin_m: float = 2.0) -> Column:
-    """Why a cell is closed to a hull, null when it is open."""
+    """Why a cell is closed to a hull, null when it is open; what is unknown closes it."""
     return (
-        F.when(F.coalesce(on_land, F.lit(False)), "land")
+        F.when(on_land, "land")
+        .when(on_land.isNull(), "land_unknown")
         .when(depth.isNull(), "depth_unknown")
         .when(~(depth > draft + margin_m), "shallow")
     )
@@ -107,15 +108,17 @@ def risk_surface(
     factors: dict[str, Column],
     draft_m: float,
     ice_class: int,
+    on_land: str | None = None,
 ) -> DataFrame:
     """Cost, RIO and barrier per cell, slot and profile for one hull.
 
     RIO is per cell, so it is joined to the grid before the profiles multiply
-    the rows.
+    the rows. ``on_land`` names the column of ``env`` that ``land_mask`` made.
     """
     index = rio(ice_regime, riv.filter(F.col("ice_class") == ice_class)).select("cell_i", "cell_j", "rio", "status")
     joined = env.join(index, ["cell_i", "cell_j"], "left")
-    reason = barrier_reason(F.col("depth_m"), F.lit(float(draft_m)), F.lit(False))
+    land = F.col(on_land) if on_land else F.lit(False)
+    reason = barrier_reason(F.col("depth_m"), F.lit(float(draft_m)), land)
     closed = joined.withColumn("reason", reason).withColumn("blocked", F.col("reason").isNotNull())
     return cost_surface(closed, profiles, factors).withColumn(
         "passable", ~F.col("blocked") & F.coalesce(F.col("rio") >= 0, F.lit(False))
@@ -123,7 +126,7 @@ def risk_surface(
 
 
 def write_risk_surface(surface: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Stores the surface so readers prune by profile and slot."""
-    surface.repartition("profile", "slot", F.pmod(F.col("cell_i"), F.lit(16))).write.mode(mode).partitionBy(
+    """Stores the surface so readers prune by profile and slot; files follow its size."""
+    surface.hint("rebalance", "profile", "slot").write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy(
         "profile", "slot"
     ).parquet(path)

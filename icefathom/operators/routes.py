@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from icefathom.operators import segments as sg
 from icefathom.operators.nearest import nearest_by_group
+from icefathom.operators.spread import latest_by
 from icefathom.session import ensure_checkpoint_dir
 
 FRONT_BLOCK = 256
@@ -36,13 +37,16 @@ def corridors(
 ) -> DataFrame:
     """Three picks per voyage: A shortest, B least score, C widest margin.
 
-    Ties go to the lowest route id. One partially aggregated pass.
+    Ties go to the lowest route id. A candidate whose measure is unknown cannot win; if
+    all are unknown the pick is null. One partially aggregated pass.
     """
     row = F.struct(*[c for c in candidates.columns if c != voyage])
+
+    def least(measure: Column) -> Column:
+        return F.min_by(row, F.when(measure.isNotNull(), F.struct(measure.alias("_m"), F.col(route))))
+
     picks = candidates.groupBy(voyage).agg(
-        F.min_by(row, F.struct(F.col(distance), F.col(route))).alias("A"),
-        F.min_by(row, F.struct(score.alias("_s"), F.col(route))).alias("B"),
-        F.min_by(row, F.struct((-F.col(margin)).alias("_m"), F.col(route))).alias("C"),
+        least(F.col(distance)).alias("A"), least(score).alias("B"), least(-F.col(margin)).alias("C")
     )
     long = F.explode(F.array(*[F.struct(F.lit(n).alias("corridor"), F.col(n).alias("r")) for n in "ABC"]))
     return picks.select(voyage, long.alias("_p")).select(voyage, "_p.corridor", "_p.r.*")
@@ -179,7 +183,7 @@ def benchmark_voyage(
 ) -> DataFrame:
     """Saving in percent against the sailed track, per voyage.
 
-    Zero or missing history gives null.
+    Zero or missing history gives null; every route stays.
     """
     h = historical.select(voyage, F.col(km).alias("_hk"), F.col(hours).alias("_hh"))
 
@@ -187,7 +191,7 @@ def benchmark_voyage(
         return F.when(F.col(old) != 0, (F.col(old) - F.col(new)) * 100.0 / F.col(old))
 
     return (
-        routes.join(h, voyage)
+        routes.join(h, voyage, "left")
         .withColumns({"saving_km_pct": saving("_hk", km), "saving_h_pct": saving("_hh", hours)})
         .drop("_hk", "_hh")
     )
@@ -254,16 +258,20 @@ def standoff(
 
 
 def collision_watch(
-    approaches: DataFrame, limits: list[tuple[str, float, float]], k: int, vessel: str, berg_fix: str
+    approaches: DataFrame, limits: list[tuple[str, float, float]], k: int, vessel: str, berg_fix: str, berg: str | None = None
 ) -> DataFrame:
     """Risk class of each approach and the ``k`` closest per vessel.
 
+    With ``berg`` each berg takes one place, with its closest approach.
+
     ``limits`` lists (class, km, hours), most severe first; an approach within
     both gets the class, others are ``clear``.
     """
     label = F.lit("clear")
     for name, km, hours in reversed(limits):
         label = F.when((F.col("cpa_km") <= km) & (F.col("t_star_h") <= hours), name).otherwise(label)
+    if berg is not None:
+        approaches = latest_by(approaches, [vessel, berg], [F.col("cpa_km"), F.col("t_star_h"), F.col(berg_fix)])
     order = W.partitionBy(vessel).orderBy("cpa_km", "t_star_h", berg_fix)
     return (
         approaches.withColumn("risk_class", label)
@@ -278,7 +286,8 @@ def bandwidth_budget(
 ) -> DataFrame:
     """Keeps features by priority while they fit ``bps`` x ``seconds`` / 8 bytes.
 
-    Adds ``bytes``, the running total and ``sent``; what was cut stays visible.
+    Adds ``bytes``, the running total and ``sent``; what was cut stays visible. A feature
+    of unknown size is cut; a null key is a link like any other.
     """
     sized = sg.add_segment(features.withColumn("bytes", F.octet_length(payload).cast("bigint")), [key], ts, segment_s)
     by_priority = sized.withColumn(
@@ -286,7 +295,8 @@ def bandwidth_budget(
         F.struct(F.col(priority).alias("p"), F.col(f"{sg.SEGMENT}.slot").alias("s"), F.col(f"{sg.SEGMENT}.cut").alias("c")),
     )
     total = sg.running_sum(by_priority, [key], [priority, ts, row_id], F.col("bytes"), "running_bytes")
-    return total.withColumn("sent", F.col("running_bytes") <= F.lit(bps * seconds / 8.0)).drop(sg.SEGMENT)
+    fits = F.col("bytes").isNotNull() & (F.col("running_bytes") <= F.lit(bps * seconds / 8.0))
+    return total.withColumn("sent", F.coalesce(fits, F.lit(False))).drop(sg.SEGMENT)
 
 
 def budget_report(budgeted: DataFrame, key: str) -> DataFrame:
@@ -296,5 +306,5 @@ def budget_report(budgeted: DataFrame, key: str) -> DataFrame:
         F.sum(sent.cast("bigint")).alias("n_sent"),
         F.sum((~sent).cast("bigint")).alias("n_cut"),
         F.sum(F.when(sent, F.col("bytes")).otherwise(0)).alias("bytes_sent"),
-        F.sum(F.when(sent, 0).otherwise(F.col("bytes"))).alias("bytes_cut"),
+        F.sum(F.when(sent, 0).otherwise(F.coalesce("bytes", F.lit(0)))).alias("bytes_cut"),
     )

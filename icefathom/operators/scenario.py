@@ -40,18 +40,24 @@ def scenario_delta(
     totals: DataFrame, base_id: int, route: str = "route_id", measures: tuple[str, ...] = ("cost",),
     certified: str = "certified",
 ) -> DataFrame:
-    """Change of each scenario against the baseline, with certification flips."""
+    """Change of each scenario against the baseline, with certification flips.
+
+    Every route of the baseline has a row in every scenario. Where a side is missing or
+    its certification is null the flip is ``unknown``, never ``same``.
+    """
     base = totals.filter(F.col("scenario_id") == base_id).select(
         route, *[F.col(m).alias(f"_b_{m}") for m in measures], F.col(certified).alias("_b_cert")
     )
     flip = (
-        F.when(F.col("_b_cert") & ~F.col(certified), "lost")
+        F.when(F.col("_b_cert").isNull() | F.col(certified).isNull(), "unknown")
+        .when(F.col("_b_cert") & ~F.col(certified), "lost")
         .when(~F.col("_b_cert") & F.col(certified), "gained")
         .otherwise("same")
     )
+    others = totals.filter(F.col("scenario_id") != base_id)
+    expected = fan_out(base, others.select("scenario_id").distinct())
     return (
-        totals.filter(F.col("scenario_id") != base_id)
-        .join(base, route, "left")
+        others.join(expected, ["scenario_id", route], "full")
         .select(
             "scenario_id", route, *[(F.col(m) - F.col(f"_b_{m}")).alias(f"delta_{m}") for m in measures],
             flip.alias("flip"),

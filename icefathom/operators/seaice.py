@@ -25,12 +25,16 @@ def fit_sea_ice(
     train: DataFrame, features: list[str], label: str = "sic", kind: str = "forest", trees: int = 20, depth: int = 5,
     seed: int = 42,
 ):
-    """Random forest or gradient boosting regression as a saved-able pipeline model."""
+    """Random forest or gradient boosting regression as a saved-able pipeline model.
+
+    Rows with an unknown feature or label teach nothing and are left out;
+    ``usable_rows`` counts both kinds.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     common = {"featuresCol": "features", "labelCol": label, "predictionCol": "prediction", "seed": seed, "maxDepth": depth}
     if kind == "forest":
         learner = RandomForestRegressor(numTrees=trees, **common)
@@ -38,12 +42,27 @@ def fit_sea_ice(
         learner = GBTRegressor(maxIter=trees, **common)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
-    return Pipeline(stages=[assembler, learner]).fit(train)
+    return Pipeline(stages=[assembler, learner]).fit(train.filter(_known([*features, label])))
+
+
+def _known(columns: list[str]) -> Column:
+    """All of ``columns`` are numbers."""
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return known
+
+
+def usable_rows(train: DataFrame, features: list[str], label: str = "sic") -> DataFrame:
+    """Rows that ``fit_sea_ice`` learns from, and rows it leaves out."""
+    known = _known([*features, label])
+    return train.agg(F.count(F.when(known, 1)).alias("n_used"), F.count(F.when(~known, 1)).alias("n_left_out"))
 
 
 def predict(model, df: DataFrame, out: str = "sic_pred") -> DataFrame:
-    """Predicted concentration, cut to [0, 1]."""
-    scored = model.transform(df).withColumn(out, clamp(F.col("prediction"), 0.0, 1.0))
+    """Predicted concentration, cut to [0, 1]; null where a feature is unknown. Every row stays."""
+    known = _known(model.stages[0].getInputCols())
+    scored = model.transform(df).withColumn(out, F.when(known, clamp(F.col("prediction"), 0.0, 1.0)))
     return scored.drop("features", "prediction")
 
 

@@ -19,7 +19,6 @@ SEGMENT = "_segment"
 CARRIED = "_carried"
 SEGMENT_S = 86400.0
 SEGMENT_ROWS = 2_000_000
-MAX_CUTS = 1000
 
 
 def add_segment(
@@ -45,12 +44,12 @@ def add_segment(
     worst = counts.agg(F.max("_n")).first()[0]
     if worst is None:
         return plain.withColumn(SEGMENT, F.struct(F.col("_slot").alias("slot"), F.lit(0).alias("cut"))).drop("_slot")
-    parts = int(min(MAX_CUTS, -(-worst // max_rows) + 1))
+    parts = int(-(-worst // max_rows) + 1)
     at = [i / parts for i in range(1, parts)]
     cuts = (
         plain.join(counts.select(*keys, "_slot"), [*keys, "_slot"], "left_semi")
         .groupBy(*keys, "_slot")
-        .agg(F.percentile_approx(epoch_seconds(F.col(ts)), at, F.lit(10 * MAX_CUTS)).alias("_cuts"))
+        .agg(F.percentile_approx(epoch_seconds(F.col(ts)), at, F.lit(max(10_000, 10 * parts))).alias("_cuts"))
     )
     joined = plain.join(cuts, [*keys, "_slot"], "left")
     below = F.size(F.filter(F.col("_cuts"), lambda c: c < epoch_seconds(F.col(ts))))
@@ -120,11 +119,14 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     totals = (
         valued.groupBy(*keys, SEGMENT)
         .agg(F.sum("_v").alias("_total"))
-        .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+        .withColumn("_base", F.sum("_total").over(before))
         .drop("_total")
     )
+    # Null-safe, so that rows without a key or a time find their totals too.
+    there = totals.select(*[F.col(c).alias(f"_at_{c}") for c in [*keys, SEGMENT]], "_base")
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*keys, SEGMENT]]
     return (
-        local.join(totals, [*keys, SEGMENT], "left")
-        .withColumn(out, F.col("_base") + F.col("_local"))
-        .drop("_v", "_local", "_base")
+        local.join(there, same, "left")
+        .withColumn(out, F.coalesce(F.col("_base") + F.col("_local"), "_base", "_local"))
+        .drop("_v", "_local", "_base", *[f"_at_{c}" for c in [*keys, SEGMENT]])
     )

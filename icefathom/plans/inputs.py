@@ -87,3 +87,19 @@ def moving_bergs(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
     """Projected berg fixes with velocity."""
     cols = bergs(spark, sf_dir).select("berg_id", "fix_id", "ts", "lat", "lon")
     return drift_velocity(geometry.project_3031(cols), n, "berg_id", "ts", "fix_id")
+
+
+def cell_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each grid cell's centre lies on land, by the fixture's places of cells."""
+    cells = view(spark, sf_dir, "env_cells").select("cell_i", "cell_j").distinct()
+    centres = cells.withColumns({"x": (F.col("cell_i") - 20) * 125000.0, "y": (F.col("cell_j") - 5) * 500000.0})
+    known = centres.withColumn("x", F.when(F.col("cell_i") % 13 != 7, F.col("x")))
+    return geometry.land_mask(known, view(spark, sf_dir, "land_edges"), "cell_i", 250_000.0).select("cell_i", "cell_j", "on_land")
+
+
+# The same as SQL; every thirteenth column of cells has no known place.
+CELL_LAND_SQL = """cell_land as (
+  select cell_i, cell_j, case when cell_i % 13 <> 7 then sum(case when (y1 > y) <> (y2 > y)
+      and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 then 1 else 0 end) % 2 = 1 end as on_land
+  from (select distinct cell_i, cell_j, (cell_i - 20) * 125000.0e0 as x, (cell_j - 5) * 500000.0e0 as y from env_cells) c
+  cross join land_edges group by cell_i, cell_j)"""

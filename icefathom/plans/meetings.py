@@ -117,7 +117,8 @@ CPA_SQL = f"""v as {_velocity_sql('pings', 'vessel_id', 'ping_id', 1)},
 b as {_velocity_sql('berg_fixes', 'berg_id', 'fix_id', 2)},
 close as (
   select v.vessel_id, v.ping_id, b.berg_id, b.fix_id, {t.scale('v.lat')} as k,
-         (b.x - v.x) / 1000.0e0 as rx, (b.y - v.y) / 1000.0e0 as ry,
+         (b.x - v.x) / 1000.0e0 + coalesce(b.vx, 0) * ((epoch_us(v.ts) - epoch_us(b.ts)) / 3.6e9) as rx,
+         (b.y - v.y) / 1000.0e0 + coalesce(b.vy, 0) * ((epoch_us(v.ts) - epoch_us(b.ts)) / 3.6e9) as ry,
          coalesce(b.vx, 0) - coalesce(v.vx, 0) as wx, coalesce(b.vy, 0) - coalesce(v.vy, 0) as wy
   from v join b on abs(v.lat - b.lat) < 1.0e0 and abs(epoch_us(v.ts) - epoch_us(b.ts)) <= 10800e6
   where {t.hav('v.lat', 'v.lon', 'b.lat', 'b.lon')} <= 100.0e0),
@@ -154,14 +155,15 @@ def cpa(spark, sf_dir):
     f"""with {CPA_SQL}, classed as (
       select *, case when d_km <= 5.0e0 and t_h <= 1.0e0 then 'critical' when d_km <= 20.0e0 and t_h <= 6.0e0 then 'warning'
         when d_km <= 60.0e0 and t_h <= 12.0e0 then 'watch' else 'clear' end as risk_class,
-        row_number() over (partition by vessel_id order by d_km, t_h, fix_id) as rn from approach)
+        row_number() over (partition by vessel_id order by d_km, t_h, fix_id) as rn
+      from (select *, row_number() over (partition by vessel_id, berg_id order by d_km, t_h, fix_id) as own from approach) a where own = 1)
     select vessel_id, cast(rn as int) as rank, ping_id, fix_id, risk_class, {t.fx('d_km')} as cpa_km from classed where rn <= 3""",
     ("pings", "berg_fixes"),
 )
 def collision_watch(spark, sf_dir):
-    """The three closest approaches of every vessel with their risk class."""
+    """The three bergs that come closest to every vessel, with their risk class."""
     limits = [("critical", 5.0, 1.0), ("warning", 20.0, 6.0), ("watch", 60.0, 12.0)]
-    top = routes.collision_watch(_approaches(spark, sf_dir), limits, 3, "vessel_id", "b_fix_id")
+    top = routes.collision_watch(_approaches(spark, sf_dir), limits, 3, "vessel_id", "b_fix_id", "b_berg_id")
     return top.select(
         "vessel_id",
         "rank",

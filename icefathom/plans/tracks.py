@@ -64,6 +64,23 @@ def read_tracks(spark, sf_dir):
     )
 
 
+@registered(
+    "select ping_id from pings where ping_id % 50 = 0", ("pings",)
+)
+def read_tracks_rejects(spark, sf_dir):
+    """The lines that could not be read, by their fix; no cache, one column."""
+    folder = f"{ensure_checkpoint_dir(spark)}/rejects-{uuid.uuid4().hex}"
+    inputs.pings(spark, sf_dir).select(
+        F.col("vessel_id").alias("id"),
+        F.col("ping_id").alias("fix_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("ping_id") % 50 == 0, "not a number").otherwise(F.col("lat").cast("string")).alias("lat"),
+        "lon",
+    ).write.option("header", True).csv(folder)
+    _, bad = tracks.split_corrupt(tracks.read_tracks(spark, folder))
+    return bad.select(F.split("_corrupt_record", ",")[1].cast("bigint").alias("ping_id"))
+
+
 @registered(
     f"select station_id, name, 'Point' as geometry_type, {t.fx('lon', 4)} as lon, {t.fx('lat', 4)} as lat from stations",
     ("stations",),
@@ -314,13 +331,14 @@ def geojson_lines(spark, sf_dir):
 LAND_SQL = f"""xy as (select ping_id, {t.px('lat', 'lon')} as x, {t.py('lat', 'lon')} as y from pings),
 land as (
   select xy.ping_id, coalesce(sum(case when (y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
-    then 1 else 0 end), 0) % 2 = 1 as on_land from xy cross join land_edges group by 1)"""
+    then 1 else 0 end), 0) % 2 = 1 as inside from xy cross join land_edges group by 1)"""
 
 
-@registered(f"with {LAND_SQL} select ping_id, on_land from land", ("pings", "land_edges"))
+@registered(f"with {LAND_SQL} select ping_id, case when ping_id % 17 <> 0 then inside end as on_land from land", ("pings", "land_edges"))
 def land_mask(spark, sf_dir):
     p = g.project_3031(inputs.pings(spark, sf_dir).select("ping_id", "lat", "lon"))
-    return g.land_mask(p, view(spark, sf_dir, "land_edges"), "ping_id").select("ping_id", "on_land")
+    unknown = p.withColumn("x", F.when(F.col("ping_id") % 17 != 0, F.col("x")))
+    return g.land_mask(unknown, view(spark, sf_dir, "land_edges"), "ping_id").select("ping_id", "on_land")
 
 
 @registered(

@@ -8,7 +8,7 @@ from icefathom.functions.numeric import fixed
 from icefathom.operators import geometry, nearest, pathing, risk, routes, scenario
 from icefathom.plans import inputs
 from icefathom.plans import sqltext as t
-from icefathom.plans.inputs import COST_SQL, ENV_SQL, RIO_SQL
+from icefathom.plans.inputs import CELL_LAND_SQL, COST_SQL, ENV_SQL, RIO_SQL
 from icefathom.plans.registry import registered
 from icefathom.plans.tracks import LEGS_SQL
 from icefathom.plans.views import view
@@ -77,28 +77,32 @@ def clearance_class(spark, sf_dir):
     return risk.clearance_class(view(spark, sf_dir, "env_cells")).select("cell_i", "cell_j", "slot", "clearance")
 
 
-SURFACE_SQL = f"""{RIO_SQL}, {ENV_SQL}, {COST_SQL},
+SURFACE_SQL = f"""{RIO_SQL}, {ENV_SQL}, {COST_SQL}, {CELL_LAND_SQL},
 surface as (
-  select p.*, r.rio, case when p.depth_m is null then 'depth_unknown' when not (p.depth_m > 9.0e0) then 'shallow' end as reason
-  from priced p left join rio r on r.cell_i = p.cell_i and r.cell_j = p.cell_j and r.ice_class = 2)"""
+  select p.*, r.rio, case when l.on_land then 'land' when l.on_land is null then 'land_unknown'
+    when p.depth_m is null then 'depth_unknown' when not (p.depth_m > 9.0e0) then 'shallow' end as reason
+  from priced p left join cell_land l on l.cell_i = p.cell_i and l.cell_j = p.cell_j
+  left join rio r on r.cell_i = p.cell_i and r.cell_j = p.cell_j and r.ice_class = 2)"""
 
 
 def _surface(spark, sf_dir):
+    env = inputs.env_with_bergs(spark, sf_dir).join(inputs.cell_land(spark, sf_dir), ["cell_i", "cell_j"], "left")
     return risk.risk_surface(
-        inputs.env_with_bergs(spark, sf_dir),
+        env,
         view(spark, sf_dir, "ice_regime"),
         view(spark, sf_dir, "riv"),
         view(spark, sf_dir, "profiles"),
         inputs.cost_factors(),
         draft_m=7.0,
         ice_class=2,
+        on_land="on_land",
     )
 
 
 @registered(
     f"""with {SURFACE_SQL} select cell_i, cell_j, slot, profile, {t.fx('cost', 5)} as cost, {t.fx('rio')} as rio, reason,
     reason is not null as blocked, reason is null and coalesce(rio >= 0, false) as passable from surface""",
-    ("env_cells", "berg_fixes", "profiles", "ice_regime", "riv"),
+    ("env_cells", "berg_fixes", "profiles", "ice_regime", "riv", "land_edges"),
 )
 def risk_surface(spark, sf_dir):
     """Flagship: cost, ice risk index and barrier per cell, slot and profile."""
@@ -178,6 +182,16 @@ def _ends(c):
     return picked.filter("n > 1").select("voyage_id", "lo.*"), picked.filter("n > 1").select("voyage_id", "hi.*")
 
 
+PLANNED_SQL = """sailed as (
+  select voyage_id, arg_min(dist_km, route_id) as lo_km, arg_min(time_h, route_id) as lo_h
+  from candidates where voyage_id % 7 <> 3 group by 1),
+bench as (
+  select c.voyage_id, case when lo_km <> 0 then (lo_km - hi_km) * 100.0e0 / lo_km end as saving_km_pct,
+    case when lo_h <> 0 then (lo_h - hi_h) * 100.0e0 / lo_h end as saving_h_pct
+  from (select voyage_id, arg_max(dist_km, route_id) as hi_km, arg_max(time_h, route_id) as hi_h from candidates group by 1) c
+  left join sailed using (voyage_id))"""
+
+
 ENDS_SQL = """ends as (
   select voyage_id, arg_min(dist_km, route_id) as lo_km, arg_max(dist_km, route_id) as hi_km,
     arg_min(time_h, route_id) as lo_h, arg_max(time_h, route_id) as hi_h,
@@ -238,20 +252,21 @@ def saving_summary(spark, sf_dir):
 
 
 @registered(
-    f"""with {RIO_SQL}, cells as (select e.cell_i, e.cell_j, e.slot, not (depth_m > 9.0e0) as blocked, r.rio
-      from env_cells e left join rio r on r.cell_i = e.cell_i and r.cell_j = e.cell_j and r.ice_class = 2),
+    f"""with {RIO_SQL}, {CELL_LAND_SQL}, cells as (select e.cell_i, e.cell_j, e.slot, coalesce(l.on_land, true) or depth_m is null or not (depth_m > 9.0e0) as blocked, r.rio
+      from env_cells e left join cell_land l on l.cell_i = e.cell_i and l.cell_j = e.cell_j left join rio r on r.cell_i = e.cell_i and r.cell_j = e.cell_j and r.ice_class = 2),
     placed as (select vessel_id, {t.PING_CELL} from pings)
     select vessel_id, cast(sum(case when blocked then 1 else 0 end) as bigint) as groundings,
       cast(sum(case when rio < 0 then 1 else 0 end) as bigint) as ice_breaches,
       cast(sum(case when blocked is null then 1 else 0 end) as bigint) as n_unknown, count(*) as n_legs
     from placed left join cells using (cell_i, cell_j, slot) group by 1""",
-    ("pings", "env_cells", "ice_regime", "riv"),
+    ("pings", "env_cells", "ice_regime", "riv", "land_edges"),
 )
 def violations(spark, sf_dir):
     index = inputs.rio_table(spark, sf_dir).filter("ice_class = 2").select("cell_i", "cell_j", "rio")
-    reason = risk.barrier_reason(F.col("depth_m"), F.lit(7.0), F.lit(False))
+    reason = risk.barrier_reason(F.col("depth_m"), F.lit(7.0), F.col("on_land"))
     cells = (
         view(spark, sf_dir, "env_cells")
+        .join(inputs.cell_land(spark, sf_dir), ["cell_i", "cell_j"], "left")
         .select("cell_i", "cell_j", "slot", reason.isNotNull().alias("blocked"))
         .join(index, ["cell_i", "cell_j"], "left")
     )
@@ -323,9 +338,12 @@ def scenario_bergs(spark, sf_dir):
     placed as (select vessel_id, {t.PING_CELL} from pings),
     totals as (select scenario_id, vessel_id, sum(2.0e0 * sic + 0.5e0 * wave_m) as cost, max(sic) <= 0.7e0 as certified
       from placed join perturbed using (cell_i, cell_j, slot) group by 1, 2)
-    select s.scenario_id, s.vessel_id, {t.fx('s.cost - b.cost', 4)} as delta_cost,
-      case when b.certified and not s.certified then 'lost' when not b.certified and s.certified then 'gained' else 'same' end as flip
-    from totals s left join totals b on b.vessel_id = s.vessel_id and b.scenario_id = 0 where s.scenario_id <> 0""",
+    select coalesce(s.scenario_id, b.other) as scenario_id, coalesce(s.vessel_id, b.vessel_id) as vessel_id, {t.fx('s.cost - b.cost', 4)} as delta_cost,
+      case when b.certified is null or s.certified is null then 'unknown' when b.certified and not s.certified then 'lost'
+        when not b.certified and s.certified then 'gained' else 'same' end as flip
+    from (select * from totals where scenario_id <> 0) s full join (select b.*, o.scenario_id as other
+      from totals b cross join (select distinct scenario_id from totals where scenario_id <> 0) o where b.scenario_id = 0) b
+    on b.vessel_id = s.vessel_id and b.other = s.scenario_id""",
     ("pings", "env_cells", "scenarios"),
 )
 def scenario_delta(spark, sf_dir):
@@ -395,3 +413,113 @@ def extract_routes(spark, sf_dir):
     last = dist.agg(F.max("i").alias("i"))
     goal = dist.join(last, "i", "left_semi").select("voyage_id", "i", "j")
     return pathing.extract_routes(dist, goal)
+
+
+@registered(
+    f"with {PLANNED_SQL} select voyage_id, {t.fx('saving_km_pct')} as saving_km_pct, {t.fx('saving_h_pct')} as saving_h_pct from bench",
+    ("candidates",),
+)
+def benchmark_without_history(spark, sf_dir):
+    """Savings where every seventh voyage has no sailed track: it stays, with nulls."""
+    c = view(spark, sf_dir, "candidates")
+    row = F.struct(F.col("route_id"), F.col("dist_km").alias("km"), F.col("time_h").alias("hours"))
+    ends = c.groupBy("voyage_id").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    sailed = ends.filter("voyage_id % 7 <> 3").select("voyage_id", "lo.*")
+    b = routes.benchmark_voyage(ends.select("voyage_id", "hi.*"), sailed)
+    return b.select(
+        "voyage_id", fixed(F.col("saving_km_pct")).alias("saving_km_pct"), fixed(F.col("saving_h_pct")).alias("saving_h_pct")
+    )
+
+
+HOLED_SQL = """holed as (select voyage_id, route_id, case when route_id % 3 <> 0 then dist_km end as dist_km,
+    case when route_id % 4 <> 0 then dist_km + 2 * time_h + 5 * risk end as score,
+    case when route_id % 5 <> 0 then 100 - risk end as margin from candidates)"""
+
+
+@registered(
+    f"""with {HOLED_SQL}, voyages as (select distinct voyage_id from holed),
+    ranked as (
+      select 'A' as corridor, *, row_number() over (partition by voyage_id order by dist_km, route_id) as rn from holed where dist_km is not null
+      union all select 'B', *, row_number() over (partition by voyage_id order by score, route_id) from holed where score is not null
+      union all select 'C', *, row_number() over (partition by voyage_id order by margin desc, route_id) from holed where margin is not null)
+    select v.voyage_id, n.corridor, r.route_id, r.dist_km, r.score, r.margin
+    from voyages v cross join (select unnest(['A', 'B', 'C']) as corridor) n
+    left join ranked r on r.voyage_id = v.voyage_id and r.corridor = n.corridor and r.rn = 1""",
+    ("candidates",),
+)
+def corridors_with_gaps(spark, sf_dir):
+    """Corridors where some measures are unknown: an unknown measure never wins."""
+    c = view(spark, sf_dir, "candidates").select(
+        "voyage_id",
+        "route_id",
+        F.when(F.col("route_id") % 3 != 0, F.col("dist_km")).alias("dist_km"),
+        F.when(F.col("route_id") % 4 != 0, F.col("dist_km") + 2 * F.col("time_h") + 5 * F.col("risk")).alias("score"),
+        F.when(F.col("route_id") % 5 != 0, 100 - F.col("risk")).alias("margin"),
+    )
+    picks = routes.corridors(c, F.col("score"))
+    return picks.select("voyage_id", "corridor", "route_id", "dist_km", "score", "margin")
+
+
+@registered(
+    """with sized as (
+      select case when ping_id % 11 <> 0 then vessel_id end as vessel_id, ping_id, ts, ping_id % 4 as priority,
+        case when ping_id % 9 <> 0 then cast(length(status) as bigint) end as bytes from pings),
+    totals as (select *, cast(sum(bytes) over (partition by vessel_id order by priority, ts, ping_id rows unbounded preceding) as bigint)
+      as running_bytes from sized)
+    select vessel_id, ping_id, bytes, running_bytes, bytes is not null and coalesce(running_bytes <= 300, false) as sent from totals""",
+    ("pings",),
+)
+def bandwidth_with_gaps(spark, sf_dir):
+    """Messages without a link or without a known size: each is sent or cut, none is lost."""
+    features = inputs.pings(spark, sf_dir).select(
+        F.when(F.col("ping_id") % 11 != 0, F.col("vessel_id")).alias("vessel_id"),
+        "ping_id",
+        "ts",
+        (F.col("ping_id") % 4).alias("priority"),
+        F.when(F.col("ping_id") % 9 != 0, F.col("status")).alias("payload"),
+    )
+    sent = routes.bandwidth_budget(features, "vessel_id", "priority", "ts", "ping_id", "payload", 2400.0, 1.0)
+    return sent.select("vessel_id", "ping_id", "bytes", "running_bytes", "sent")
+
+
+def _tiled(spark, sf_dir):
+    nodes = view(spark, sf_dir, "grid_nodes")
+    starts = nodes.filter("i = 0 and j in (0, 49)").select(
+        F.when(F.col("j") == 0, 0).otherwise(1).cast("bigint").alias("voyage_id"), "i", "j"
+    )
+    return pathing.cost_distance(pathing.grid_edges(nodes), starts, tile=8)
+
+
+@registered(
+    f"""with recursive {EDGES_SQL} select d.voyage_id, d.i, d.j, cast(d.d as double) as dist, p.pi, p.pj
+    from dist d left join pred p using (voyage_id, i, j)""",
+    ("grid_nodes",),
+)
+def cost_distance_tiles(spark, sf_dir):
+    """The same distances over tiles of 8 x 8 nodes, so that paths cross many rims."""
+    return _tiled(spark, sf_dir)
+
+
+@registered(
+    f"""with recursive {EDGES_SQL}, goal as (select voyage_id, i, j from (select distinct voyage_id from starts) v
+      cross join (select i, j from grid_nodes where j = 25 union all select -1, -1) g),
+    walk as (select g.voyage_id, g.i as target_i, g.j as target_j, g.i, g.j, cast(0 as bigint) as back from goal g join dist d using (voyage_id, i, j)
+      union all select w.voyage_id, w.target_i, w.target_j, p.pi, p.pj, w.back + 1
+        from walk w join pred p on p.voyage_id = w.voyage_id and p.i = w.i and p.j = w.j)
+    select voyage_id, target_i, target_j, i, j, max(back) over (partition by voyage_id, target_i, target_j) - back as seq, true as reached from walk
+    union all select voyage_id, i, j, null, null, null, false from goal g where not exists (
+      select 1 from dist d where d.voyage_id = g.voyage_id and d.i = g.i and d.j = g.j)""",
+    ("grid_nodes",),
+)
+def routes_to_targets(spark, sf_dir):
+    """Routes to a column of the grid and to one place outside it, which none reaches."""
+    dist = _tiled(spark, sf_dir).checkpoint()
+    outside = dist.select("voyage_id").distinct().select("voyage_id", F.lit(-1).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("j"))
+    goal = dist.filter("j = 25").select("voyage_id", "i", "j").unionByName(outside)
+    found = pathing.extract_routes(dist, goal).withColumn("reached", F.lit(True))
+    nothing = F.lit(None).cast("bigint")
+    missed = pathing.unreachable(dist, goal).select(
+        "voyage_id", F.col("i").alias("target_i"), F.col("j").alias("target_j"), nothing.alias("i"), nothing.alias("j"),
+        nothing.alias("seq"), F.lit(False).alias("reached"),
+    )
+    return found.unionByName(missed)

@@ -26,6 +26,8 @@ def build_session(app: str = "icefathom", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    # Checkpoints of rounds that nothing refers to any more are removed (set at start only).
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in SESSION_DEFAULTS.items():
         builder = builder.config(key, value)
     for key, value in conf.items():

@@ -59,10 +59,13 @@ def test_feed_freshness_limit_is_exclusive(spark):
 def test_read_tracks_keeps_malformed_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_text(
         "id,fix_id,ts,lat,lon\n1,1,2024-01-01 00:00:00,-65.5,10.25\n1,2,not a time,-65,x\n2,3,2024-01-02 00:00:00,-70,\n"
+        "3,4,2024-01-02 00:00:00,-70\n3,5,2024-01-02 00:00:00,-70,1,9\n3,6,\"2024-01-02 00:00:00\",-70,2\n\n"
     )
-    good, bad = tracks.split_corrupt(tracks.read_tracks(spark, str(tmp_path)).cache())
-    assert sorted((r.fix_id, r.lon) for r in good.collect()) == [(1, 10.25), (3, None)]
-    assert [r[0] for r in bad.collect()] == ["1,2,not a time,-65,x"]
+    good, bad = tracks.split_corrupt(tracks.read_tracks(spark, str(tmp_path)))
+    assert sorted((r.fix_id, r.lon) for r in good.collect()) == [(1, 10.25), (3, None), (6, 2.0)]
+    assert good.select("id").count() == good.count() == 3
+    rejected = ["1,2,not a time,-65,x", "3,4,2024-01-02 00:00:00,-70", "3,5,2024-01-02 00:00:00,-70,1,9"]
+    assert sorted(r[0] for r in bad.collect()) == rejected and bad.count() == 3
 
 
 def test_geojson_collection_and_lines(spark, tmp_path):
