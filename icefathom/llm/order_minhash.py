@@ -19,7 +19,8 @@ same pair from many buckets is aligned once, and joins on a hot document are pla
 shuffle joins that adaptive execution splits. What finds candidates is a random search:
 with half of the k-mers shared (about 7 % edited words) all 24 sketches miss a pair with
 a chance of 0.1 %, with four tenths shared 1.5 %; a link through any third copy joins
-the class as well.
+the class as well. Texts that have no five words in a row in common are never compared,
+however short they are.
 
 Defined cases: null and empty texts, and texts without a letter or digit, belong to no
 class but their own. Texts with fewer than five words are one k-mer. Texts are read
@@ -202,15 +203,16 @@ def near_links(docs: DataFrame, reps: DataFrame, key: str = "doc_id", text: str
 
     ``reps`` is (key, sketches), one row for each representative.
     """
-    buckets = reps.select("key", F.posexplode("sketches").alias("sketch", "value"))
+    # The hash of a sketch is seeded with its number, so equal values are of one sketch.
+    buckets = reps.select("key", F.explode("sketches").alias("bucket"))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     links = None
     left = buckets
     for turn in range(rounds):
-        hubs = left.groupBy("sketch", "value").agg(F.min("key").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        met = left.join(hubs, ["sketch", "value"]).filter(F.col("key") != F.col("hub"))
-        if turn or rounds > 1:
-            met = met.checkpoint()
+        # Stored first: the join then has plain shuffles on both sides, whose hot buckets split,
+        # and only buckets that two documents share are left in it.
+        hubs = left.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n").checkpoint()
+        met = left.join(hubs, "bucket").filter(F.col("key") != F.col("hub")).checkpoint()
         asked = met.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
         if links is not None:
             asked = asked.join(links.select("a", "b"), ["a", "b"], "left_anti")
@@ -220,7 +222,7 @@ def near_links(docs: DataFrame, reps: DataFrame, key: str = "doc_id", text: str
         links = found if links is None else links.union(found)
         if turn + 1 < rounds:
             matched = links.filter("similarity > 0").select(F.col("a").alias("hub"), F.col("b").alias("key"))
-            left = met.join(matched, ["hub", "key"], "left_anti").select("key", "sketch", "value")
+            left = met.join(matched, ["hub", "key"], "left_anti").select("key", "bucket")
             if not left.limit(1).count():
                 break
     return links.filter("similarity > 0").dropDuplicates(["a", "b"])
@@ -233,7 +235,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: in
     spoken = signed.filter(F.col("key").isNotNull() & F.col("sketches").isNotNull())
     # Rows with one key are one document: the least digest speaks for it.
     digests = spoken.groupBy("key").agg(F.min("digest").alias("digest"))
-    equal = spoken.groupBy("digest").agg(F.min("key").alias("exact_of"), F.first("sketches").alias("sketches"))
+    equal = spoken.groupBy("digest").agg(F.min("key").alias("exact_of"), F.first("sketches").alias("sketches")).checkpoint()
     reps = equal.groupBy(F.col("exact_of").alias("key")).agg(F.first("sketches").alias("sketches"))
     links = near_links(docs.filter(F.col(key).isNotNull()), reps, key, text, rounds)
     roots = components(links).withColumnsRenamed({"node": "exact_of", "root": "class_id"})
