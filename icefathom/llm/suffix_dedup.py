@@ -214,7 +214,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ``spans`` are word ranges (start, end) to remove; a whole copy has ``copy_of``.
     """
     tables = _tables(docs.filter(F.col(key).isNotNull()), key, text).distinct().checkpoint()
-    firsts = tables.filter(F.col("n_words") >= PASSAGE).groupBy("digest").agg(F.min("key").alias("first"))
+    # Stored first, so that a digest with very many copies splits in the join.
+    firsts = tables.filter(F.col("n_words") >= PASSAGE).groupBy("digest").agg(F.min("key").alias("first")).checkpoint()
     known = tables.join(firsts, "digest", "left").withColumn("copy_of", F.when(F.col("first") < F.col("key"), F.col("first"))).drop("first")
 
     suffixes = _suffixes(docs, key, text).repartitionByRange("prefix", "tag", "key").sortWithinPartitions("prefix", "tag", "key")
