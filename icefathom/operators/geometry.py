@@ -144,22 +144,45 @@ def part_lines(
     """Nested lines ``array<struct<lon,lat>>`` of a split track.
 
     A part is given as consecutive ``line`` pieces of one time segment and at
-    most ``points`` vertices each, so no list grows with the track.
+    most ``points`` new vertices each, so no list grows with the track. Every piece
+    begins with the last vertex of the piece before it: put together they draw the part
+    without a gap. A part of one fix is one piece of one vertex.
     """
     order = [ts, row_id, "piece"]
     cut = sg.add_segment(split, [key], ts, segment_s)
     w = sg.segment_window([key], order)
-    numbered = cut.withColumn("_block", F.floor((F.row_number().over(w) - 1) / points))
+    near = sg.carry_neighbours(cut, [key], order).withColumns(
+        {"_plon": F.lag("lon").over(w), "_plat": F.lag("lat").over(w), "_ppart": F.lag("part").over(w)}
+    )
+    numbered = sg.drop_carried(near).withColumn("_block", F.floor((F.row_number().over(w) - 1) / points))
+    linked = F.when(F.col("_ppart") == F.col("part"), F.struct(F.col("_plon").alias("lon"), F.col("_plat").alias("lat")))
     packed = numbered.groupBy(key, "part", sg.SEGMENT, "_block").agg(
-        F.sort_array(F.collect_list(F.struct(*order, "lon", "lat"))).alias("_pts")
+        F.sort_array(F.collect_list(F.struct(*order, "lon", "lat"))).alias("_pts"),
+        F.min_by(linked, F.struct(*order)).alias("_before"),
     )
-    line_of = packed.select(
+    own = F.transform("_pts", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    return packed.select(
         key,
         "part",
         F.struct(F.col(f"{sg.SEGMENT}.slot"), F.col(f"{sg.SEGMENT}.cut"), F.col("_block")).alias("line"),
-        F.transform("_pts", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("coords"),
+        F.when(F.col("_before").isNull(), own).otherwise(F.concat(F.array("_before"), own)).alias("coords"),
+    )
+
+
+def route_lines(split: DataFrame, key: str, ts: str = "ts", row_id: str = "fix_id") -> DataFrame:
+    """One row per route: ``lines``, its parts in order, as a MultiLineString has them.
+
+    Parts of a single fix are no lines and are left out (``part_lines`` keeps them as
+    points). A feature is one value, so this is for routes; a telemetry history of any
+    length goes out as ``part_lines``.
+    """
+    order = [ts, row_id, "piece"]
+    parts = split.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct(*order, "lon", "lat"))).alias("_pts"))
+    line = F.transform("_pts", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    lines = parts.filter(F.size("_pts") > 1).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("part", line.alias("coords")))).alias("_lines")
     )
-    return line_of
+    return lines.select(key, F.col("_lines.coords").alias("lines"))
 
 
 def land_cells(cells: DataFrame, edges: DataFrame, cell_m: float) -> DataFrame:

@@ -85,6 +85,7 @@ def cost_distance(
     slice_len: float | None = None,
     tile: int = TILE,
     batch_voyages: int = BATCH_VOYAGES,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
     """Least accumulated cost from each voyage's source to every node.
 
@@ -94,6 +95,11 @@ def cost_distance(
     ``sources``: voyage_id, i, j. Returns voyage_id, i, j, dist and the
     predecessor pi, pj (lowest of equals; null at the source).
 
+    With ``targets`` (voyage_id, i, j) a voyage stops where its cost exceeds that of its
+    farthest target: once all its targets have a cost, labels above the highest of those
+    costs are not carried on, and the result holds the nodes up to it. Costs of targets
+    are exact all the same, since a way to them never goes through a dearer node.
+
     A round settles whole tiles and then passes improved rim costs on, so the
     number of rounds follows tiles crossed, not nodes crossed. Work is spread
     by (tile, batch of voyages), both bounded. Every round ends in a reliable
@@ -118,11 +124,11 @@ def cost_distance(
         return in_tiles(df).withColumn("_vb", F.pmod(F.xxhash64("voyage_id"), F.lit(batches)).cast("int"))
 
     area = ["_ti", "_tj", "_vb"]
-    arcs = (
-        in_tiles(slotted.select("i", "j", "ni", "nj", "w", "slot"))
-        .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-        .checkpoint()
-    )
+    # One copy of the graph; a round joins it to the (tile, batch) pairs that are active.
+    arcs = in_tiles(slotted.select("i", "j", "ni", "nj", "w", "slot")).checkpoint()
+    goals = None
+    if targets is not None:
+        goals = targets.select("voyage_id", F.col("i").cast("bigint"), F.col("j").cast("bigint")).distinct().checkpoint()
 
     state = sources.select(
         "voyage_id", F.col("i").cast("bigint"), F.col("j").cast("bigint"), F.lit(0.0).alias("d"),
@@ -132,7 +138,7 @@ def cost_distance(
         tagged = in_batches(state)
         active = tagged.filter("fresh").select(*area).distinct()
         work = tagged.join(active, area, "left_semi")
-        arc_work = arcs.join(active, area, "left_semi")
+        arc_work = arcs.join(active.toDF(*area), ["_ti", "_tj"])
         solved = (
             arc_work.groupBy(*area)
             .cogroup(work.groupBy(*area))
@@ -144,13 +150,17 @@ def cost_distance(
             .groupBy("voyage_id", "i", "j")
             .agg(F.min("d").alias("d"), F.min(F.when(F.col("inside"), F.col("d"))).alias("_known"))
             .select("voyage_id", "i", "j", "d", (F.col("_known").isNull() | (F.col("d") < F.col("_known"))).alias("fresh"))
-            .checkpoint()
         )
+        if goals is not None:
+            state = _within_bound(state.checkpoint(), goals)
+        state = state.checkpoint()
         if state.filter("fresh").isEmpty():
             break
     else:
         raise RuntimeError(f"cost_distance did not settle within {max_iter} rounds")
 
+    if goals is not None:
+        state = state.filter("not beyond")
     dist = state.select("voyage_id", "i", "j", F.col("d").alias("dist"))
     departing = dist.join(slotted, ["i", "j"])
     if slice_len is not None:
@@ -167,6 +177,17 @@ def cost_distance(
     )
 
 
+def _within_bound(state: DataFrame, goals: DataFrame) -> DataFrame:
+    """Marks labels dearer than all targets of their voyage; those are not carried on."""
+    met = goals.join(state.select("voyage_id", "i", "j", "d"), ["voyage_id", "i", "j"], "left")
+    bound = met.groupBy("voyage_id").agg(
+        F.when(F.count("d") == F.count(F.lit(1)), F.max("d")).alias("_most")
+    )
+    joined = state.drop("beyond").join(bound, "voyage_id", "left")
+    beyond = F.coalesce(F.col("d") > F.col("_most"), F.lit(False))
+    return joined.withColumn("beyond", beyond).withColumn("fresh", F.col("fresh") & ~F.col("beyond")).drop("_most")
+
+
 def extract_routes(pred: DataFrame, targets: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Waypoints of the route to each target, ``seq`` 0 at the source.
 

@@ -27,7 +27,7 @@ def fit_sea_ice(
 ):
     """Random forest or gradient boosting regression as a saved-able pipeline model.
 
-    Rows with an unknown feature or label teach nothing and are left out;
+    A forest of one tree sees every row once, without drawing. Rows with an unknown feature or label teach nothing and are left out;
     ``usable_rows`` counts both kinds.
     """
     from pyspark.ml import Pipeline
@@ -37,7 +37,7 @@ def fit_sea_ice(
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     common = {"featuresCol": "features", "labelCol": label, "predictionCol": "prediction", "seed": seed, "maxDepth": depth}
     if kind == "forest":
-        learner = RandomForestRegressor(numTrees=trees, **common)
+        learner = RandomForestRegressor(numTrees=trees, bootstrap=trees > 1, **common)
     elif kind == "boosting":
         learner = GBTRegressor(maxIter=trees, **common)
     else:

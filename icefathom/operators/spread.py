@@ -16,7 +16,8 @@ def fan_out(df: DataFrame, params: DataFrame, max_rows: int = PARAM_ROWS) -> Dat
 
     Up to ``max_rows`` parameter rows, checked here, become a literal array
     that each row explodes: no join and no shuffle. A longer parameter table
-    is spread over a salt and met through an ordinary equi-join on it.
+    is spread over a salt and met through an ordinary equi-join on it; there are
+    as many salts as the left side fills shuffle partitions, four times over.
     """
     rows = params.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
@@ -30,9 +31,10 @@ def fan_out(df: DataFrame, params: DataFrame, max_rows: int = PARAM_ROWS) -> Dat
         else:
             literal = F.array(*structs)
         return df.select("*", F.inline(literal))
-    salted = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    spread = max(SPREAD, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return (
-        df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)).cast("int"))
+        df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(spread)).cast("int"))
         .join(salted, "_salt")
         .drop("_salt")
     )

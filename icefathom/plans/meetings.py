@@ -74,16 +74,16 @@ def source_fallback(spark, sf_dir):
 
 @registered(
     f"""with pairs as (select p.vessel_id, b.berg_id, {t.hav('p.lat', 'p.lon', 'b.lat', 'b.lon')} as km
-      from pings p join berg_fixes b on abs(p.lat - b.lat) < 1.0e0)
+      from pings p join berg_fixes b on abs(p.lat - b.lat) < 1.0e0 and epoch_us(b.ts) - epoch_us(p.ts) between -86400e6 and 86400e6)
     select vessel_id, count(*) as n_pairs, count(distinct berg_id) as n_bergs, {t.fx('min(km)')} as min_km
     from pairs where km <= 100.0e0 group by 1""",
     ("pings", "berg_fixes"),
 )
 def within_km(spark, sf_dir):
-    """Berg fixes within 100 km of each vessel's pings, summed up per vessel."""
-    p = inputs.pings(spark, sf_dir).select("vessel_id", "ping_id", "lat", "lon")
-    b = inputs.bergs(spark, sf_dir).select("berg_id", "fix_id", "lat", "lon")
-    pairs = joins.within_km(p, b, 100.0, "ping_id", "fix_id")
+    """Berg fixes within 100 km and a day of each vessel's pings, summed up per vessel."""
+    p = inputs.pings(spark, sf_dir).select("vessel_id", "ping_id", "ts", "lat", "lon")
+    b = inputs.bergs(spark, sf_dir).select("berg_id", "fix_id", "ts", "lat", "lon")
+    pairs = joins.within_km(p, b, 100.0, "ping_id", "fix_id", before_s=86400.0, after_s=86400.0)
     per_berg = pairs.groupBy("vessel_id", "b_berg_id").agg(F.count(F.lit(1)).alias("n"), F.min("dist_km").alias("km"))
     return per_berg.groupBy("vessel_id").agg(
         F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_bergs"), fixed(F.min("km")).alias("min_km")
@@ -262,17 +262,21 @@ def berg_density(spark, sf_dir):
     f"""with {DENSITY_SQL},
     centres as (select cell_i, cell_j, (cell_i + 0.5e0) * 50000.0e0 as x, (cell_j + 0.5e0) * 50000.0e0 as y
       from density where n_bergs >= 2),
+    packs as (select distinct cell_i, cell_j, (cell_i - 19.5e0) * 125000.0e0 as x, (cell_j - 4.5e0) * 500000.0e0 as y
+      from env_cells where sic >= 0.8e0),
     hazards as (select 'berg-' || fix_id as hazard_id, lat, lon from berg_fixes
       union all select 'cell-' || cell_i || '-' || cell_j, ilat, ilon
-      from {t.inverse_columns('centres', 'x', 'y', 'cell_i, cell_j')} c),
+      from {t.inverse_columns('centres', 'x', 'y', 'cell_i, cell_j')} c
+      union all select 'ice-' || cell_i || '-' || cell_j, ilat, ilon
+      from {t.inverse_columns('packs', 'x', 'y', 'cell_i, cell_j')} k),
     met as (select p.vessel_id, p.ping_id, h.hazard_id, {t.hav('p.lat', 'p.lon', 'h.lat', 'h.lon')} as km
       from pings p cross join hazards h)
     select vessel_id, {t.fx('min(km)')} as standoff_km, arg_min(hazard_id, km) as hazard_id, arg_min(ping_id, km) as point_id
     from met group by 1""",
-    ("pings", "berg_fixes"),
+    ("pings", "berg_fixes", "env_cells"),
 )
 def standoff(spark, sf_dir):
-    """Least distance of each vessel's track to any berg fix or berg-cluster centre."""
+    """Least distance of each vessel's track to any berg fix, berg cluster or cell of heavy ice."""
     single = inputs.bergs(spark, sf_dir).select(
         F.concat(F.lit("berg-"), F.col("fix_id").cast("string")).alias("hazard_id"), "lat", "lon"
     )
@@ -282,6 +286,12 @@ def standoff(spark, sf_dir):
         geo.polar_lat(x, y).alias("lat"),
         geo.polar_lon(x, y).alias("lon"),
     )
+    ix, iy = (F.col("cell_i") - 19.5) * 125_000.0, (F.col("cell_j") - 4.5) * 500_000.0
+    packs = view(spark, sf_dir, "env_cells").filter("sic >= 0.8").select("cell_i", "cell_j").distinct().select(
+        F.concat_ws("-", F.lit("ice"), F.col("cell_i").cast("string"), F.col("cell_j").cast("string")).alias("hazard_id"),
+        geo.polar_lat(ix, iy).alias("lat"),
+        geo.polar_lon(ix, iy).alias("lon"),
+    )
     p = inputs.pings(spark, sf_dir)
-    near = routes.standoff(p, single.unionByName(cluster), "vessel_id", "ping_id", "hazard_id")
+    near = routes.standoff(p, single.unionByName(cluster).unionByName(packs), "vessel_id", "ping_id", "hazard_id")
     return near.select("vessel_id", fixed(F.col("standoff_km")).alias("standoff_km"), "hazard_id", "point_id")

@@ -35,6 +35,24 @@ def cfar(spark, sf_dir):
     return _hits(spark, sf_dir)
 
 
+@registered(
+    """with pixels as (select scene, r, c, cast(floor(p / 100.0e0) / 10000.0e0 as decimal(12, 4)) as p from sar_pixels),
+    boxes as (select a.scene, a.r, a.c, a.p,
+        sum(case when abs(b.r - a.r) > 1 or abs(b.c - a.c) > 1 then b.p else 0 end) as ring_sum,
+        sum(case when abs(b.r - a.r) > 1 or abs(b.c - a.c) > 1 then 1 else 0 end) as ring_n
+      from pixels a join pixels b on b.scene = a.scene and b.r between a.r - 3 and a.r + 3 and b.c between a.c - 3 and a.c + 3
+      group by 1, 2, 3, 4)
+    select scene, r, c, cast(p as double) as p, cast(ring_sum as double) as ring_sum, cast(ring_n as bigint) as ring_n,
+      cast(p as double) * ring_n > 1.5e0 * cast(ring_sum as double) as hit from boxes""",
+    ("sar_pixels",),
+)
+def cfar_decibel(spark, sf_dir):
+    """Targets in fractional backscatter, kept as exact decimals."""
+    value = (F.floor(F.col("p") / 100).cast("decimal(18,0)") / 10000).cast("decimal(12,4)")
+    hits = radar.cfar(view(spark, sf_dir, "sar_pixels").select("scene", "r", "c", value.alias("p")), 1, 3, 1.5)
+    return hits.select("scene", "r", "c", F.col("p").cast("double").alias("p"), F.col("ring_sum").cast("double").alias("ring_sum"), "ring_n", "hit")
+
+
 @registered(
     f"""with {CFAR_SQL} select scene, cast(floor(r / 10.0e0) as bigint) as cell_i, cast(floor(c / 10.0e0) as bigint) as cell_j,
     count(*) as n_hits, max(p) as peak, {t.fx('avg(p)')} as mean_p from cfar where hit group by 1, 2, 3""",
@@ -122,21 +140,72 @@ def _model_rows(spark, sf_dir):
 FEATURES = ["sic_lag1", "sic_lag2", "wind_ms", "wave_m", "speed", "depth_m"]
 
 
-@registered()
+LAGGED_SQL = """lagged as (
+  select e.*, a.sic as sic_lag1, b.sic as sic_lag2 from env_cells e
+  left join env_cells a on a.cell_i = e.cell_i and a.cell_j = e.cell_j and a.slot = e.slot - 1
+  left join env_cells b on b.cell_i = e.cell_i and b.cell_j = e.cell_j and b.slot = e.slot - 2)"""
+
+
+@registered(
+    f"""with {LAGGED_SQL} select cell_i, cell_j, slot, {t.fx('sic', 5)} as sic, true as in_range from lagged
+    where slot > 9 and sic_lag1 is not null and sic_lag2 is not null""",
+    ("env_cells",),
+)
 def predict_forest(spark, sf_dir):
-    """Random forest fitted on earlier slots, scored on later ones."""
+    """Random forest fitted on earlier slots, scored on later ones: a prediction in range for every row."""
     rows = _model_rows(spark, sf_dir)
     model = seaice.fit_sea_ice(rows.filter("slot <= 9"), FEATURES, trees=10, depth=4)
     scored = seaice.predict(model, rows.filter("slot > 9"))
-    return scored.select("cell_i", "cell_j", "slot", "sic", "sic_pred")
+    in_range = F.coalesce(F.col("sic_pred").between(0.0, 1.0), F.lit(False))
+    return scored.select("cell_i", "cell_j", "slot", fixed(F.col("sic"), 5).alias("sic"), in_range.alias("in_range"))
 
 
-@registered()
+@registered(
+    f"""with {LAGGED_SQL} select slot, count(*) as n, true as closer_than_mean from lagged
+    where slot > 9 and sic_lag1 is not null and sic_lag2 is not null group by 1""",
+    ("env_cells",),
+)
 def predict_boosting_report(spark, sf_dir):
-    """Gradient boosting fitted on earlier slots; error report on later ones."""
+    """Gradient boosting fitted on earlier slots; rows and whether the error stays below 0.5, by later slot."""
     rows = _model_rows(spark, sf_dir)
     model = seaice.fit_sea_ice(rows.filter("slot <= 9"), FEATURES, kind="boosting", trees=5, depth=3)
-    return seaice.regression_report(seaice.predict(model, rows.filter("slot > 9")), "sic", "sic_pred", ["slot"])
+    report = seaice.regression_report(seaice.predict(model, rows.filter("slot > 9")), "sic", "sic_pred", ["slot"])
+    return report.select("slot", "n", (F.col("mae") < 0.5).alias("closer_than_mean"))
+
+
+STUMP_SQL = """train as (select wave_m, sic from env_cells where slot <= 9),
+levels as (select wave_m, lead(wave_m) over (order by wave_m) as nxt from (select distinct wave_m from train) d),
+cuts as (select (wave_m + nxt) / 2.0e0 as cut from levels where nxt is not null),
+sides as (select cut, wave_m <= cut as low, avg(sic) as mean, sum(sic * sic) - sum(sic) * sum(sic) / count(*) as sse
+  from cuts cross join train group by 1, 2),
+best as (select cut from sides group by cut order by sum(sse), cut limit 1)"""
+
+
+@registered(
+    f"""with {STUMP_SQL} select e.wave_m, count(*) as n, {t.fx('min(s.mean)', 6)} as sic_pred
+    from env_cells e join sides s on s.low = (e.wave_m <= s.cut) join best b on b.cut = s.cut
+    where e.slot > 9 group by 1""",
+    ("env_cells",),
+)
+def fit_stump(spark, sf_dir):
+    """One tree of depth one on wave height: the split and both means follow from the data alone."""
+    rows = view(spark, sf_dir, "env_cells")
+    model = seaice.fit_sea_ice(rows.filter("slot <= 9"), ["wave_m"], trees=1, depth=1)
+    scored = seaice.predict(model, rows.filter("slot > 9"))
+    return scored.groupBy("wave_m").agg(F.count(F.lit(1)).alias("n"), fixed(F.min("sic_pred"), 6).alias("sic_pred"))
+
+
+@registered(
+    f"""with {STUMP_SQL} select e.cell_i, e.cell_j, e.slot, case when e.cell_i % 6 <> 5 then {t.fx('s.mean', 6)} end as sic_pred
+    from env_cells e join sides s on s.low = (e.wave_m <= s.cut) join best b on b.cut = s.cut""",
+    ("env_cells",),
+)
+def predict_all_rows(spark, sf_dir):
+    """Every row comes back; where the feature is unknown (every sixth column of cells) the prediction is null."""
+    rows = view(spark, sf_dir, "env_cells")
+    model = seaice.fit_sea_ice(rows.filter("slot <= 9"), ["wave_m"], trees=1, depth=1)
+    holed = rows.withColumn("wave_m", F.when(F.col("cell_i") % 6 != 5, F.col("wave_m")))
+    return seaice.predict(model, holed).select("cell_i", "cell_j", "slot", fixed(F.col("sic_pred"), 6).alias("sic_pred"))
 
 
 # Live telemetry. The stream_* queries run the same functions as a real stream

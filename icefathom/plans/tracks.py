@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from icefathom.functions import geo
 from icefathom.functions.numeric import fixed
 from icefathom.operators import geometry as g
 from icefathom.operators import joins, quality
@@ -303,8 +304,13 @@ def split_antimeridian(spark, sf_dir):
 
 
 @registered(
-    f"""with {SPLIT_SQL} select vessel_id, part, cast(floor(epoch_us(ts) / 8.64e10) as bigint) as day, count(*) as n_points,
-    {t.fx('min(lon)', 4)} as west, {t.fx('max(lat)', 4)} as north from split group by 1, 2, 3""",
+    f"""with {SPLIT_SQL}, days as (select *, cast(floor(epoch_us(ts) / 8.64e10) as bigint) as day from split),
+    pieces as (select *, lag(day) over v as pday, lag(lon) over v as plon, lag(lat) over v as plat from days
+      window v as (partition by vessel_id, part order by ts, ping_id, piece)),
+    drawn as (select vessel_id, part, day, lon, lat from pieces
+      union all select vessel_id, part, day, plon, plat from pieces where pday <> day)
+    select vessel_id, part, day, count(*) as n_points, {t.fx('min(lon)', 4)} as west, {t.fx('max(lat)', 4)} as north,
+      count(*) > 1 as is_line from drawn group by 1, 2, 3""",
     ("pings",),
 )
 def geojson_lines(spark, sf_dir):
@@ -313,21 +319,49 @@ def geojson_lines(spark, sf_dir):
     lines = g.part_lines(g.split_antimeridian(p, "vessel_id", "ts", "ping_id"), "vessel_id", "ts", "ping_id")
     text = geojson.to_geojson_lines(lines, ["vessel_id", "part", "line"])
     feature = (
-        "geometry struct<type string, coordinates array<array<double>>>,"
+        "geometry struct<type string, coordinates string>,"
         " properties struct<vessel_id bigint, part bigint, line struct<slot bigint>>"
     )
     parsed = text.select(F.from_json("feature", feature).alias("f"))
-    coords = F.col("f.geometry.coordinates")
-    return parsed.select(
+    is_line = F.col("f.geometry.type") == "LineString"
+    body = F.when(is_line, F.col("f.geometry.coordinates")).otherwise(F.concat(F.lit("["), "f.geometry.coordinates", F.lit("]")))
+    coords = F.col("coords")
+    return parsed.withColumns({"coords": F.from_json(body, "array<array<double>>"), "is_line": is_line}).select(
         "f.properties.vessel_id",
         "f.properties.part",
         F.col("f.properties.line.slot").alias("day"),
         F.size(coords).cast("bigint").alias("n_points"),
         fixed(F.array_min(F.transform(coords, lambda c: c[0])), 4).alias("west"),
         fixed(F.array_max(F.transform(coords, lambda c: c[1])), 4).alias("north"),
+        "is_line",
     )
 
 
+@registered(
+    f"""with {SPLIT_SQL}, steps as (select *, lag(lat) over v as qlat, lag(lon) over v as qlon, count(*) over (partition by vessel_id, part) as n
+      from split window v as (partition by vessel_id, part order by ts, ping_id, piece))
+    select vessel_id, count(distinct part) as n_lines, count(*) as n_points, cast(min(n) as bigint) as shortest,
+      {t.fx(f"sum({t.hav('qlat', 'qlon', 'lat', 'lon')})", 2)} as km from steps where n > 1 group by 1""",
+    ("pings",),
+)
+def geojson_routes(spark, sf_dir):
+    """Each vessel's route as one GeoJSON MultiLineString, measured from the text."""
+    p = inputs.pings(spark, sf_dir).select("vessel_id", "ping_id", "ts", "lat", "lon")
+    lines = g.route_lines(g.split_antimeridian(p, "vessel_id", "ts", "ping_id"), "vessel_id", "ts", "ping_id")
+    text = geojson.to_geojson_routes(lines, ["vessel_id"])
+    feature = "type string, geometry struct<type string, coordinates array<array<array<double>>>>, properties struct<vessel_id bigint>"
+    drawn = text.select(F.from_json("feature", feature).alias("f")).filter("f.geometry.type = 'MultiLineString'")
+    parts = drawn.select("f.properties.vessel_id", F.posexplode("f.geometry.coordinates").alias("part", "line"))
+    ends = F.arrays_zip(F.slice("line", 1, F.size("line") - 1).alias("a"), F.slice("line", 2, F.size("line") - 1).alias("b"))
+    legs = parts.select("vessel_id", F.size("line").cast("bigint").alias("n"), F.explode(ends).alias("leg"))
+    km = geo.haversine_km(F.col("leg.a")[1], F.col("leg.a")[0], F.col("leg.b")[1], F.col("leg.b")[0])
+    length = legs.groupBy("vessel_id").agg(fixed(F.sum(km), 2).alias("km"))
+    counts = parts.groupBy("vessel_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.size("line")).alias("n_points"), F.min(F.size("line")).cast("bigint").alias("shortest")
+    )
+    return counts.join(length, "vessel_id")
+
+
 LAND_SQL = f"""xy as (select ping_id, {t.px('lat', 'lon')} as x, {t.py('lat', 'lon')} as y from pings),
 land as (
   select xy.ping_id, coalesce(sum(case when (y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1

@@ -13,9 +13,9 @@ REGIMES = ("LIVE", "STATIC", "SIMULATION")
 
 def write_feed(df: DataFrame, path: str, mode: str = "append") -> None:
     """Long-form grid in the layout ``read_feed`` prunes: feed, then date."""
-    df.repartition("feed", "date", F.pmod(F.xxhash64(*[c for c in df.columns if c not in ("feed", "date")]), F.lit(8))).write.mode(
-        mode
-    ).partitionBy("feed", "date").parquet(path)
+    df.hint("rebalance", "feed", "date").write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy(
+        "feed", "date"
+    ).parquet(path)
 
 
 def read_feed(

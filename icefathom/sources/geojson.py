@@ -62,9 +62,18 @@ def to_geojson_points(df: DataFrame, properties: list[str], lat: str = "lat", lo
 
 
 def to_geojson_lines(lines: DataFrame, properties: list[str], coords: str = "coords") -> DataFrame:
-    """One LineString feature string per nested line (see ``part_lines``)."""
+    """One LineString feature string per nested line (see ``part_lines``); a line of one
+    position, which GeoJSON does not allow, becomes a Point."""
     pairs = F.transform(coords, lambda p: F.array(p["lon"], p["lat"]))
-    return lines.select(*properties, _feature("LineString", pairs, F.struct(*properties)).alias("feature"))
+    point = _feature("Point", F.array(F.col(coords)[0]["lon"], F.col(coords)[0]["lat"]), F.struct(*properties))
+    line = _feature("LineString", pairs, F.struct(*properties))
+    return lines.select(*properties, F.when(F.size(coords) > 1, line).otherwise(point).alias("feature"))
+
+
+def to_geojson_routes(routes: DataFrame, properties: list[str], lines: str = "lines") -> DataFrame:
+    """One MultiLineString feature string per route (see ``route_lines``)."""
+    nested = F.transform(lines, lambda line: F.transform(line, lambda p: F.array(p["lon"], p["lat"])))
+    return routes.select(*properties, _feature("MultiLineString", nested, F.struct(*properties)).alias("feature"))
 
 
 def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> None:

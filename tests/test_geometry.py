@@ -135,7 +135,26 @@ def test_split_keeps_length(spark):
 def test_part_lines_are_bounded(spark):
     df = track(spark, [(1, f, f / 10, -65, f / 10) for f in range(100)])
     lines = g.part_lines(g.split_antimeridian(df, "id"), "id", points=7).collect()
-    assert max(len(r.coords) for r in lines) <= 7 and sum(len(r.coords) for r in lines) == 100
+    assert max(len(r.coords) for r in lines) <= 8
+    ordered = sorted(lines, key=lambda r: (r.line.slot, r.line.cut, r.line._block))
+    drawn = [c for r in ordered for c in r.coords]
+    assert len(drawn) == 100 + len(lines) - 1
+    assert all(a.coords[-1] == b.coords[0] for a, b in zip(ordered, ordered[1:]))
+
+
+def test_features_are_valid_lines(spark):
+    import json
+
+    from icefathom.sources import geojson
+
+    df = track(spark, [(1, 1, 0, -65, 170), (1, 2, 0.1, -64, -170), (1, 3, 0.2, -63, -160), (2, 4, 0, -70, 0)])
+    split = g.split_antimeridian(df, "id")
+    pieces = [json.loads(r.feature)["geometry"] for r in geojson.to_geojson_lines(g.part_lines(split, "id"), ["id", "part"]).collect()]
+    assert sorted(p["type"] for p in pieces) == ["LineString", "LineString", "Point"]
+    routes = geojson.to_geojson_routes(g.route_lines(split, "id"), ["id"]).collect()
+    (route,) = [json.loads(r.feature) for r in routes]
+    assert route["properties"] == {"id": 1} and route["geometry"]["type"] == "MultiLineString"
+    assert [[round(x, 3) for x, _ in line] for line in route["geometry"]["coordinates"]] == [[170, 180], [-180, -170, -160]]
 
 
 def test_land_mask_vertex_rules_and_bands(spark):
@@ -148,6 +167,31 @@ def test_land_mask_vertex_rules_and_bands(spark):
         assert got == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True}
 
 
+def test_land_mask_of_a_long_outline(spark):
+    """A star of 10,000 edges against the ray rule; a point meets the edges of its own cell."""
+    import random
+
+    draw, n = random.Random(3), 10_000
+    ring = []
+    for i in range(n):
+        angle, far = 2 * math.pi * i / n, 1_000_000 * draw.uniform(0.55, 1.0)
+        ring.append((far * math.cos(angle), far * math.sin(angle)))
+    edges = [(*ring[i], *ring[(i + 1) % n]) for i in range(n)]
+    spots = [(i, draw.uniform(-1.1e6, 1.1e6), draw.uniform(-1.1e6, 1.1e6)) for i in range(400)]
+
+    def inside(x, y):
+        return sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for a, b, c, d in edges) % 2 == 1
+
+    points = spark.createDataFrame(spots + [(1000, None, 0.0), (1001, 0.0, None), (1002, 5e6, 5e6)], "id long, x double, y double")
+    outline = spark.createDataFrame(edges, "x1 double, y1 double, x2 double, y2 double")
+    got = {r.id: r.on_land for r in g.land_mask(points, outline, "id").collect()}
+    assert {i: got[i] for i, _, _ in spots} == {i: inside(x, y) for i, x, y in spots}
+    assert got[1000] is None and got[1001] is None and got[1002] is False
+    cells = points.selectExpr("cast(floor(x / 25000) as bigint) _ci", "cast(floor(y / 25000) as bigint) _cj").filter("_ci is not null and _cj is not null")
+    most = g.land_cells(cells, outline, 25_000.0).selectExpr("max(size(_edges)) as n").first().n
+    assert most < n / 20
+
+
 def test_simplify_keeps_ends_and_bends(spark):
     df = track(spark, [(1, 1, 0, -65, 0), (1, 2, 30, -65, 1e-9), (1, 3, 60, -64, 0), (1, 4, 90, -64, 5), (2, 5, 0, -70, 0)])
     kept = {r.fix_id for r in g.simplify_track(df, 1.0, "id").collect()}

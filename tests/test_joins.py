@@ -172,3 +172,37 @@ def test_fan_out_both_ways(spark):
     assert small.exceptAll(large.select(small.columns)).count() == 0
     assert spread.fan_out(df, params.limit(0)).count() == 0
     assert "Join" not in small._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cpa_moves_the_berg_to_the_vessels_time(spark):
+    """A berg seen 3 h ago 30 km off at 10 km/h along x is 60 km off now, not 30."""
+    from datetime import datetime
+
+    shape = "{0} long, ts timestamp, lat double, lon double, x double, y double, vx double, vy double"
+    ship = spark.createDataFrame([(1, datetime(2024, 1, 1, 3), -71.0, 0.0, 0.0, 2.0e6, 0.0, 0.0)], shape.format("ping_id"))
+    berg = spark.createDataFrame([(9, datetime(2024, 1, 1, 0), -71.0, 0.5, 30_000.0, 2.0e6, 10.0, 0.0)], shape.format("fix_id"))
+    got = joins.cpa(ship, berg, 12.0, 100.0, 4 * 3600.0, "ping_id", "fix_id").first()
+    same = joins.cpa(ship.withColumn("ts", F.col("ts") - F.expr("interval 3 hours")), berg, 12.0, 100.0, 4 * 3600.0, "ping_id", "fix_id").first()
+    assert got.t_star_h == 0.0 and got.cpa_km == pytest.approx(2 * same.cpa_km)
+
+
+def test_watch_gives_each_berg_one_place(spark):
+    from icefathom.operators import routes
+
+    rows = [(1, 7, 70, 1.0, 0.5), (1, 7, 71, 2.0, 0.5), (1, 7, 72, 3.0, 0.5), (1, 8, 80, 9.0, 1.0)]
+    df = spark.createDataFrame(rows, "v long, b long, f long, cpa_km double, t_star_h double")
+    got = routes.collision_watch(df, [("near", 5.0, 1.0)], 2, "v", "f", "b").orderBy("rank").collect()
+    assert [(r.b, r.f) for r in got] == [(7, 70), (8, 80)]
+
+
+def test_unknown_keys_and_sizes_are_sent_or_cut(spark):
+    from datetime import datetime
+
+    from icefathom.operators import routes
+
+    rows = [(None, i, datetime(2024, 1, 1 + i), "x" * 100 if i != 1 else None) for i in range(4)]
+    df = spark.createDataFrame(rows, "link string, id long, ts timestamp, payload string").withColumn("p", F.lit(1))
+    out = routes.bandwidth_budget(df, "link", "p", "ts", "id", "payload", 1600.0, 1.0)
+    assert {r.id: r.sent for r in out.collect()} == {0: True, 1: False, 2: True, 3: False}
+    rep = routes.budget_report(out, "link").first()
+    assert (rep.n_sent, rep.n_cut, rep.bytes_sent, rep.bytes_cut) == (2, 2, 200, 100)

@@ -188,3 +188,62 @@ def test_reports(spark):
     assert (out.tp, out.fp, out.fn, out.tn, out.accuracy, out.precision, out.recall) == (1, 0, 1, 2, 0.75, 1.0, 0.5)
     none = seaice.classification_report(c.filter("t = 0"), F.col("t") == 1, F.col("p") == 1).first()
     assert none.precision is None and none.recall is None
+
+
+def slotted_line(spark, n=30, w=1.0, slots=400):
+    """A line of nodes with the same weight in every slot."""
+    rows = [(i, 0, j, 0, w, s) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n for s in range(slots)]
+    return spark.createDataFrame(rows, "i long, j long, ni long, nj long, w double, slot int")
+
+
+def test_time_slices_keep_every_predecessor(spark):
+    """Costs that are whole multiples of a slice of 0.1 fall in one slot for both steps."""
+    edges = slotted_line(spark)
+    starts = spark.createDataFrame([(1, 0, 0)], "voyage_id long, i long, j long")
+    got = pathing.cost_distance(edges, starts, slice_len=0.1, tile=8).collect()
+    assert len(got) == 30
+    assert all((r.pi is None) == (r.i == 0) for r in got) and all(r.pi == r.i - 1 for r in got if r.i)
+
+
+def test_unreached_targets_have_no_route(spark):
+    edges = slotted_line(spark, 6, 1.0, 1).drop("slot")
+    starts = spark.createDataFrame([(1, 0, 0)], "voyage_id long, i long, j long")
+    wanted = spark.createDataFrame([(1, 5, 0), (1, 99, 0)], "voyage_id long, i long, j long")
+    dist = pathing.cost_distance(edges, starts).checkpoint()
+    assert {(r.target_i, r.seq) for r in pathing.extract_routes(dist, wanted).collect()} == {(5, s) for s in range(6)}
+    assert [(r.i, r.j) for r in pathing.unreachable(dist, wanted).collect()] == [(99, 0)]
+
+
+def test_targets_bound_the_search(spark):
+    """Costs of targets equal the full search, and far nodes are not kept."""
+    import random
+
+    draw = random.Random(4)
+    nodes = spark.createDataFrame([(i, j, draw.randint(1, 9)) for i in range(40) for j in range(12)], "i long, j long, cost long")
+    starts = spark.createDataFrame([(v, 0, v) for v in range(5)], "voyage_id long, i long, j long")
+    wanted = spark.createDataFrame([(v, 9, 5) for v in range(4)] + [(4, 30, 1), (4, 2, 2)], "voyage_id long, i long, j long")
+    edges = pathing.grid_edges(nodes)
+    full = {(r.voyage_id, r.i, r.j): r.dist for r in pathing.cost_distance(edges, starts, tile=4, batch_voyages=2).collect()}
+    near = {(r.voyage_id, r.i, r.j): r.dist for r in pathing.cost_distance(edges, starts, tile=4, batch_voyages=2, targets=wanted).collect()}
+    assert len(near) < 0.7 * len(full)
+    assert all(full[k] == d for k, d in near.items())
+    assert all(near[(r.voyage_id, r.i, r.j)] == full[(r.voyage_id, r.i, r.j)] for r in wanted.collect())
+
+
+def test_fractional_pixels_keep_their_value(spark):
+    rows = [(1, r, c, 0.9 if (r, c) == (5, 5) else 0.05) for r in range(11) for c in range(11)]
+    px = spark.createDataFrame(rows, "scene long, r long, c long, p double")
+    hits = radar.cfar(px, 1, 3, 3.0).filter("hit").collect()
+    assert [(h.r, h.c, h.p) for h in hits] == [(5, 5, 0.9)]
+    with pytest.raises(ValueError):
+        radar.cfar(px.withColumn("p", F.col("p").cast("string")), 1, 3, 3.0)
+
+
+def test_predictions_for_every_row(spark):
+    rows = [(float(i % 7), float(i % 7) / 7) for i in range(70)] + [(None, 0.5), (float("nan"), 0.5), (3.0, None)]
+    df = spark.createDataFrame(rows, "x double, sic double")
+    model = seaice.fit_sea_ice(df, ["x"], trees=1, depth=2)
+    got = seaice.predict(model, df).collect()
+    assert len(got) == 73
+    assert sum(r.sic_pred is None for r in got) == 2 and all(0 <= r.sic_pred <= 1 for r in got if r.sic_pred is not None)
+    assert tuple(seaice.usable_rows(df, ["x"]).first()) == (70, 3)

@@ -117,3 +117,11 @@ def test_merge_state_ties(spark):
     got = {r.k: r.v for r in state.merge_state(old, new, ["k"], ["t", "id"]).collect()}
     assert got == {1: "new", 2: "old", 3: "old", 4: "new"}
     assert state.merge_state(old.limit(0), new.limit(0), ["k"], ["t", "id"]).count() == 0
+
+
+def test_unknown_speed_is_refused(spark):
+    rows = [(1, -65.0, 1.0, 3.0), (2, -65.0, 1.0, None), (3, -65.0, 1.0, float("nan")), (4, -65.0, 1.0, -1.0)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, v double")
+    ok, bad = quality.validate(df, quality.fix_rules(speed="v"))
+    assert [r.id for r in ok.collect()] == [1]
+    assert {r.id: r.reasons for r in bad.collect()} == {2: ["speed_missing"], 3: ["speed_missing"], 4: ["speed_negative"]}

@@ -44,7 +44,7 @@ def test_barrier_is_strict(spark):
                                   "c int, depth_m double, land boolean")
     drafts = spark.createDataFrame([(7.0,)], "draft_m double")
     got = {r.c: r.reason for r in risk.hard_barrier(cells, drafts, on_land="land").collect()}
-    assert got == {1: "shallow", 2: None, 3: "depth_unknown", 4: "land", 5: None}
+    assert got == {1: "shallow", 2: None, 3: "depth_unknown", 4: "land", 5: "land_unknown"}
     deep = {r.c: r.clearance for r in risk.clearance_class(cells.withColumn("depth_m", F.col("c") * 125.0)).collect()}
     assert deep[4] == "shelf" and deep[5] == "deep"
 
@@ -109,7 +109,7 @@ def test_benchmark_and_summary(spark):
     plan = spark.createDataFrame([(1, 34.5, 12.0), (2, 5.0, 5.0), (3, 60.0, 5.0), (4, 1.0, 1.0)], "voyage_id int, km double, hours double")
     b = routes.benchmark_voyage(plan, hist)
     got = {r.voyage_id: (r.saving_km_pct, r.saving_h_pct) for r in b.collect()}
-    assert got == {1: (65.5, -20.0), 2: (None, None), 3: (-20.0, 0.0)}
+    assert got == {1: (65.5, -20.0), 2: (None, None), 3: (-20.0, 0.0), 4: (None, None)}
     s = routes.saving_summary(b).first()
     assert (s.n_voyages, s.n_positive, s.share_positive, s.best_saving_pct) == (2, 1, 0.5, 65.5)
 
@@ -158,7 +158,7 @@ def test_scenario_clip_and_flip(spark):
     assert got[(1, 1)] == (1.0, 1.5) and got[(1, 0)] == (0.95, 1.0) and got[(2, 1)] == (None, 1.5)
     totals = spark.createDataFrame([(0, 1, 5.0, True), (1, 1, 7.0, False), (1, 2, 7.0, False)], "scenario_id int, route_id int, cost double, certified boolean")
     d = {r.route_id: (r.delta_cost, r.flip) for r in scenario.scenario_delta(totals, 0).collect()}
-    assert d == {1: (2.0, "lost"), 2: (None, "same")}
+    assert d == {1: (2.0, "lost"), 2: (None, "unknown")}
 
 
 def test_density_counts_bergs_once(spark):
