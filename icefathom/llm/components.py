@@ -10,22 +10,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link: root is the least node of its component.
 
     Every round, each node's root becomes the least root among its neighbours, then the
-    root's root; rounds follow the logarithm of the longest chain. Each round ends in a
-    reliable checkpoint. Aggregates combine before they shuffle, so a node with very many
-    links is summed where its links lie.
+    root's root, so that known ways double in length. Each round ends in a reliable
+    checkpoint. Aggregates combine before they shuffle, so a node with very many links is
+    summed where its links lie.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v"))
-    edges = ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    edges = ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")).checkpoint()
     while True:
-        # Hooking: the least root a node's neighbours have, told to the node's own root as well.
+        # The least root that a node's neighbours have.
         seen = edges.join(roots.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        met = roots.join(seen, "node").select("node", "root", F.least("root", "near").alias("low"))
-        told = met.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("told"))
-        hooked = (
-            met.join(told, "node", "left")
-            .select("node", F.col("root").alias("old"), F.least("low", F.coalesce("told", "low")).alias("up"))
-        )
+        # Stored: both sides of the next join are then plain shuffles, and a large component splits.
+        hooked = roots.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("up")).checkpoint()
         # Jumping: take the root's root.
         above = hooked.select(F.col("node").alias("up"), F.col("up").alias("top"))
         new = (
@@ -33,7 +29,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .select("node", "old", F.least("up", F.coalesce("top", "up")).alias("root"))
             .checkpoint()
         )
-        moved = new.filter(F.col("old") != F.col("root")).limit(1).count()
         roots = new.select("node", "root")
-        if not moved:
+        if new.filter(F.col("old") != F.col("root")).isEmpty():
             return roots

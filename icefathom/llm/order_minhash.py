@@ -24,8 +24,8 @@ however short they are.
 
 Defined cases: null and empty texts, and texts without a letter or digit, belong to no
 class but their own. Texts with fewer than five words are one k-mer. Texts are read
-whole. Rows with equal ids are one document (its row with the least digest stands for
-them) and each gets the class. A null id has a null class and no links. The input's
+whole. Rows with equal ids are one document and each gets the class; if their texts differ,
+the one with the least digest of words is sketched and the one with the least MD5 aligned. A null id has a null class and no links. The input's
 other columns do not pass through.
 """
 
@@ -205,8 +205,7 @@ def near_links(docs: DataFrame, reps: DataFrame, key: str = "doc_id", text: str
     """
     # The hash of a sketch is seeded with its number, so equal values are of one sketch.
     buckets = reps.select("key", F.explode("sketches").alias("bucket"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    links = None
+    links = texts = None
     left = buckets
     for turn in range(rounds):
         # Stored first: the join then has plain shuffles on both sides, whose hot buckets split,
@@ -214,16 +213,19 @@ def near_links(docs: DataFrame, reps: DataFrame, key: str = "doc_id", text: str
         hubs = left.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n").checkpoint()
         met = left.join(hubs, "bucket").filter(F.col("key") != F.col("hub")).checkpoint()
         asked = met.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-        if links is not None:
-            asked = asked.join(links.select("a", "b"), ["a", "b"], "left_anti")
+        if texts is None:
+            # Texts of documents that share any bucket: all rounds read these alone.
+            involved = met.select("key").union(met.select(F.col("hub").alias("key"))).distinct()
+            own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(involved, "key", "left_semi")
+            texts = own.groupBy("key").agg(F.min_by("text", F.md5("text")).alias("text")).checkpoint()
         with_b = asked.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         with_a = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         found = _aligned(with_a).checkpoint()
         links = found if links is None else links.union(found)
         if turn + 1 < rounds:
             matched = links.filter("similarity > 0").select(F.col("a").alias("hub"), F.col("b").alias("key"))
-            left = met.join(matched, ["hub", "key"], "left_anti").select("key", "bucket")
-            if not left.limit(1).count():
+            left = met.join(matched, ["hub", "key"], "left_anti").select("key", "bucket").checkpoint()
+            if left.isEmpty():
                 break
     return links.filter("similarity > 0").dropDuplicates(["a", "b"])
 
