@@ -54,6 +54,41 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def _license_sql() -> str:
+    """The same scan, every start of every text tried."""
+    letters = f"'{license_scan.UPPER}', '{license_scan.LOWER}'"
+
+    def stands(words: list[str], places) -> str:
+        return " and ".join(f"s + {i} >= 0 and coalesce(ws[s + {i + 1}] = '{words[i]}', false)" for i in places)
+
+    base = []
+    for phrase, label in license_scan.BASE_PHRASES.items():
+        words = license_scan.words_of(phrase)
+        test = stands(words, range(len(words)))
+        base.append(f"[{{'at': s, 'label': '{label}'}} for s in range(0, len(ws)) if {test}]")
+    found = []
+    for t in license_scan.build_templates():
+        share = " + ".join(
+            f"(case when s + {i} >= 0 and ws[s + {i + 1}] = '{w}' then {t.weights[i]} else 0 end)" for i, w in enumerate(t.words)
+        )
+        test = stands(t.words, sorted(t.mandatory))
+        found.append(f"[{{'label': '{t.label}', 'share': ({share}) / {float(sum(t.weights))}e0}} for s in range({-len(t.words)}, len(ws)) if {test}]")
+    return rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {letters}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select doc_id, ws, {' || '.join(base)} as base, {' || '.join(found)} as found from w),
+l as (select *, [x.label for x in base] as base_l, [x.at for x in base] as ats,
+  [x.label for x in found] as found_l, coalesce(list_max([x.share for x in found]), 0.0e0) as best from b)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(base) as bigint) as n_base,
+  cast(list_min(ats) as bigint) as first_word, cast(list_max(ats) as bigint) as last_word,
+  coalesce(array_to_string(list_sort(list_distinct(base_l)), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(base_l || found_l)), ','), '') as labels,
+  greatest(best, case when len(base) > 0 then 0.5e0 else 0.0e0 end) as score
+from l"""
+
+
+ORACLES["op3_license_scan"] = _license_sql()
+
+
 @_query
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies of every document."""
@@ -77,7 +112,24 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     found = suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", "copy_of", removed.alias("n_removed"), "spans")
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "copy_of", removed.alias("n_removed"), told.alias("spans"))
+
+
+ORACLES["op6_suffix_array"] = r"""
+with d as (select distinct doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents where doc_id is not null),
+n as (select doc_id, cast(len(ws) as bigint) as n_words, min(doc_id) over (partition by ws) as first_doc from d),
+win as (select doc_id, s, array_to_string(list_slice(ws, s + 1, s + 50), ' ') as passage
+  from (select doc_id, ws, unnest(range(0, len(ws) - 49)) as s from d where len(ws) >= 50) u),
+ranked as (select doc_id, s, row_number() over (partition by passage order by doc_id, s) as rn from win),
+again as (select doc_id, s, s - lag(s) over (partition by doc_id order by s) as gap from ranked where rn > 1),
+island as (select doc_id, s, sum(case when gap <= 50 then 0 else 1 end) over (partition by doc_id order by s) as i from again),
+span as (select doc_id, i, min(s) as a, max(s) + 50 as b from island group by doc_id, i),
+spans as (select doc_id, string_agg(a || '-' || b, ',' order by a) as spans, cast(sum(b - a) as bigint) as n_removed from span group by doc_id)
+select n.doc_id, n_words, case when n_words >= 50 and first_doc < n.doc_id then first_doc end as copy_of,
+  coalesce(n_removed, 0) as n_removed, coalesce(spans, '') as spans
+from n left join spans on spans.doc_id = n.doc_id
+"""
 
 
 @_query
