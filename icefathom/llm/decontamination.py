@@ -17,7 +17,7 @@ no broadcast grows with it.
 Defined cases: a null or empty text holds nothing; a null or blank item is nowhere; items
 with equal texts are all reported. Texts are read whole. Repeated rows give repeated
 results, an empty benchmark leaves every document clean. The input's other columns stay;
-an output name that the input already has (``spans``) is refused with a ValueError.
+one called ``spans`` is replaced by the result.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from icefathom.llm.batches import BLANKS, EXACT_VALUES, Texts, run_hashes, slices
+from icefathom.llm.columns import shield
 
 #: One edit is allowed for so many bytes of an item.
 BYTES_PER_EDIT = 16
@@ -265,12 +266,11 @@ def _blocks(bench: DataFrame, key: str, text: str) -> list[Benchmark]:
 
 def find(docs: DataFrame, bench: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """Adds ``spans``: every place of the text where a benchmark item stands."""
-    if "spans" in {c.lower() for c in docs.columns}:
-        raise ValueError("the input already has spans")
+    docs, restore = shield(docs, (text,), ("spans",))
     out = docs.withColumn("spans", F.lit(None).cast(SPANS))
     for block in _blocks(bench, item_key, item_text):
         out = _search(out, block, text)
-    return out.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    return restore(out.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS))))
 
 
 def _search(docs: DataFrame, block: Benchmark, text: str) -> DataFrame:

@@ -12,8 +12,8 @@ bars, notices, forms, reader comments, pages without an article element.
 
 Defined cases: a null or empty page has an empty text, as has a page without main text.
 Pages of any length are read whole. A page without any tag is one block. Repeated rows
-give repeated results. The input's other columns stay; output names that the input
-already has are refused with a ValueError.
+give repeated results. The input's other columns stay; one called like an output is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from icefathom.llm.columns import shield
 from icefathom.llm.html_blocks import Block, blocks
 
 SAMPLE_PAGES = 200
@@ -304,10 +305,8 @@ def main_text(html: str | None, model: Field) -> str:
 
 def extract(pages: DataFrame, model: Field, html: str = "html") -> DataFrame:
     """Replaces the markup by ``text`` and ``n_chars`` (its code points)."""
+    pages, restore = shield(pages, (html,), ("text", "n_chars"))
     rest = [f for f in pages.schema.fields if f.name != html]
-    taken = {f.name.lower() for f in rest} & {"text", "n_chars"}
-    if taken:
-        raise ValueError(f"the input already has {sorted(taken)}")
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -319,4 +318,4 @@ def extract(pages: DataFrame, model: Field, html: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(kept + new, [f.name for f in rest] + ["text", "n_chars"])
 
     added = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return pages.mapInArrow(batches, T.StructType(rest + added))
+    return restore(pages.mapInArrow(batches, T.StructType(rest + added)))

@@ -14,8 +14,7 @@ driver; distinct runs of four bytes bound their size.
 Defined cases: a null text, an empty one, or one without any letter is ``und`` with
 score 0. Texts are scored whole. A tie goes to the language first in the alphabet.
 Repeated rows give repeated results. With nothing to learn from, every text is ``und``.
-The input's other columns stay; output names that the input already has are refused
-with a ValueError.
+The input's other columns stay; one called like an output is replaced by it.
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from icefathom.llm.batches import byte_classes, slices
+from icefathom.llm.columns import shield
 
 ORDER = 3
 #: Training texts per language, about; the parameter that bounds the sample.
@@ -219,9 +219,7 @@ class _Pairs:
 def identify(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
     """Adds lang_pred, score (share of the winner among the languages) and bits_per_byte."""
     names = ("lang_pred", "score", "bits_per_byte")
-    taken = {c.lower() for c in docs.columns} & set(names)
-    if taken:
-        raise ValueError(f"the input already has {sorted(taken)}")
+    docs, restore = shield(docs, (text,), names)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Pairs(trees) if trees else None
@@ -254,7 +252,8 @@ def identify(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
-    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]]))
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
+    return restore(docs.mapInArrow(batches, schema))
 
 
 def held_out(key: str = "doc_id"):

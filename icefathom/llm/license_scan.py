@@ -10,8 +10,8 @@ key, nothing gathered, so a hot licence costs no more than a rare one.
 
 Defined cases: a null text counts as empty; an empty text has no words, no labels and
 score 0. Texts are scanned whole. Repeated rows give repeated results, ties between
-templates keep all labels. Other input columns stay; an output name that the input
-already has is refused with a ValueError.
+templates keep all labels. Other input columns stay; one called like an output is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from icefathom.llm.columns import shield
+
 #: What separates words, after lower-casing.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,10 +108,8 @@ def scan(docs: DataFrame, text: str = "text", templates: list[Template] | None =
     ``score`` is the best share of a template's weight found at a standing alignment, and
     at least 0.5 where a base phrase is found.
     """
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    taken = {c.lower() for c in docs.columns} & {*names, "_words", "_hits", "_base", "_found"}
-    if taken:
-        raise ValueError(f"the input already has {sorted(taken)}")
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    docs, restore = shield(docs, (text,), names)
     templates = build_templates() if templates is None else templates
     base = [(words_of(phrase), label) for phrase, label in BASE_PHRASES.items()]
     heads = sorted({p[0] if len(p[0]) <= 2 else p[-1] for p, _ in base})
@@ -183,7 +183,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[Template] | None =
     )
     both = F.array_union(F.col("_base.label"), F.col("_found.label"))
     best = F.coalesce(F.array_max(F.col("_found.share")), F.lit(0.0))
-    return found.withColumns(
+    result = found.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "n_base": F.size("_base").cast("long"),
@@ -193,4 +193,5 @@ def scan(docs: DataFrame, text: str = "text", templates: list[Template] | None =
             "labels": F.array_join(F.array_sort(both), ","),
             "score": F.greatest(best, F.when(F.size("_base") > 0, 0.5).otherwise(0.0)),
         }
-    ).drop("_words", "_hits", "_base", "_found")
+    )
+    return restore(result.drop("_words", "_hits", "_base", "_found"))

@@ -8,8 +8,8 @@ they imply (BPE), and byte fallback.
 
 Defined cases: a null text has no ids (null) and decodes to null; an empty text has an
 empty list. A text of any length is encoded whole. Repeated rows give repeated rows.
-The input's other columns stay; a column that an output name would clash with (``ids``,
-``decoded``, ``exact``) is refused with a ValueError before anything runs.
+The input's other columns stay; one called like an output (``ids``, ``decoded``,
+``exact``, ``same``) is replaced by it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from icefathom.llm.batches import slices
+from icefathom.llm.columns import shield
 
 MARK = "▁"
 #: A model file larger than this is refused: it would travel with every stage.
@@ -137,16 +138,10 @@ def task_threads(df: DataFrame) -> int:
     return int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
 
 
-def _refuse(df: DataFrame, *names: str) -> None:
-    taken = {c.lower() for c in df.columns} & set(names)
-    if taken:
-        raise ValueError(f"the input already has {sorted(taken)}")
-
-
 def encode(docs: DataFrame, model: bytes, text: str = "text", threads: int | None = None) -> DataFrame:
     """Adds ``ids``: the token ids of the whole text."""
-    _refuse(docs, "ids")
     threads = threads or task_threads(docs)
+    docs, restore = shield(docs, (text,), ("ids",))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model, threads)
@@ -158,13 +153,14 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", threads: int | Non
                 cut = batch.slice(part.first, len(part))
                 yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(ids, pa.list_(pa.int32()))], [*cut.schema.names, "ids"])
 
-    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return restore(docs.mapInArrow(batches, schema))
 
 
 def decode(tokens: DataFrame, model: bytes, ids: str = "ids", threads: int | None = None) -> DataFrame:
     """Adds ``decoded``: the text that the ids stand for."""
-    _refuse(tokens, "decoded")
     threads = threads or task_threads(tokens)
+    tokens, restore = shield(tokens, (ids,), ("decoded",))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model, threads)
@@ -175,7 +171,8 @@ def decode(tokens: DataFrame, model: bytes, ids: str = "ids", threads: int | Non
                 back = pa.array(codec.decode(lists), pa.string())
                 yield pa.RecordBatch.from_arrays([*cut.columns, back], [*cut.schema.names, "decoded"])
 
-    return tokens.mapInArrow(batches, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
+    schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())])
+    return restore(tokens.mapInArrow(batches, schema))
 
 
 def round_trip(docs: DataFrame, model: bytes, text: str = "text", threads: int | None = None) -> DataFrame:
@@ -184,8 +181,8 @@ def round_trip(docs: DataFrame, model: bytes, text: str = "text", threads: int |
     ``exact`` says whether the text came back. A text that the normaliser changes
     (here: one that holds the marker itself) comes back changed and is not exact.
     """
-    _refuse(docs, "ids", "exact")
     threads = threads or task_threads(docs)
+    docs, restore = shield(docs, (text,), ("ids", "exact"))
     rest = [f for f in docs.schema.fields if f.name != text]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +198,12 @@ def round_trip(docs: DataFrame, model: bytes, text: str = "text", threads: int |
                 yield pa.RecordBatch.from_arrays(kept + new, [f.name for f in rest] + ["ids", "exact"])
 
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]
-    return docs.mapInArrow(batches, T.StructType(rest + added))
+    return restore(docs.mapInArrow(batches, T.StructType(rest + added)))
 
 
 def parity(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds ``same``: the ids equal those of the SentencePiece library itself."""
-    _refuse(docs, "same")
+    docs, restore = shield(docs, (text, ids), ("same",))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -221,4 +218,4 @@ def parity(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
                 same = [None if t is None else (w if t else []) == g for t, w, g in zip(texts, want, lists)]
                 yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(same, pa.bool_())], [*cut.schema.names, "same"])
 
-    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField("same", T.BooleanType())]))
+    return restore(docs.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField("same", T.BooleanType())])))

@@ -15,8 +15,7 @@ slack leaves more keys where the plain ring puts them and moves fewer when a sha
 
 Defined cases: a null or repeated key hashes like any other; rows with the same key and
 tie value are interchangeable. An empty table gives an empty result. The input's other
-columns stay; output names that the input already has (``shard``, ``slot``) are refused
-with a ValueError.
+columns stay; one called like an output (``shard``, ``slot``) is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from icefathom.llm.columns import shield
+
 #: Rows that one ranking window should hold, about.
 BUCKET_ROWS = 200_000
 
@@ -115,9 +116,7 @@ def assign(
     slack: float = 0.0,
 ) -> DataFrame:
     """Adds ``shard`` and ``slot`` (gapless from 0 in each shard) to every row."""
-    taken = {c.lower() for c in docs.columns} & {"shard", "slot", "_cell", "_bucket", "_place", "_rank", "_before", "_parts"}
-    if taken:
-        raise ValueError(f"the input already has {sorted(taken)}")
+    docs, restore = shield(docs, (key, *tie), ("shard", "slot"))
     spark = docs.sparkSession
     placed = docs.withColumn("_place", ring_hash(F.col(key))).withColumn("_cell", (F.col("_place") % cells).cast("int"))
     loads = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}  # <= cells rows
@@ -143,8 +142,5 @@ def assign(
     chosen = ranked.join(F.broadcast(by_cell), "_cell").withColumn(
         "_parts", F.filter("_parts", lambda p: (p["low"] <= F.col("_rank")) & (F.col("_rank") < p["high"]))[0]
     )
-    return chosen.select(
-        *docs.columns,
-        F.col("_parts.shard").alias("shard"),
-        (F.col("_parts.base") + F.col("_rank") - F.col("_parts.low")).alias("slot"),
-    )
+    slot = F.col("_parts.base") + F.col("_rank") - F.col("_parts.low")
+    return restore(chosen.select(*docs.columns, F.col("_parts.shard").alias("shard"), slot.alias("slot")))

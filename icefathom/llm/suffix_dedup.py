@@ -23,8 +23,7 @@ only that one takes part in the sorts.
 Defined cases: null, empty and shorter texts have no spans. Rows with a null key are left
 as they are. Rows with equal keys and equal texts are one document; equal keys with
 different texts are told apart by their digest. Texts are read whole. Other input columns
-stay in ``cut`` and do not pass through ``repeats``; ``cut`` refuses an input that
-already has ``spans``.
+stay in ``cut``, whatever they are called, and do not pass through ``repeats``.
 """
 
 from __future__ import annotations
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from icefathom.llm.batches import BLANKS, EXACT_VALUES, Words, mix, run_hashes, slices, words
+from icefathom.llm.columns import shield
 
 PASSAGE = 50
 KMER = 8
@@ -250,8 +250,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def cut(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the spans of ``repeats``; a text with nothing left is empty."""
-    if "spans" in {c.lower() for c in docs.columns} or "digest" in {c.lower() for c in docs.columns}:
-        raise ValueError("the input already has spans or digest")
+    docs, restore = shield(docs, (key, text), ())
     # A key with several texts has several rows here; each brings its own digest.
     lists = found.filter(F.size("spans") > 0).groupBy(key).agg(F.collect_list(F.struct("digest", "spans")).alias("spans"))
     joined = docs.join(lists, key, "left")
@@ -281,7 +280,7 @@ def cut(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays(kept, [f.name for f in batch.schema if f.name != "spans"])
 
     plain = joined.select(*docs.columns, "spans")
-    return plain.mapInArrow(batches, docs.schema)
+    return restore(plain.mapInArrow(batches, docs.schema))
 
 
 def _without(data: np.ndarray, bounds: np.ndarray, seen: Words, i: int, spans: list[dict]) -> str:

@@ -189,5 +189,5 @@ def test_repeats_of_odd_tables(docs):
     assert [(s["start"], s["end"]) for s in found[(2, 62)]["spans"]] == [(1, 61)]
     cut = sorted((r["doc_id"] or 0, r["text"]) for r in suffix_dedup.cut(df, suffix_dedup.repeats(df)).collect())
     assert cut == [(0, body), (1, "short other text"), (1, body), (1, body), (2, "a b")]
-    with pytest.raises(ValueError):
-        suffix_dedup.cut(df.withColumnRenamed("source", "spans"), suffix_dedup.repeats(df))
+    named = suffix_dedup.cut(df.withColumnsRenamed({"source": "spans", "lang": "digest"}), suffix_dedup.repeats(df))
+    assert {(r["spans"], r["digest"]) for r in named.collect()} == {("s", "en")}

@@ -238,6 +238,20 @@ def test_pipeline_stages_keep_clean_documents(spark, docs, small):
     assert corpus_pipeline.encode(spark, four, small).filter("not exact").count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, docs, small):
+    names = ["spans", "digest", "lang_pred", "score", "key", "class_id", "_words", "ids", "TEXT_A", "bucket", "a"]
+    body = " ".join(f"w{i}" for i in range(80))
+    table = docs([(1, body), (2, body), (3, f"x {body} y z"), (4, "a text of its own")])
+    for i, name in enumerate(names):
+        table = table.withColumn(name, table["doc_id"] * 100 + i)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, small)
+        assert out.columns == table.columns, name
+        for r in out.collect():
+            assert [r[c] for c in names] == [r["doc_id"] * 100 + i for i in range(len(names))], name
+    assert corpus_pipeline.STAGES[-1][1](spark, table, small).count() == 4
+
+
 def test_stages_take_empty_tables_and_nulls(spark, docs, small):
     odd = docs([(None, None), (1, None), (2, ""), (None, "some words of text here"), (3, "x")], None)
     for table in (docs([]), odd):

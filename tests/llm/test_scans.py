@@ -3,8 +3,6 @@
 import re
 from collections import Counter
 
-import pytest
-
 from icefathom.llm import decontamination, license_scan, quality_rules
 
 LICENCES = [
@@ -53,8 +51,8 @@ def test_licences(docs, samples):
 def test_licence_plan_has_no_python_and_no_shuffle(docs):
     plan = license_scan.scan(docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and "Arrow" not in plan
-    with pytest.raises(ValueError):
-        license_scan.scan(docs([]).withColumnRenamed("source", "Labels"))
+    clash = license_scan.scan(docs([(1, "mit license")]).withColumnsRenamed({"source": "Labels", "lang": "_words"}))
+    assert clash.first()["labels"] == "mit" and clash.first()["_words"] == "en" and "Labels" not in clash.columns
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,3 +170,12 @@ def edits(a, b):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
     return row[-1]
+
+
+def test_clashing_columns_are_replaced(spark, docs):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    found = decontamination.find(docs([(1, ITEM)]).withColumnRenamed("source", "SPANS"), bench).first()
+    assert [s["item_id"] for s in found["spans"]] == [1]
+    labels = docs([]).selectExpr("doc_id", "cast(null as int) quality")
+    judged = quality_rules.judge(docs([(1, "a b")]).withColumnsRenamed({"source": "score", "lang": "_good"}), labels).first()
+    assert (judged["n_words"], judged["score"], judged["_good"]) == (2, 0.0, "en")
