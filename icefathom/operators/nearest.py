@@ -7,6 +7,11 @@ the boxes that can still hold one of its k nearest targets, because they are
 no farther than what the k-th best box guarantees. Only points and targets of
 the leaf boxes left over are compared. Straight-line distance orders targets
 as the great circle does, so pole and date line need no care.
+
+Both sides follow density: where a box holds more than ``LEAF_ROWS`` targets the pyramid
+goes on below the given cell size until it holds fewer, cells of more than ``CELL_ROWS``
+points are cut again, and of targets in one place only the ``k`` lowest ids are kept. So n
+points and n targets in one harbour make pairs in proportion to n.
 """
 
 from __future__ import annotations
@@ -22,6 +27,10 @@ from icefathom.session import ensure_checkpoint_dir
 FAN = 4
 BOX = ["_bx", "_by", "_bz"]
 SLACK_KM = 1e-6
+LEAF_ROWS = 32
+CELL_ROWS = 64
+#: Levels below the given cell size: 4**8 times finer, about 3 cm for cells of 2 km.
+MOST_DEPTH = 8
 
 
 def _with_xyz(df: DataFrame, lat: str, lon: str, mark: str) -> DataFrame:
@@ -42,12 +51,15 @@ def _levels(side: float) -> int:
     return levels
 
 
-def _pyramid(goals: DataFrame, levels: int) -> DataFrame:
-    """Boxes of every level with their parent, hull and target count."""
-    leaves = goals.groupBy(*BOX).agg(*_hull("_t"), F.count(F.lit(1)).alias("_n"))
+def _pyramid(goals: DataFrame, levels: int, depth: int) -> DataFrame:
+    """Boxes of every level with their parent, hull and target count.
+
+    ``_leaf`` boxes are compared target by target.
+    """
+    places = goals.groupBy(*BOX).agg(*_hull("_t"), F.count(F.lit(1)).alias("_n"))
     hull = [f"{n}{c}" for c in "xyz" for n in ("_lo", "_hi")]
     scale = F.pow(F.lit(float(FAN)), F.col("_lv"))
-    at_levels = leaves.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    at_levels = places.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     nested = at_levels.select(
         "_lv", *[F.floor(F.col(b) / scale).alias(b) for b in BOX], *hull, "_n"
     )
@@ -55,7 +67,29 @@ def _pyramid(goals: DataFrame, levels: int) -> DataFrame:
         *[(F.min if n == "_lo" else F.max)(f"{n}{c}").alias(f"{n}{c}") for c in "xyz" for n in ("_lo", "_hi")],
         F.sum("_n").alias("_n"),
     )
-    return merged.select("*", *[F.floor(F.col(b) / FAN).alias(f"_p{b}") for b in BOX])
+    leaf = (F.col("_lv") == 0) | ((F.col("_lv") <= depth) & (F.col("_n") <= LEAF_ROWS))
+    # Boxes below a leaf stay in the table; the walk never gets to them.
+    return merged.select("*", *[F.floor(F.col(b) / FAN).alias(f"_p{b}") for b in BOX], leaf.alias("_leaf"))
+
+
+def _leaf_of(goals: DataFrame, pyramid: DataFrame, depth: int) -> DataFrame:
+    """Targets with the leaf box they belong to (``_lv`` and its indices)."""
+    if not depth:
+        return goals.withColumn("_lv", F.lit(0))
+    scale = F.pow(F.lit(float(FAN)), F.col("_lv"))
+    fine = [F.col(b).alias(f"_f{b}") for b in BOX]
+    paths = (
+        goals.select(*BOX).distinct()
+        .withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+        .select("_lv", *fine, *[F.floor(F.col(b) / scale).alias(b) for b in BOX])
+    )
+    ends = paths.join(pyramid.filter("_leaf").select("_lv", *BOX), ["_lv", *BOX])
+    # The uppermost leaf above a place is the one the walk arrives at.
+    top = ends.groupBy(*[f"_f{b}" for b in BOX]).agg(F.max(F.struct("_lv", *BOX)).alias("_l"))
+    named = goals.withColumnsRenamed({b: f"_f{b}" for b in BOX})
+    return named.join(top, [f"_f{b}" for b in BOX]).select(
+        *[c for c in goals.columns if c not in BOX], F.col("_l._lv").alias("_lv"), *[F.col(f"_l.{b}").alias(b) for b in BOX]
+    )
 
 
 def _gap(c: str) -> Column:
@@ -72,7 +106,7 @@ def _length(parts: list[Column]) -> Column:
     return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
 
 
-def _leaf_lists(placed: DataFrame, pyramid: DataFrame, levels: int, k: int) -> DataFrame:
+def _leaf_lists(placed: DataFrame, pyramid: DataFrame, levels: int, depth: int, k: int) -> DataFrame:
     """Per cell the leaf boxes that may hold a wanted target.
 
     ``_low`` is a lower bound of the distance from any point of the cell to
@@ -89,15 +123,20 @@ def _leaf_lists(placed: DataFrame, pyramid: DataFrame, levels: int, k: int) -> D
     front = cells
     for b in BOX:
         front = front.withColumn(f"_p{b}", F.explode(halves))
-    top = pyramid.filter(F.col("_lv") == levels - 1).drop(*[f"_p{b}" for b in BOX])
+    hull = [f"{n}{c}" for c in "xyz" for n in ("_lo", "_hi")]
+    kept = [*BOX, "_lv", "_leaf", "_n", *hull]
+    top = pyramid.filter(F.col("_lv") == levels - 1).select(*kept)
     front = front.select(*cell, *[F.col(f"_p{b}").alias(b) for b in BOX]).join(top, BOX)
     for level in range(levels - 1, -1, -1):
         if level < levels - 1:
-            children = pyramid.filter(F.col("_lv") == level)
-            parents = front.select(*cell, *[F.col(b).alias(f"_p{b}") for b in BOX])
-            front = parents.join(children, [f"_p{b}" for b in BOX])
+            children = pyramid.filter(F.col("_lv") == level).select(*[f"_p{b}" for b in BOX], *kept)
+            open_boxes = front.filter("not _leaf") if level < depth else front
+            parents = open_boxes.select(*cell, *[F.col(b).alias(f"_p{b}") for b in BOX])
+            below = parents.join(children, [f"_p{b}" for b in BOX]).select(*cell, *kept)
+            # Leaves that were reached above stay as they are.
+            front = below.unionByName(front.filter("_leaf").select(*cell, *kept)) if level < depth else below
         near, far = _length([_gap(c) for c in "xyz"]), _length([_far(c) for c in "xyz"])
-        measured = front.select(*cell, *BOX, "_n", (near - F.col("_r")).alias("_low"), (far + F.col("_r")).alias("_up"))
+        measured = front.select(*cell, *kept, (near - F.col("_r")).alias("_low"), (far + F.col("_r")).alias("_up"))
         mine = W.partitionBy("_cell")
         if k > 1:
             # The bound is met by the first box that brings the count to k.
@@ -109,31 +148,79 @@ def _leaf_lists(placed: DataFrame, pyramid: DataFrame, levels: int, k: int) -> D
         front = (
             counted.withColumn("_sure", sure)
             .filter(F.col("_low") <= F.col("_sure") + SLACK_KM)
-            .select(*cell, *BOX, "_low", "_sure")
+            .select(*cell, *kept, "_low", "_sure")
         )
-    return front
+        if level < depth:
+            # The walk below the cell size joins and unites the front with itself.
+            front = front.checkpoint()
+    return front.select(*cell, *BOX, "_lv", "_low", "_sure")
+
+
+def _cut_dense(placed: DataFrame, side: float) -> DataFrame:
+    """Points by cell; cells of more than CELL_ROWS points are cut finer, by their count."""
+
+    def cell(fine: Column) -> Column:
+        at = F.lit(side) / F.pow(F.lit(float(FAN)), fine)
+        return F.struct(fine.alias("d"), *[join_cell(F.col(f"_p{c}"), at).alias(c) for c in "xyz"])
 
+    plain = placed.withColumn("_cell", cell(F.lit(0)))
+    for _ in range(MOST_DEPTH):
+        dense = plain.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CELL_ROWS)
+        # Points of one place stay together whatever the cell: finer than MOST_DEPTH is not tried.
+        step = F.greatest(F.lit(1), F.ceil(F.log(F.col("_n") / CELL_ROWS) / F.log(F.lit(float(FAN * FAN))))).cast("int")
+        finer = dense.select("_cell", F.least(F.lit(MOST_DEPTH), F.col("_cell.d") + step).alias("_d")).filter("_d > _cell.d").checkpoint()
+        if finer.isEmpty():
+            break
+        joined = plain.join(finer, "_cell", "left")
+        plain = joined.withColumn("_cell", F.when(F.col("_d").isNull(), F.col("_cell")).otherwise(cell(F.col("_d")))).drop("_d").checkpoint()
+    return plain
 
-def _setup(points: DataFrame, targets: DataFrame, k: int, cell_km: float, prefix: str):
+
+def _depth(goals: DataFrame, side: float) -> int:
+    """Levels below ``side`` until no box holds more than LEAF_ROWS targets (at most MOST_DEPTH).
+
+    Each look counts the boxes once and goes down as far as the fullest one needs when its
+    targets are spread evenly over its extent.
+    """
+    depth = 0
+    while depth < MOST_DEPTH:
+        at = side / FAN**depth
+        boxes = {b: join_cell(F.col(f"_t{c}"), at) for b, c in zip(BOX, "xyz")}
+        full = goals.withColumns(boxes).groupBy(*BOX).agg(F.count(F.lit(1)).alias("_n"), *_hull("_t")).filter(F.col("_n") > LEAF_ROWS)
+        extent = F.greatest(*[F.col(f"_hi{c}") - F.col(f"_lo{c}") for c in "xyz"], F.lit(at / FAN**MOST_DEPTH))
+        wanted = F.log(F.lit(at) / (extent * F.sqrt(F.lit(float(LEAF_ROWS)) / F.col("_n")))) / F.log(F.lit(float(FAN)))
+        need = full.agg(F.max(F.greatest(F.lit(1), F.ceil(wanted).cast("int"))).alias("d")).first()["d"]
+        if need is None:
+            return depth
+        depth = min(MOST_DEPTH, depth + need)
+    return depth
+
+
+def _setup(points: DataFrame, targets: DataFrame, target_id: str, k: int, cell_km: float, prefix: str):
     ensure_checkpoint_dir(points.sparkSession)
     side = float(cell_km)
-    levels = _levels(side)
-    placed = _with_xyz(points, "lat", "lon", "_p")
-    placed = placed.withColumn("_cell", F.struct(*[join_cell(F.col(f"_p{c}"), side).alias(c) for c in "xyz"]))
+    placed = _cut_dense(_with_xyz(points.filter("lat is not null and lon is not null"), "lat", "lon", "_p"), side)
+    lat, lon = f"{prefix}lat", f"{prefix}lon"
     named = targets.select(*[F.col(c).alias(f"{prefix}{c}") for c in targets.columns])
-    goals = _with_xyz(named, f"{prefix}lat", f"{prefix}lon", "_t")
-    goals = goals.withColumns({b: join_cell(F.col(f"_t{c}"), side) for b, c in zip(BOX, "xyz")})
+    # In one place only the k lowest ids can be wanted; ranks up to k are cut before the shuffle.
+    same = W.partitionBy(lat, lon).orderBy(f"{prefix}{target_id}")
+    lowest = named.withColumn("_rk", F.row_number().over(same)).filter(F.col("_rk") <= k).drop("_rk")
+    goals = _with_xyz(lowest, lat, lon, "_t").checkpoint()
+    depth = _depth(goals, side)
+    levels = _levels(side) + depth
+    fine = {b: join_cell(F.col(f"_t{c}"), side / FAN**depth) for b, c in zip(BOX, "xyz")}
+    goals = goals.withColumns(fine)
     # Every level reads the pyramid, a table of occupied boxes: kept once.
-    pyramid = _pyramid(goals, levels).checkpoint()
-    return placed, goals, _leaf_lists(placed, pyramid, levels, k)
+    pyramid = _pyramid(goals, levels, depth).checkpoint()
+    return placed, _leaf_of(goals, pyramid, depth), _leaf_lists(placed, pyramid, levels, depth, k)
 
 
 def _short_lists(leaves: DataFrame, goals: DataFrame, keep: list[str]) -> DataFrame:
     """Targets any point of each cell may want."""
     chord = _length([F.col(f"_c{c}") - F.col(f"_t{c}") for c in "xyz"])
-    wanted = [c for c in goals.columns if c not in ("_tx", "_ty", "_tz", *BOX)]
+    wanted = [c for c in goals.columns if c not in ("_tx", "_ty", "_tz", "_lv", *BOX)]
     return (
-        leaves.join(goals, BOX)
+        leaves.join(goals, ["_lv", *BOX])
         .filter(chord - F.col("_r") <= F.col("_sure") + SLACK_KM)
         .select("_cell", *keep, *wanted)
     )
@@ -147,7 +234,7 @@ def nearest(
 
     Ties go to the lowest target id. Points without a position get no row.
     """
-    placed, goals, leaves = _setup(points, targets, k, cell_km, prefix)
+    placed, goals, leaves = _setup(points, targets, target_id, k, cell_km, prefix)
     pairs = placed.drop("_px", "_py", "_pz").join(_short_lists(leaves, goals, []), "_cell").drop("_cell")
     dist = geo.haversine_km(F.col("lat"), F.col("lon"), F.col(f"{prefix}lat"), F.col(f"{prefix}lon"))
     best = W.partitionBy(point_id).orderBy("dist_km", f"{prefix}{target_id}")
@@ -166,7 +253,7 @@ def nearest_by_group(
     A leaf box of one cell is dropped for a group when another cell of the
     group guarantees something closer.
     """
-    placed, goals, found = _setup(points, targets, 1, cell_km, "t_")
+    placed, goals, found = _setup(points, targets, target_id, 1, cell_km, "t_")
     leaves = found.checkpoint()
     visits = placed.select(group, "_cell").distinct()
     sure = leaves.groupBy("_cell").agg(F.min("_sure").alias("_best"))

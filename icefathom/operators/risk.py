@@ -125,6 +125,11 @@ def risk_surface(
     )
 
 
+def store_surface(surface: DataFrame, path: str, version: int) -> None:
+    """Adds a version of the surface; readers of older ones are not disturbed."""
+    write_risk_surface(surface, f"{path}/version={version}", "errorifexists")
+
+
 def write_risk_surface(surface: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Stores the surface so readers prune by profile and slot; files follow its size."""
     surface.hint("rebalance", "profile", "slot").write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy(

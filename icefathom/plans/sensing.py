@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from icefathom.functions.numeric import fixed
-from icefathom.operators import radar, seaice
+from icefathom.operators import radar, risk, seaice
 from icefathom.plans import inputs
 from icefathom.plans import sqltext as t
 from icefathom.plans.inputs import COST_SQL, ENV_SQL
 from icefathom.plans.registry import registered
-from icefathom.plans.views import VIEWS, view
+from icefathom.plans.views import over, view
 from icefathom.plans.voyages import _surface
 from icefathom.session import ensure_checkpoint_dir
 from icefathom.streaming import telemetry as live
@@ -220,15 +220,12 @@ def _event_schema(spark, sf_dir):
 
 
 def _live_pings(spark, sf_dir, streaming: bool):
-    """Pings off the event stream, by the fixture rule, without a session view."""
+    """Pings off the event stream, by the fixture rule."""
     if streaming:
         events = live.read_stream(spark, sf_dir, _event_schema(spark, sf_dir), "events.parquet")
     else:
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    name = f"live_{uuid.uuid4().hex}"
-    events.createOrReplaceTempView(name)
-    rows = spark.sql(VIEWS["pings"].replace("from events)", f"from {name})"))
-    return live.event_time(rows)
+    return live.event_time(over(spark, "pings", events=events))
 
 
 def _run(spark, stream):
@@ -350,8 +347,8 @@ ENRICH_SQL = f"""with {ENV_SQL}, {COST_SQL}, placed as (select vessel_id, ping_i
 
 
 def _enriched(spark, sf_dir, streaming):
-    risk = _surface(spark, sf_dir).filter("profile = 'C'").select("cell_i", "cell_j", "slot", "cost")
-    alerts = live.enrich_stream(_cells(_live_pings(spark, sf_dir, streaming)), risk, ["cell_i", "cell_j", "slot"], 5.0)
+    surface = _surface(spark, sf_dir).filter("profile = 'C'").select("cell_i", "cell_j", "slot", "cost")
+    alerts = live.enrich_stream(_cells(_live_pings(spark, sf_dir, streaming)), surface, ["cell_i", "cell_j", "slot"], 5.0)
     return alerts.select("vessel_id", "ping_id", fixed(F.col("cost"), 5).alias("cost"))
 
 
@@ -362,7 +359,23 @@ def enrich_alerts(spark, sf_dir):
 
 @registered(ENRICH_SQL, ("pings", "env_cells", "berg_fixes", "profiles"))
 def stream_enrich_alerts(spark, sf_dir):
-    return _run(spark, _enriched(spark, sf_dir, True))
+    """The same alerts from a stream that reads the stored surface anew for every micro-batch."""
+    folder = f"{ensure_checkpoint_dir(spark)}/enrich-{uuid.uuid4().hex}"
+    surface = _surface(spark, sf_dir).select("profile", "slot", "cell_i", "cell_j", "cost")
+    risk.store_surface(surface.withColumn("cost", F.lit(0.0)), f"{folder}/surface", 1)
+    risk.store_surface(surface, f"{folder}/surface", 2)
+
+    def keep(alerts, number):
+        alerts.select("vessel_id", "ping_id", fixed(F.col("cost"), 5).alias("cost")).write.mode("overwrite").parquet(
+            f"{folder}/out/batch={number}"
+        )
+
+    each = live.enrich_batches(f"{folder}/surface", ["cell_i", "cell_j", "slot"], 5.0, keep, profile="C")
+    stream = _cells(_live_pings(spark, sf_dir, True))
+    progress = f"{folder}/progress"
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 MATCH_SQL = """select p.ping_id, o.obs_id from pings p join feed_obs o on o.cell = p.vessel_id % 50 and o.regime = 'SIMULATION'
@@ -378,7 +391,11 @@ def _matched(spark, sf_dir, streaming):
     calving = events.filter("event_type not in ('click', 'view', 'purchase', 'signup')").select(
         F.col("event_id").alias("obs_id"), (F.col("user_id") % 50).alias("cell"), F.col("ts").alias("event_ts")
     )
-    met = live.event_match(pings, calving, ["cell"], 3600, "1 hour", ping_id="ping_id", event_id="obs_id")
+    busy = None
+    if streaming:  # cells with over a hundredth of the pings so far are dealt over several tasks
+        past = _live_pings(spark, sf_dir, False).select((F.col("vessel_id") % 50).alias("cell"))
+        busy = live.hot_cells(past, ["cell"], max(1, past.count() // 100))
+    met = live.event_match(pings, calving, ["cell"], 3600, "1 hour", ping_id="ping_id", event_id="obs_id", hot=busy)
     return met.select("ping_id", "obs_id")
 
 

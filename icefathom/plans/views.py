@@ -6,6 +6,8 @@ explains what every view stands for.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,10 +136,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture view over the parquet tables in ``sf_dir``."""
     if name == "riv":
         return _riv(spark, sf_dir)
-    for table, used_by in BASE_TABLES.items():
-        if name in used_by:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(VIEWS[name])
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t, used_by in BASE_TABLES.items() if name in used_by}
+    return over(spark, name, **tables)
+
+
+def over(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
+    """One fixture view over the given tables; the caller's session keeps its own views."""
+    body = VIEWS[name]
+    for table in tables:
+        body = re.sub(rf"\bfrom {table}\b", f"from {{{table}}}", body)
+    return spark.sql(body, **tables)
 
 
 def _riv(spark: SparkSession, sf_dir: str) -> DataFrame:

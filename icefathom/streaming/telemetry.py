@@ -7,6 +7,9 @@ each stream has the same definition as its batch twin. Event time must be a
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,13 +96,57 @@ def contact_sessions(
 def enrich_stream(
     pings: DataFrame, risk: DataFrame, on: list[str], limit: float, value: str = "cost"
 ) -> DataFrame:
-    """Alerts for pings in a cell whose stored risk exceeds ``limit``.
+    """Alerts for pings in a cell whose risk exceeds ``limit``.
 
-    Stream-static inner join: ``risk`` is read again for each micro-batch.
+    Stream-static inner join: ``risk`` keeps the files it was made from, and a plan
+    behind it runs again in every micro-batch. For a stored surface that is renewed while
+    the stream runs, use ``enrich_batches``.
     """
     return pings.join(risk, on).filter(F.col(value) > limit)
 
 
+def enrich_batches(
+    surface_path: str, on: list[str], limit: float, sink: Callable[[DataFrame, int], None], value: str = "cost",
+    profile: str | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """Function for ``foreachBatch``: joins each micro-batch with the newest stored surface.
+
+    The surface is a folder of versions (``risk.store_surface``), partitioned by profile and
+    slot; every batch lists it afresh, reads the newest version only, and of that the slots
+    its pings are in. An older version stays until readers are done with it. ``sink`` gets
+    the alerts and the batch number, by which a repeated batch can overwrite itself.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stored = spark.read.parquet(surface_path)
+        newest = stored.agg(F.max("version")).first()[0]
+        current = stored.filter(F.col("version") == newest)
+        if profile is not None:
+            current = current.filter(F.col("profile") == profile)
+        sink(enrich_stream(batch, current.select(*on, value), on, limit, value), number)
+
+    return each
+
+
+def late_rows(query) -> int:
+    """Rows that a running or finished stream has dropped as too late, of the progress it still holds."""
+    return sum(
+        int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in json_of(p).get("stateOperators", [])
+    )
+
+
+def json_of(progress) -> dict:
+    """A progress report as a dictionary, whichever form this Spark gives it in."""
+    return progress if isinstance(progress, dict) else json.loads(progress.json)
+
+
+def hot_cells(history: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """Cells that had more than ``rows`` pings in ``history``, with the number of parts to deal them in."""
+    counts = history.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    return counts.select(*on, F.ceil(F.col("_n") / rows).cast("int").alias("salts"))
+
+
 def event_match(
     pings: DataFrame,
     events: DataFrame,
@@ -110,25 +157,30 @@ def event_match(
     event_ts: str = "event_ts",
     ping_id: str = "ping_id",
     event_id: str = "event_id",
-    salts: int = 8,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Pings within ``tol_s`` of a sudden event in the same cell.
 
     The time bucket makes the interval join an equi-join in a batch. A stream
     keys on the cell and gives Spark the plain interval, from which it knows
-    when to drop state on both (watermarked) sides; pings are dealt over
-    ``salts`` copies of the (rarer) events, so the state of a busy cell is
-    held by that many tasks.
+    when to drop state on both (watermarked) sides. ``hot`` (``hot_cells`` of earlier
+    pings) lists busy cells and a number of parts for each: their pings are dealt over as
+    many copies of the (rarer) events, so that many tasks hold their state. Events of
+    other cells are not copied.
     """
     left, right = event_time(pings, ts), event_time(events, event_ts)
     near = (F.col(event_ts) >= F.col(ts) - F.expr(f"interval {int(tol_s)} seconds")) & (
         F.col(event_ts) <= F.col(ts) + F.expr(f"interval {int(tol_s)} seconds")
     )
     if pings.isStreaming or events.isStreaming:
-        dealt = F.pmod(F.xxhash64(ping_id), F.lit(salts)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        a = left.withColumn("_salt", dealt).withWatermark(ts, delay).alias("a")
-        b = right.withColumn("_salt", copies).withWatermark(event_ts, delay).alias("b")
+        if hot is not None:
+            # One row for each busy cell: a static side that Spark plans by its size.
+            left, right = left.join(hot, on, "left"), right.join(hot, on, "left")
+        parts = F.coalesce(F.col("salts"), F.lit(1)) if hot is not None else F.lit(1)
+        dealt = F.pmod(F.xxhash64(ping_id), parts).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), parts - 1))
+        a = left.withColumn("_salt", dealt).drop("salts").withWatermark(ts, delay).alias("a")
+        b = right.withColumn("_salt", copies).drop("salts").withWatermark(event_ts, delay).alias("b")
         keys = [*on, "_salt"]
         same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
         condition = near

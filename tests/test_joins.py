@@ -206,3 +206,41 @@ def test_unknown_keys_and_sizes_are_sent_or_cut(spark):
     assert {r.id: r.sent for r in out.collect()} == {0: True, 1: False, 2: True, 3: False}
     rep = routes.budget_report(out, "link").first()
     assert (rep.n_sent, rep.n_cut, rep.bytes_sent, rep.bytes_cut) == (2, 2, 200, 100)
+
+
+def spot(draw, n, first):
+    """Positions within some 100 m of one place, some of them equal."""
+    rows = [(first + i, -70.0 + draw.uniform(0, 1e-3), 10.0 + draw.uniform(0, 1e-3)) for i in range(n)]
+    return rows[: n - n // 10] + [(first + n - n // 10 + i, -70.0005, 10.0005) for i in range(n // 10)]
+
+
+def test_nearest_in_one_spot_equals_brute_force(spark):
+    from icefathom.functions import geo as fgeo
+
+    draw = random.Random(12)
+    a = spark.createDataFrame(spot(draw, 300, 0) + [(9000, None, 1.0), (9001, -60.0, 100.0)], "pid long, lat double, lon double")
+    b = spark.createDataFrame(spot(draw, 300, 5000) + [(8000, -61.0, 99.0)], "tid long, lat double, lon double")
+    got = {}
+    for r in nearest.nearest(a, b, 3, "pid", "tid").collect():
+        got.setdefault(r.pid, []).append((r.rank, round(r.dist_km, 9), r.t_tid))
+    near = fgeo.haversine_km(F.col("lat"), F.col("lon"), F.col("blat"), F.col("blon"))
+    every = a.filter("lat is not null").join(b.select("tid", F.col("lat").alias("blat"), F.col("lon").alias("blon")), F.lit(True))
+    want = {}
+    for r in every.select("pid", "tid", near.alias("km")).collect():
+        want.setdefault(r.pid, []).append((r.km, r.tid))
+    assert set(got) == set(want)
+    for pid, found in got.items():
+        best = sorted(want[pid])[:3]
+        assert [(round(km, 9), tid) for km, tid in best] == [(km, tid) for _, km, tid in sorted(found)]
+
+
+def test_pairs_in_one_spot_grow_in_proportion(spark):
+    made = {}
+    for n in (500, 2000):
+        draw = random.Random(n)
+        a = spark.createDataFrame(spot(draw, n, 0), "pid long, lat double, lon double")
+        b = spark.createDataFrame(spot(draw, n, 10_000), "tid long, lat double, lon double")
+        placed, goals, leaves = nearest._setup(a, b, "tid", 1, 2.0, "t_")
+        made[n] = placed.join(nearest._short_lists(leaves, goals, []), "_cell").count()
+    assert made[2000] < 250 * 2000, made
+    assert made[2000] < 8 * made[500]
