@@ -31,6 +31,7 @@ other columns do not pass through.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,34 +147,51 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return common / max(n, m) if common >= need else 0.0
 
 
+def _places(a: list[int]) -> tuple[dict[int, int], dict[int, list[int]]]:
+    """Where each word stands: as bits for frequent words, as a list for the others.
+
+    Bits cost a word of the text's length; in a long text only the words that fill a 512th
+    of it get them, so that memory stays in proportion to the text.
+    """
+    spots: dict[int, list[int]] = {}
+    for j, w in enumerate(a):
+        spots.setdefault(w, []).append(j)
+    often = len(a) / 512 if len(a) > 4096 else 0
+    masks = {}
+    for w in [w for w, at in spots.items() if len(at) > often]:
+        bits = bytearray(len(a) // 8 + 1)
+        for j in spots.pop(w):
+            bits[j >> 3] |= 1 << (j & 7)
+        masks[w] = int.from_bytes(bits, "little")
+    return masks, spots
+
+
 def _banded(a: list[int], b: list[int], left: int, right: int) -> int:
     """Longest common subsequence with i - left <= j <= i + right (j in ``a``, i in ``b``)."""
-    masks: dict[int, int] = {}
-    for j, w in enumerate(a):
-        masks[w] = masks.get(w, 0) | (1 << j)
-    width = left + right + 1
-    if width >= len(a):  # the band holds every column
-        full = (1 << len(a)) - 1
-        row = full
-        for w in b:
-            hit = masks.get(w)
-            if hit:
-                both = row & hit
-                row = ((row + both) | (row - both)) & full
-        return len(a) - row.bit_count()
-    # ``row`` holds columns low .. low + width - 1; columns that leave the band are counted.
+    masks, spots = _places(a)
+    # ``row`` holds columns low .. low + width - 1 (all of them if the band is as wide);
+    # columns that leave the band are counted.
+    width = min(left + right + 1, len(a))
+    last = 0 if width == len(a) else len(a)
     window, low, done = (1 << width) - 1, 0, 0
     row = window
     for i, w in enumerate(b):
-        move = max(0, min(i - left, len(a)) - low)
+        move = max(0, min(i - left, last) - low)
         if move:
             gone = row & ((1 << move) - 1)
             done += move - gone.bit_count()
-            row = (row >> move) | (((1 << move) - 1) << (width - move))
+            row = (row >> move) | (((1 << move) - 1) << (width - move)) if move < width else window
             low += move
         hit = masks.get(w)
+        if hit is not None:
+            hit = (hit >> low) & window
+        elif w in spots:
+            at = spots[w]
+            hit = 0
+            for j in at[bisect_left(at, low) : bisect_left(at, low + width)]:
+                hit |= 1 << (j - low)
         if hit:
-            both = row & ((hit >> low) & window)
+            both = row & hit
             row = ((row + both) | (row - both)) & window
     return done + width - row.bit_count()
 
