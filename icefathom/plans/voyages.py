@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from icefathom.functions.numeric import fixed
-from icefathom.operators import geometry, nearest, pathing, risk, routes, scenario
+from icefathom.operators import geometry, nearest, pathing, risk, routes, scenario, spread
 from icefathom.plans import inputs
 from icefathom.plans import sqltext as t
 from icefathom.plans.inputs import CELL_LAND_SQL, COST_SQL, ENV_SQL, RIO_SQL
@@ -482,12 +482,16 @@ def bandwidth_with_gaps(spark, sf_dir):
     return sent.select("vessel_id", "ping_id", "bytes", "running_bytes", "sent")
 
 
-def _tiled(spark, sf_dir):
+def _tiled(spark, sf_dir, targets=None):
     nodes = view(spark, sf_dir, "grid_nodes")
     starts = nodes.filter("i = 0 and j in (0, 49)").select(
         F.when(F.col("j") == 0, 0).otherwise(1).cast("bigint").alias("voyage_id"), "i", "j"
     )
-    return pathing.cost_distance(pathing.grid_edges(nodes), starts, tile=8)
+    wanted = None
+    if targets is not None:
+        at = nodes.filter(targets).select("i", "j")
+        wanted = spread.fan_out(at, starts.select("voyage_id").distinct())
+    return pathing.cost_distance(pathing.grid_edges(nodes), starts, tile=16, targets=wanted)
 
 
 @registered(
@@ -496,13 +500,13 @@ def _tiled(spark, sf_dir):
     ("grid_nodes",),
 )
 def cost_distance_tiles(spark, sf_dir):
-    """The same distances over tiles of 8 x 8 nodes, so that paths cross many rims."""
+    """The same distances over tiles of 16 x 16 nodes, so that paths cross rims at any scale."""
     return _tiled(spark, sf_dir)
 
 
 @registered(
     f"""with recursive {EDGES_SQL}, goal as (select voyage_id, i, j from (select distinct voyage_id from starts) v
-      cross join (select i, j from grid_nodes where j = 25 union all select -1, -1) g),
+      cross join (select i, j from grid_nodes where j = 25 and i <= 20 union all select -1, -1) g),
     walk as (select g.voyage_id, g.i as target_i, g.j as target_j, g.i, g.j, cast(0 as bigint) as back from goal g join dist d using (voyage_id, i, j)
       union all select w.voyage_id, w.target_i, w.target_j, p.pi, p.pj, w.back + 1
         from walk w join pred p on p.voyage_id = w.voyage_id and p.i = w.i and p.j = w.j)
@@ -512,10 +516,13 @@ def cost_distance_tiles(spark, sf_dir):
     ("grid_nodes",),
 )
 def routes_to_targets(spark, sf_dir):
-    """Routes to a column of the grid and to one place outside it, which none reaches."""
-    dist = _tiled(spark, sf_dir).checkpoint()
+    """Routes to the head of a column and to one place outside the grid, which none reaches.
+
+    The search stops at the cost of the farthest of the places it can reach.
+    """
+    dist = _tiled(spark, sf_dir, "j = 25 and i <= 20").checkpoint()
     outside = dist.select("voyage_id").distinct().select("voyage_id", F.lit(-1).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("j"))
-    goal = dist.filter("j = 25").select("voyage_id", "i", "j").unionByName(outside)
+    goal = dist.filter("j = 25 and i <= 20").select("voyage_id", "i", "j").unionByName(outside)
     found = pathing.extract_routes(dist, goal).withColumn("reached", F.lit(True))
     nothing = F.lit(None).cast("bigint")
     missed = pathing.unreachable(dist, goal).select(
