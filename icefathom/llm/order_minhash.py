@@ -9,12 +9,14 @@ only with the k-mers they share. ``SKETCHES`` independent sketches are kept.
 Equal documents (same words) are joined first, by digest; one representative goes on.
 Representatives that share a sketch meet in that sketch's bucket. A bucket is searched
 as a star: every member is aligned with the member of least id; members that do not
-match meet again around the least of themselves, and so on until no bucket has two left,
-for at most ``ROUNDS`` stars. The alignment is a banded longest common subsequence of
+match meet again around the least of themselves, for at most ``ROUNDS`` stars. Members
+left then are paired exactly: a pair of different components is aligned if both have a
+word in common among their rarest fifth, which no match can do without. The alignment is a banded longest common subsequence of
 words; two documents are near copies if it covers 0.8 of the longer one. Classes are the
 connected components of the links.
 
-Cost stays in proportion: a bucket of n members makes at most ROUNDS * (n - 1) pairs, the
+Cost stays in proportion: the stars of a bucket of n members make at most ROUNDS * (n - 1)
+pairs, and the last pass those that share a rare word in small or leftover buckets; the
 same pair from many buckets is aligned once, and joins on a hot document are plain
 shuffle joins that adaptive execution splits. What finds candidates is a random search:
 with half of the k-mers shared (about 7 % edited words) all 24 sketches miss a pair with
@@ -48,6 +50,10 @@ PICKED = 2
 SKETCHES = 24
 SIMILARITY = 0.8
 ROUNDS = 3
+#: Buckets of so many members at most are paired outright in the last pass, larger ones by their rare words.
+SMALL_BUCKET = 32
+#: Hashed counters of words, so that what tasks read to order a text's words is bounded.
+_SLOTS = 1 << 16
 _SEEDS = seeds(SKETCHES, 1000)
 
 
@@ -216,9 +222,92 @@ def _aligned(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(batches, schema)
 
 
+def _tokens(hashes: np.ndarray) -> np.ndarray:
+    """Words labelled with their occurrence: equal ones of two texts are their words in common."""
+    return mix(hashes + _occurrence(hashes).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def _rare_words(texts: DataFrame) -> DataFrame:
+    """(key, n, rare): the rarest words of each text, more than a near copy may lack.
+
+    Two texts that have ``SIMILARITY`` of the longer one in common share one of them: both
+    take theirs in one order, by counts that are read from a table of hashed counters.
+    """
+
+    def parts(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
+        for batch in rows:
+            for part in slices(batch.column(1)):
+                found = words(part, ALNUM, LOWER_VALUES)
+                lists = [_tokens(found.hashes[i:j]) for i, j in zip(found.bounds[:-1], found.bounds[1:])]
+                yield batch, part.first, lists
+
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SLOTS, np.int64)
+        for _, _, lists in parts(rows):
+            for tokens in lists:
+                total += np.bincount((tokens % np.uint64(_SLOTS)).astype(np.int64), minlength=_SLOTS)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "n"])
+
+    counts = np.zeros(_SLOTS, np.int64)
+    for row in texts.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # <= _SLOTS rows
+        counts[row["slot"]] = row["n"]
+
+    def picked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, lists in parts(rows):
+            rare = []
+            for tokens in lists:
+                few = len(tokens) - int(np.ceil(SIMILARITY * len(tokens) - 1e-9)) + 1
+                rare.append(tokens[np.lexsort((tokens, counts[(tokens % np.uint64(_SLOTS)).astype(np.int64)]))[:few]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, len(lists)), pa.array([len(t) for t in lists], pa.int64()), pa.array(rare, pa.list_(pa.int64()))],
+                ["key", "n", "rare"],
+            )
+
+    schema = T.StructType(
+        [T.StructField("key", texts.schema["key"].dataType), T.StructField("n", T.LongType()), T.StructField("rare", T.ArrayType(T.LongType()))]
+    )
+    return texts.mapInArrow(picked, schema)
+
+
+def _unsettled(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of a bucket that are in no common component and could match.
+
+    ``members`` is (key, bucket). Members of a bucket's largest component are not paired
+    with one another, so a hot group of copies costs its size for each stranger.
+    """
+    roots = components(links.filter("similarity > 0")).withColumnsRenamed({"node": "key"})
+    placed = members.join(roots, "key", "left").select("key", "bucket", F.coalesce("root", "key").alias("root")).checkpoint()
+    groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = groups.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("groups"))
+    open_ = placed.join(mixed.filter("groups > 1").drop("groups").checkpoint(), "bucket").checkpoint()
+    words_of = _rare_words(texts.join(open_.select("key").distinct(), "key", "left_semi")).checkpoint()
+
+    def pairs(side: DataFrame, on: list[str]) -> DataFrame:
+        x = side.filter("root <> main").select(*on, F.col("key").alias("x"), F.col("root").alias("root_x"))
+        y = side.select(*on, F.col("key").alias("y"), F.col("root").alias("root_y"))
+        met = x.join(y, on).filter("root_x <> root_y")
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    small = pairs(open_.filter(F.col("size") <= SMALL_BUCKET), ["bucket"])
+    large = open_.filter(F.col("size") > SMALL_BUCKET).join(words_of, "key").withColumn("word", F.explode("rare"))
+    met = small.union(pairs(large.drop("rare", "n", "size").checkpoint(), ["bucket", "word"])).distinct()
+    asked = met.join(links, ["a", "b"], "left_anti").checkpoint()
+    a, b = (words_of.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("rare").alias(f"rare_{k}")) for k in "ab")
+    near = F.least("n_a", "n_b") >= F.ceil(SIMILARITY * F.greatest("n_a", "n_b") - 1e-9)
+    return asked.join(a, "a").join(b, "b").filter(near & F.arrays_overlap("rare_a", "rare_b")).select("a", "b")
+
+
+def _compared(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    with_b = asked.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    return _aligned(with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a"))
+
+
 def near_links(docs: DataFrame, reps: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Verified links (a, b, similarity), a < b, between representatives that share a sketch.
 
+    After ``rounds`` stars, what is left of a bucket is paired by its rare words.
+
     ``reps`` is (key, sketches), one row for each representative.
     """
     # The hash of a sketch is seeded with its number, so equal values are of one sketch.
@@ -236,15 +325,13 @@ def near_links(docs: DataFrame, reps: DataFrame, key: str = "doc_id", text: str
             involved = met.select("key").union(met.select(F.col("hub").alias("key"))).distinct()
             own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(involved, "key", "left_semi")
             texts = own.groupBy("key").agg(F.min_by("text", F.md5("text")).alias("text")).checkpoint()
-        with_b = asked.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        with_a = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        found = _aligned(with_a).checkpoint()
+        found = _compared(asked, texts).checkpoint()
         links = found if links is None else links.union(found)
-        if turn + 1 < rounds:
-            matched = links.filter("similarity > 0").select(F.col("a").alias("hub"), F.col("b").alias("key"))
-            left = met.join(matched, ["hub", "key"], "left_anti").select("key", "bucket").checkpoint()
-            if left.isEmpty():
-                break
+        matched = links.filter("similarity > 0").select(F.col("a").alias("hub"), F.col("b").alias("key"))
+        left = met.join(matched, ["hub", "key"], "left_anti").select("key", "bucket").checkpoint()
+        if left.isEmpty():
+            return links.filter("similarity > 0").dropDuplicates(["a", "b"])
+    links = links.union(_compared(_unsettled(left, links, texts), texts).checkpoint())
     return links.filter("similarity > 0").dropDuplicates(["a", "b"])
 
 

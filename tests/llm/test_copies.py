@@ -108,6 +108,25 @@ def test_a_large_group_makes_pairs_in_proportion(docs):
     assert order_minhash.near_links(df, reps).count() <= order_minhash.ROUNDS * order_minhash.SKETCHES * 121
 
 
+def linked(df, sketches):
+    """Classes by near_links over sketches that are given."""
+    reps = df.sparkSession.createDataFrame(sketches, "key long, sketches array<long>")
+    return {(r["a"], r["b"]) for r in order_minhash.near_links(df, reps).select("a", "b").collect()}
+
+
+@pytest.mark.parametrize("groups", (6, 40))
+def test_a_template_shared_by_many_groups_hides_no_pair(docs, groups):
+    """All share one bucket only, the template's; each text has one copy in it."""
+    draw = random.Random(7)
+    template, rows = text(draw, 100), []
+    for g in range(groups):
+        own = " ".join(f"g{g}x{i}" for i in range(60))
+        other = " ".join(w if i % 4 else f"e{g}x{i}" for i, w in enumerate(own.split()))
+        rows += [(g, f"{template} {own}"), (1000 + g, f"{template} {other}")]
+    df = docs(rows).select("doc_id", "text")
+    assert linked(df, [(k, [1]) for k, _ in rows]) == {(g, 1000 + g) for g in range(groups)}
+
+
 def test_other_key_types_and_empty(spark, docs):
     assert order_minhash.classes(docs([])).count() == 0
     named = spark.createDataFrame([("b", "x y z"), ("a", "x y z"), ("c", "p q")], "name string, body string")
