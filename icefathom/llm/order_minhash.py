@@ -9,9 +9,9 @@ only with the k-mers they share. ``SKETCHES`` independent sketches are kept.
 Equal documents (same words) are joined first, by digest; one representative goes on.
 Representatives that share a sketch meet in that sketch's bucket. A bucket is searched
 as a star: every member is aligned with the member of least id; members that do not
-match meet again around the least of themselves, for at most ``ROUNDS`` stars. Members
-left then are paired exactly: a pair of different components is aligned if both have a
-word in common among their rarest fifth, which no match can do without. The alignment is a banded longest common subsequence of
+match meet again around the least of themselves, for at most ``ROUNDS`` stars. Then
+all members of a bucket that a star did not settle are paired exactly, those that matched
+a hub too: a pair of different components is aligned if both have a word in common among their rarest fifth, which no match can do without. The alignment is a banded longest common subsequence of
 words; two documents are near copies if it covers 0.8 of the longer one. Classes are the
 connected components of the links.
 
@@ -306,13 +306,13 @@ def _compared(asked: DataFrame, texts: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, reps: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Verified links (a, b, similarity), a < b, between representatives that share a sketch.
 
-    After ``rounds`` stars, what is left of a bucket is paired by its rare words.
+    After ``rounds`` stars, members of a bucket in different components are paired by rare words.
 
     ``reps`` is (key, sketches), one row for each representative.
     """
     # The hash of a sketch is seeded with its number, so equal values are of one sketch.
     buckets = reps.select("key", F.explode("sketches").alias("bucket"))
-    links = texts = None
+    links = texts = members = None
     left = buckets
     for turn in range(rounds):
         # Stored first: the join then has plain shuffles on both sides, whose hot buckets split,
@@ -329,9 +329,13 @@ def near_links(docs: DataFrame, reps: DataFrame, key: str = "doc_id", text: str
         links = found if links is None else links.union(found)
         matched = links.filter("similarity > 0").select(F.col("a").alias("hub"), F.col("b").alias("key"))
         left = met.join(matched, ["hub", "key"], "left_anti").select("key", "bucket").checkpoint()
+        if members is None:
+            # All members of a bucket whose first hub did not match all; two members are settled by it.
+            unlike = left.groupBy("bucket").agg(F.count("*").alias("n")).join(met.groupBy("bucket").agg(F.count("*").alias("others")), "bucket")
+            members = buckets.join(unlike.filter("others > 1").select("bucket").checkpoint(), "bucket").checkpoint()
         if left.isEmpty():
-            return links.filter("similarity > 0").dropDuplicates(["a", "b"])
-    links = links.union(_compared(_unsettled(left, links, texts), texts).checkpoint())
+            break
+    links = links.union(_compared(_unsettled(members, links, texts), texts).checkpoint())
     return links.filter("similarity > 0").dropDuplicates(["a", "b"])
 
 

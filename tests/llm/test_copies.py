@@ -127,6 +127,23 @@ def test_a_template_shared_by_many_groups_hides_no_pair(docs, groups):
     assert linked(df, [(k, [1]) for k, _ in rows]) == {(g, 1000 + g) for g in range(groups)}
 
 
+def test_a_chain_of_versions_keeps_its_links(docs):
+    """Each version matches the next one only; all share one bucket, with a hub at the end."""
+    draw = random.Random(9)
+    words_, rows = text(draw, 100).split(), []
+    for k in range(6):
+        rows.append((k, " ".join(words_)))
+        words_ = [f"v{k}x{i}" if i % 7 == k else w for i, w in enumerate(words_)]
+    sequences = {k: hashes_of(t) for k, t in rows}
+    want = {(a, b) for a in sequences for b in sequences if a < b and order_minhash.alike(sequences[a], sequences[b])}
+    assert (0, 1) in want and (4, 5) in want and (0, 3) not in want
+    df = docs(rows).select("doc_id", "text")
+    found = linked(df, [(k, [1]) for k, _ in rows])
+    assert found <= want
+    roots = {r["node"]: r["root"] for r in components(df.sparkSession.createDataFrame(list(found), "a long, b long")).collect()}
+    assert roots == dict.fromkeys(sequences, 0)
+
+
 def test_other_key_types_and_empty(spark, docs):
     assert order_minhash.classes(docs([])).count() == 0
     named = spark.createDataFrame([("b", "x y z"), ("a", "x y z"), ("c", "p q")], "name string, body string")
