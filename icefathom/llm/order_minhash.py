@@ -1,6 +1,6 @@
 """Near-duplicate documents by order MinHash.
 
-A document's k-mers are its runs of five words (lower-cased letters and digits), each
+A document's k-mers are its runs of three words (lower-cased letters and digits), each
 labelled with how often it has occurred before in the text. A sketch draws a hash of
 every labelled k-mer, takes the ``PICKED`` least, and hashes them in the order of the
 text: two documents agree on it with a chance that falls with their edit distance, not
@@ -19,13 +19,12 @@ Cost stays in proportion: the stars of a bucket of n members make at most ROUNDS
 pairs, and the last pass those that share a rare word in small or leftover buckets; the
 same pair from many buckets is aligned once, and joins on a hot document are plain
 shuffle joins that adaptive execution splits. What finds candidates is a random search:
-with half of the k-mers shared (about 7 % edited words) all 24 sketches miss a pair with
-a chance of 0.1 %, with four tenths shared 1.5 %; a link through any third copy joins
-the class as well. Texts that have no five words in a row in common are never compared,
-however short they are.
+README has its recall by similarity; a link through any third copy joins the class as
+well. Texts that have no three words in a row in common are never compared, however short
+they are.
 
 Defined cases: null and empty texts, and texts without a letter or digit, belong to no
-class but their own. Texts with fewer than five words are one k-mer. Texts are read
+class but their own. Texts with fewer than three words are one k-mer. Texts are read
 whole. Rows with equal ids are one document and each gets the class; if their texts differ,
 the one with the least digest of words is sketched and the one with the least MD5 aligned. A null id has a null class and no links. The input's
 other columns do not pass through.
@@ -45,9 +44,9 @@ from pyspark.sql import types as T
 from icefathom.llm.batches import ALNUM, LOWER_VALUES, mix, run_hashes, seeds, slices, words
 from icefathom.llm.components import components
 
-KMER = 5
+KMER = 3
 PICKED = 2
-SKETCHES = 24
+SKETCHES = 64
 SIMILARITY = 0.8
 ROUNDS = 3
 #: Buckets of so many members at most are paired outright in the last pass, larger ones by their rare words.
