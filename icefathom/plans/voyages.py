@@ -506,6 +506,19 @@ def cost_distance_tiles(spark, sf_dir):
     return _tiled(spark, sf_dir, "j = 25 and i <= 20")
 
 
+def _routes_with_misses(dist, at):
+    """Routes to the places ``at``, and those that none reaches."""
+    outside = dist.select("voyage_id").distinct().select("voyage_id", F.lit(-1).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("j"))
+    goal = dist.filter(at).select("voyage_id", "i", "j").unionByName(outside)
+    found = pathing.extract_routes(dist, goal).withColumn("reached", F.lit(True))
+    nothing = F.lit(None).cast("bigint")
+    missed = pathing.unreachable(dist, goal).select(
+        "voyage_id", F.col("i").alias("target_i"), F.col("j").alias("target_j"), nothing.alias("i"), nothing.alias("j"),
+        nothing.alias("seq"), F.lit(False).alias("reached"),
+    )
+    return found.unionByName(missed)
+
+
 @registered(
     f"""with recursive {EDGES_SQL}, goal as (select voyage_id, i, j from (select distinct voyage_id from starts) v
       cross join (select i, j from grid_nodes where j = 25 and i <= 20 union all select -1, -1) g),
@@ -522,13 +535,45 @@ def routes_to_targets(spark, sf_dir):
 
     The search stops at the cost of the farthest of the places it can reach.
     """
-    dist = _tiled(spark, sf_dir, "j = 25 and i <= 20").checkpoint()
-    outside = dist.select("voyage_id").distinct().select("voyage_id", F.lit(-1).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("j"))
-    goal = dist.filter("j = 25 and i <= 20").select("voyage_id", "i", "j").unionByName(outside)
-    found = pathing.extract_routes(dist, goal).withColumn("reached", F.lit(True))
-    nothing = F.lit(None).cast("bigint")
-    missed = pathing.unreachable(dist, goal).select(
-        "voyage_id", F.col("i").alias("target_i"), F.col("j").alias("target_j"), nothing.alias("i"), nothing.alias("j"),
-        nothing.alias("seq"), F.lit(False).alias("reached"),
-    )
-    return found.unionByName(missed)
+    at = "j = 25 and i <= 20"
+    return _routes_with_misses(_tiled(spark, sf_dir, at).checkpoint(), at)
+
+
+@registered(
+    f"""with recursive {EDGES_SQL} select d.voyage_id, d.i, d.j, cast(d.d as double) as dist, p.pi, p.pj
+    from dist d left join pred p using (voyage_id, i, j)""",
+    ("grid_nodes",),
+)
+def cost_distance_tiles_whole(spark, sf_dir):
+    """Distances to every node of the whole grid over tiles of 16 x 16 nodes: rims crossed grow with the table."""
+    return _tiled(spark, sf_dir)
+
+
+@registered(
+    f"""with recursive {EDGES_SQL}, goal as (select voyage_id, i, j from (select distinct voyage_id from starts) v
+      cross join (select i, j from grid_nodes where j = 25 union all select -1, -1) g),
+    walk as (select g.voyage_id, g.i as target_i, g.j as target_j, g.i, g.j, cast(0 as bigint) as back from goal g join dist d using (voyage_id, i, j)
+      union all select w.voyage_id, w.target_i, w.target_j, p.pi, p.pj, w.back + 1
+        from walk w join pred p on p.voyage_id = w.voyage_id and p.i = w.i and p.j = w.j)
+    select voyage_id, target_i, target_j, i, j, max(back) over (partition by voyage_id, target_i, target_j) - back as seq, true as reached from walk
+    union all select voyage_id, i, j, null, null, null, false from goal g where not exists (
+      select 1 from dist d where d.voyage_id = g.voyage_id and d.i = g.i and d.j = g.j)""",
+    ("grid_nodes",),
+)
+def routes_to_column(spark, sf_dir):
+    """Routes to the whole of a column and to one place outside the grid, which none reaches."""
+    return _routes_with_misses(_tiled(spark, sf_dir).checkpoint(), "j = 25")
+
+
+@registered()
+def voyages_across(spark, sf_dir):
+    """Routes of a voyage from every fourth row of the grid, over tiles of 8 x 8 nodes: voyages grow with the table.
+
+    Each crosses to the column j = 25 in its own row; its search stops at that place's cost.
+    """
+    nodes = view(spark, sf_dir, "grid_nodes")
+    voyage = F.floor(F.col("i") / 4).cast("bigint").alias("voyage_id")
+    starts = nodes.filter("i % 4 = 0 and j = 0").select(voyage, "i", "j")
+    goal = nodes.filter("i % 4 = 0 and j = 25").select(voyage, "i", "j")
+    dist = pathing.cost_distance(pathing.grid_edges(nodes), starts, tile=8, targets=goal).checkpoint()
+    return pathing.extract_routes(dist, goal)

@@ -247,3 +247,40 @@ def test_predictions_for_every_row(spark):
     assert len(got) == 73
     assert sum(r.sic_pred is None for r in got) == 2 and all(0 <= r.sic_pred <= 1 for r in got if r.sic_pred is not None)
     assert tuple(seaice.usable_rows(df, ["x"]).first()) == (70, 3)
+
+
+WIDER = "/root/testdata/sf0.01"
+
+
+def test_path_queries_cover_the_grid_and_voyages_grow_with_it(spark):
+    from icefathom.plans import load_all
+    from icefathom.plans.registry import QUERIES
+    from icefathom.plans.views import view
+
+    load_all()
+    nodes = view(spark, WIDER, "grid_nodes")
+    column = {r.i for r in nodes.filter("j = 25").select("i").collect()}
+    assert max(column) > 20
+    routes_ = QUERIES["routes_to_column"](spark, WIDER).filter("reached").select("voyage_id", "target_i").distinct().collect()
+    assert {(r.voyage_id, r.target_i) for r in routes_} == {(v, i) for v in (0, 1) for i in column}
+    assert QUERIES["cost_distance_tiles_whole"](spark, WIDER).count() == 2 * nodes.count()
+
+    steps = {}
+    for r in pathing.grid_edges(nodes).collect():
+        steps.setdefault((r.i, r.j), []).append(((r.ni, r.nj), r.w))
+    legs = {}
+    for r in QUERIES["voyages_across"](spark, WIDER).collect():
+        legs.setdefault(r.voyage_id, []).append((r.seq, (r.i, r.j)))
+    assert len(legs) == nodes.filter("i % 4 = 0 and j = 0").count() > 2
+    for v, leg in legs.items():
+        path = [at for _, at in sorted(leg)]
+        assert (path[0], path[-1]) == ((4 * v, 0), (4 * v, 25))
+        cost = sum(dict(steps[x])[y] for x, y in zip(path, path[1:]))
+        best, todo = {path[0]: 0}, [(0, path[0])]
+        while todo:
+            d, at = heapq.heappop(todo)
+            for to, w in steps[at]:
+                if d == best[at] and d + w < best.get(to, float("inf")):
+                    best[to] = d + w
+                    heapq.heappush(todo, (d + w, to))
+        assert cost == best[path[-1]]
