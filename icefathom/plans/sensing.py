@@ -173,6 +173,28 @@ def predict_boosting_report(spark, sf_dir):
     return report.select("slot", "n", (F.col("mae") < 0.5).alias("closer_than_mean"))
 
 
+@registered()
+def forest_predictions(spark, sf_dir):
+    """The predictions of predict_forest themselves."""
+    rows = _model_rows(spark, sf_dir)
+    model = seaice.fit_sea_ice(rows.filter("slot <= 9"), FEATURES, trees=10, depth=4)
+    return seaice.predict(model, rows.filter("slot > 9")).select("cell_i", "cell_j", "slot", "sic", "sic_pred")
+
+
+@registered()
+def boosting_errors(spark, sf_dir):
+    """Error report of predict_boosting_report, and the error of the training mean, by later slot."""
+    rows = _model_rows(spark, sf_dir)
+    train = rows.filter("slot <= 9")
+    model = seaice.fit_sea_ice(train, FEATURES, kind="boosting", trees=5, depth=3)
+    scored = seaice.predict(model, rows.filter("slot > 9"))
+    report = seaice.regression_report(scored, "sic", "sic_pred", ["slot"])
+    mean = train.agg(F.avg("sic")).first()[0]
+    plain = seaice.regression_report(scored.withColumn("mean_pred", F.lit(mean)), "sic", "mean_pred", ["slot"])
+    both = report.join(plain.select("slot", F.col("mae").alias("mean_mae")), "slot")
+    return both.withColumn("closer_than_mean", F.col("mae") < F.col("mean_mae"))
+
+
 STUMP_SQL = """train as (select wave_m, sic from env_cells where slot <= 9),
 levels as (select wave_m, lead(wave_m) over (order by wave_m) as nxt from (select distinct wave_m from train) d),
 cuts as (select (wave_m + nxt) / 2.0e0 as cut from levels where nxt is not null),

@@ -284,3 +284,15 @@ def test_path_queries_cover_the_grid_and_voyages_grow_with_it(spark):
                     best[to] = d + w
                     heapq.heappush(todo, (d + w, to))
         assert cost == best[path[-1]]
+
+
+def test_model_queries_return_predictions_and_errors(spark):
+    from icefathom.plans import load_all
+    from icefathom.plans.registry import QUERIES
+
+    load_all()
+    rows = QUERIES["forest_predictions"](spark, WIDER).collect()
+    assert all(0 <= r.sic_pred <= 1 for r in rows) and len({r.sic_pred for r in rows}) > 1
+    for r in QUERIES["boosting_errors"](spark, WIDER).collect():
+        assert r.mae > 0 and r.mean_mae > 0 and r.closer_than_mean == (r.mae < r.mean_mae)
+        print(r)
