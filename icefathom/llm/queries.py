@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icefathom.llm import decontamination, html_extraction, language_id, license_scan, order_minhash, quality_rules, sentencepiece_codec, sharding, suffix_dedup, warc
+from icefathom.llm import decontamination, html_extraction, language_id, license_scan, mixing, order_minhash, prefix_trie, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_alignment, warc
 from icefathom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _query(query: Query) -> Query:
@@ -175,3 +176,69 @@ select s.page_id, s.payload_bytes, s.payload_digest,
        case when k.top is not null and s.page_id is distinct from k.top then k.top end as refers_to
 from sized s left join kept k on k.payload_digest = s.payload_digest and s.payload_bytes >= 1000
 """
+
+
+@_query
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    ensure_checkpoint_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    placed = mixing.rates(docs)
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+ORACLES["op13_mixing"] = r"""
+with d as (select doc_id, source, text, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+s as (select source, cast(sum(size) as hugeint) as words from d group by source),
+w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from s),
+-- Sources by the level at which they are full; those before the first that stays below it are capped.
+o as (select *, row_number() over (order by 3.0e0 * words / weight, source nulls last) as k from w),
+c as (select *, sum(words) over () - 3 * coalesce(sum(words) over (order by k rows between unbounded preceding and 1 preceding), 0) as left_words,
+  sum(weight) over (order by k rows between current row and unbounded following) as left_weight from o),
+first as (select left_words, left_weight from c where 3 * words * left_weight >= weight * left_words order by k limit 1),
+t as (select source, words, case when 3 * words * left_weight < weight * left_words then cast(3 * words as double)
+  else cast(weight * left_words as double) / cast(left_weight as double) end as target from c as x(source, words, weight, k, lw, lg), first),
+r as (select d.*, cast(t.words as bigint) as source_size, t.target, case when t.words > 0 then t.target / cast(t.words as double) else 0.0e0 end as rate,
+  cast(('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), md5(coalesce(text, '')))), 1, 13)) as bigint) / 4503599627370496.0e0 as draw
+  from d join t on d.source is not distinct from t.source),
+n as (select *, cast(floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end as bigint) as copies from r)
+select doc_id, size, source_size, target, size * copies as taken, source, copies from n
+"""
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie over the rebuilt conversations."""
+    ensure_checkpoint_dir(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.encoded(turns)))
+
+
+# CRC-32 over a list of steps: each byte is mixed in, then eight bits are shifted out (-1 each).
+ORACLES["op12_prefix_trie"] = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, sha256(strlen(role) || ':' || role || text)) as ts from t group by conv_id),
+k as (select conv_id, ts, conv_id - conv_id % 5 as base, cast(conv_id as varchar) as told from o),
+c as (select conv_id, ts, base, xor(list_reduce(list_concat([4294967295], flatten([[ascii(told[i]), -1, -1, -1, -1, -1, -1, -1, -1] for i in range(1, len(told) + 1)])),
+  lambda crc, s: case when s >= 0 then xor(crc, s) else xor(crc >> 1, 3988292384 * (crc & 1)) end), 4294967295) % 9 as h from k),
+r as (select c.conv_id, list_concat(list_slice(coalesce(b.ts, []), 1, c.h), list_slice(c.ts, c.h + 1, len(c.ts))) as ts from c left join o b on b.conv_id = c.base),
+p as (select conv_id, ts, unnest(range(0, len(ts) + 1)) as depth from r),
+n as (select list_slice(ts, 1, depth) as path, depth, min(conv_id) as conv_id, cast(count(*) as bigint) as n_convs,
+  coalesce(string_agg(conv_id, ',' order by conv_id) filter (len(ts) = depth), '') as ends from p group by 1, 2),
+e as (select *, list_slice(path, 1, depth - 1) as above, case when depth > 0 then (n_convs - 1) * strlen(path[depth].text) else 0 end as own from n),
+kids as (select above as path, cast(count(*) as bigint) as n_children from e where depth > 0 group by 1),
+f as (select e.*, coalesce(kids.n_children, 0) as n_children from e left join kids on kids.path = e.path),
+a as (select own, n_children, unnest([list_slice(path, 1, d) for d in range(0, depth + 1)]) as path from f),
+s as (select path, cast(sum(own) as bigint) as saved_tokens, cast(count(*) filter (n_children = 0) as bigint) as n_leaves from a group by path)
+select f.conv_id, f.depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(f.ends) as ends_sha256
+from f join s on s.path = f.path left join f u on f.depth > 0 and u.path = f.above
+"""
+
+
+@_query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens align in every document."""
+    ensure_checkpoint_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a, b = token_alignment.read_file(BYTE_TOKENIZER), token_alignment.read_file(PIECE_MODEL)
+    return token_alignment.align(docs, a, b).select("doc_id", *token_alignment.MEASURES)
