@@ -9,10 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from icefathom.operators import overlay
 from icefathom.session import ensure_checkpoint_dir
 
-TILE = 64
+#: Side of a tile where costs depend on the time of departure.
+TIMED_TILE = 64
 BATCH_VOYAGES = 64
+#: Side of the blocks in which routes are walked.
+WALK_BLOCK = 256
 
 
 def grid_edges(nodes: DataFrame) -> DataFrame:
@@ -28,7 +32,7 @@ def grid_edges(nodes: DataFrame) -> DataFrame:
     return reach.join(ends, ["ni", "nj"]).select("i", "j", "ni", "nj", (F.col("cost") + F.col("_ncost")).alias("w"))
 
 
-def _tile_solver(slice_len: float | None, last_slot: int):
+def _tile_solver(slice_len: float, last_slot: int):
     """Task function that settles one tile.
 
     It is a closure over plain values, so it travels with the job and tasks
@@ -59,12 +63,9 @@ def _tile_solver(slice_len: float | None, last_slot: int):
         before = dist.copy()
         while True:
             leave = dist[:, tails]
-            if slice_len is None:
-                cost = weight[:, 0]
-            else:
-                # The same division as in the predecessor step: floor division differs in the last digit.
-                slot = np.minimum(np.floor(np.where(np.isfinite(leave), leave, 0) / slice_len), last_slot).astype(int)
-                cost = weight[np.arange(len(arcs)), slot]
+            # The same division as in the predecessor step: floor division differs in the last digit.
+            slot = np.minimum(np.floor(np.where(np.isfinite(leave), leave, 0) / slice_len), last_slot).astype(int)
+            cost = weight[np.arange(len(arcs)), slot]
             offer = np.minimum.reduceat(leave + cost, first, axis=1)
             better = offer < dist[:, heads]
             if not better.any():
@@ -83,9 +84,11 @@ def cost_distance(
     sources: DataFrame,
     max_iter: int | None = None,
     slice_len: float | None = None,
-    tile: int = TILE,
+    tile: int | None = None,
     batch_voyages: int = BATCH_VOYAGES,
     targets: DataFrame | None = None,
+    region: int = overlay.REGION,
+    directed: bool = True,
 ) -> DataFrame:
     """Least accumulated cost from each voyage's source to every node.
 
@@ -95,45 +98,109 @@ def cost_distance(
     ``sources``: voyage_id, i, j. Returns voyage_id, i, j, dist and the
     predecessor pi, pj (lowest of equals; null at the source).
 
-    With ``targets`` (voyage_id, i, j) a voyage stops where its cost exceeds that of its
-    farthest target: once all its targets have a cost, labels above the highest of those
-    costs are not carried on, and the result holds the nodes up to it. Costs of targets
-    are exact all the same, since a way to them never goes through a dearer node.
+    Without ``slice_len`` the search runs on an overlay of tiles (``overlay``): rounds follow
+    regions of ``region`` x ``region`` tiles crossed, and only at the end are tiles opened.
+    With it, whole tiles are settled round by round, since costs inside depend on the time.
 
-    A round settles whole tiles and then passes improved rim costs on, so the
-    number of rounds follows tiles crossed, not nodes crossed. Work is spread
-    by (tile, batch of voyages), both bounded. Every round ends in a reliable
-    checkpoint. Weights are positive, so every round settles the tile that holds the least
-    open cost for good and the rounds end by themselves; ``max_iter`` makes a longer run an
+    With ``targets`` (voyage_id, i, j) a voyage stops at the cost of its farthest target. The
+    result holds at least every node of a least-cost way to a target, all with their exact
+    costs. On the overlay the search is ``directed`` by landmarks as well: nodes from which,
+    by the triangle inequality, no target can be reached at that cost are left out. A target
+    that is no node of the graph is passed over; one that cannot be reached leaves its
+    voyage unbounded. Work is spread by (region or tile, batch of voyages), both bounded, and
+    every round ends in a reliable checkpoint. ``max_iter`` makes a run of more rounds an
     error. A node other than a source that has no predecessor is an error too.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    slotted = edges if slice_len is not None else edges.withColumn("slot", F.lit(0))
-    checked = slotted.agg(F.max("slot").alias("last"), F.min((F.col("w") > 0) & F.col("w").isNotNull()).alias("ok")).first()
+    ensure_checkpoint_dir(edges.sparkSession)
+    tile = tile or (overlay.TILE if slice_len is None else TIMED_TILE)
+    # One copy of the graph, which everything below reads.
+    plain = edges.select(
+        *[F.col(c).cast("bigint").alias(c) for c in ("i", "j", "ni", "nj")], F.col("w").cast("double").alias("w"),
+        F.col("slot") if slice_len is not None else F.lit(0).alias("slot"),
+    )
+    arcs = overlay.in_tiles(overlay.in_tiles(plain, tile), tile, "ni", "nj", ("_ni", "_nj")).checkpoint()
+    checked = arcs.agg(F.max("slot").alias("last"), F.min((F.col("w") > 0) & F.col("w").isNotNull()).alias("ok")).first()
     if checked["ok"] is False:
         raise ValueError("edge weights must be positive")
     last_slot = int(checked["last"] or 0)
-    n_voyages = sources.select("voyage_id").distinct().count()
-    batches = max(1, -(-n_voyages // batch_voyages))
+    at = [F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")]
+    begin = sources.select("voyage_id", *at).checkpoint()
+    batches = max(1, -(-begin.select("voyage_id").distinct().count() // batch_voyages))
+    goals = None if targets is None else targets.select("voyage_id", *at).distinct()
+    if slice_len is None:
+        dist = _settled(arcs, begin, goals, max_iter, tile, region, batches, directed)
+    else:
+        dist = _settled_timed(arcs, begin, goals, max_iter, slice_len, last_slot, tile, batches)
 
-    def in_tiles(df: DataFrame) -> DataFrame:
-        return df.withColumns({"_ti": F.floor(F.col("i") / tile), "_tj": F.floor(F.col("j") / tile)})
+    departing = dist.join(arcs.select("i", "j", "ni", "nj", "w", "slot"), ["i", "j"])
+    if slice_len is not None:
+        departing = departing.filter(F.col("slot") == F.least(F.floor(F.col("dist") / slice_len), F.lit(last_slot)))
+    arrive = F.struct((F.col("dist") + F.col("w")).alias("a"), F.col("i").alias("pi"), F.col("j").alias("pj"))
+    best = departing.groupBy("voyage_id", F.col("ni").alias("i"), F.col("nj").alias("j")).agg(F.min(arrive).alias("_p"))
+    found = dist.join(best, ["voyage_id", "i", "j"], "left")
+    # The overlay adds the same costs in another order, so sums may differ in the last digit.
+    reached = F.col("_p.a") <= F.col("dist") * (overlay.SLACK if slice_len is None else 1.0)
+    broken = F.raise_error(F.lit("cost_distance: a node other than the source has no predecessor")).cast("bigint")
+    return found.select(
+        "voyage_id", "i", "j", "dist",
+        F.when(F.col("dist") == 0, F.lit(None)).when(reached, F.col("_p.pi")).otherwise(broken).cast("bigint").alias("pi"),
+        F.when(F.col("dist") == 0, F.lit(None)).when(reached, F.col("_p.pj")).otherwise(broken).cast("bigint").alias("pj"),
+    )
+
+
+def _settled(
+    arcs: DataFrame, begin: DataFrame, goals: DataFrame | None, max_iter: int | None, tile: int, region: int, batches: int, directed: bool
+) -> DataFrame:
+    """Costs (voyage_id, i, j, dist) by the overlay."""
+    graph = overlay.build(arcs, tile, region).checkpoint()
+    starts = begin.select("voyage_id", F.lit(False).alias("back"), "i", "j", F.lit(0.0).alias("d"))
+    aims = marks = None
+    spots = overlay.landmark_nodes(arcs) if goals is not None and directed else []
+    if goals is not None:
+        nodes = arcs.select("i", "j").union(arcs.select("ni", "nj"))
+        goals = goals.join(nodes, ["i", "j"], "left_semi").select("voyage_id", "i", "j").checkpoint()
+    if spots:
+        marks = overlay.landmarks(arcs, graph, spots, tile, region).checkpoint()
+        graph = overlay.with_marks(graph, marks, len(spots), tile).checkpoint()
+        aims = overlay.goals(begin, goals, marks, len(spots)).checkpoint()
+    first = overlay.open_tiles(arcs, starts, batches, tile)
+    if aims is None:
+        first = first.withColumn("goal", F.lit(None).cast("array<double>"))
+    else:
+        first = first.join(aims, "voyage_id", "left")
+    labels = overlay.search(graph, first.checkpoint(), batches, tile, region, max_iter)
+    dist = overlay.open_tiles(arcs, labels.unionByName(starts), batches, tile).select("voyage_id", "i", "j", F.col("d").alias("dist"))
+    if goals is None:
+        return dist.checkpoint()
+    dist = dist.checkpoint()
+    met = goals.join(dist, ["voyage_id", "i", "j"], "left").groupBy("voyage_id").agg(
+        F.when(F.count("dist") == F.count(F.lit(1)), F.max("dist") * overlay.SLACK).alias("_most")
+    )
+    lacks = F.lit(0.0)
+    if aims is not None:
+        dist = dist.join(marks, ["i", "j"], "left").join(aims, "voyage_id", "left")
+        # A node that no landmark meets is bounded by its cost alone.
+        lacks = F.greatest(F.lit(0.0), F.coalesce(overlay.lacking("marks", "goal", len(spots)), F.lit(0.0)))
+    within = F.coalesce(F.col("dist") + lacks <= F.col("_most"), F.lit(True))
+    return dist.join(met, "voyage_id", "left").filter(within).select("voyage_id", "i", "j", "dist").checkpoint()
+
+
+def _settled_timed(
+    arcs: DataFrame, begin: DataFrame, goals: DataFrame | None, max_iter: int | None, slice_len: float, last_slot: int, tile: int, batches: int
+) -> DataFrame:
+    """Costs (voyage_id, i, j, dist) where a weight depends on the time of departure.
+
+    A round settles whole tiles and passes improved rim costs on.
+    """
 
     def in_batches(df: DataFrame) -> DataFrame:
-        return in_tiles(df).withColumn("_vb", F.pmod(F.xxhash64("voyage_id"), F.lit(batches)).cast("int"))
+        return overlay.in_tiles(df, tile).withColumn("_vb", F.pmod(F.xxhash64("voyage_id"), F.lit(batches)).cast("int"))
 
     area = ["_ti", "_tj", "_vb"]
-    # One copy of the graph; a round joins it to the (tile, batch) pairs that are active.
-    arcs = in_tiles(slotted.select("i", "j", "ni", "nj", "w", "slot")).checkpoint()
-    goals = None
-    if targets is not None:
-        goals = targets.select("voyage_id", F.col("i").cast("bigint"), F.col("j").cast("bigint")).distinct().checkpoint()
-
-    state = sources.select(
-        "voyage_id", F.col("i").cast("bigint"), F.col("j").cast("bigint"), F.lit(0.0).alias("d"),
-        F.lit(True).alias("fresh"),
-    ).checkpoint()
+    arcs = arcs.drop("_ni", "_nj")
+    if goals is not None:
+        goals = goals.checkpoint()
+    state = begin.withColumns({"d": F.lit(0.0), "fresh": F.lit(True)}).checkpoint()
     for _ in range(max_iter) if max_iter is not None else count():
         tagged = in_batches(state)
         active = tagged.filter("fresh").select(*area).distinct()
@@ -158,23 +225,9 @@ def cost_distance(
             break
     else:
         raise RuntimeError(f"cost_distance did not settle within {max_iter} rounds")
-
     if goals is not None:
         state = state.filter("not beyond")
-    dist = state.select("voyage_id", "i", "j", F.col("d").alias("dist"))
-    departing = dist.join(slotted, ["i", "j"])
-    if slice_len is not None:
-        departing = departing.filter(F.col("slot") == F.least(F.floor(F.col("dist") / slice_len), F.lit(last_slot)))
-    arrive = F.struct((F.col("dist") + F.col("w")).alias("a"), F.col("i").alias("pi"), F.col("j").alias("pj"))
-    best = departing.groupBy("voyage_id", F.col("ni").alias("i"), F.col("nj").alias("j")).agg(F.min(arrive).alias("_p"))
-    found = dist.join(best, ["voyage_id", "i", "j"], "left")
-    reached = F.col("_p.a") <= F.col("dist")
-    broken = F.raise_error(F.lit("cost_distance: a node other than the source has no predecessor")).cast("bigint")
-    return found.select(
-        "voyage_id", "i", "j", "dist",
-        F.when(F.col("dist") == 0, F.lit(None)).when(reached, F.col("_p.pi")).otherwise(broken).cast("bigint").alias("pi"),
-        F.when(F.col("dist") == 0, F.lit(None)).when(reached, F.col("_p.pj")).otherwise(broken).cast("bigint").alias("pj"),
-    )
+    return state.select("voyage_id", "i", "j", F.col("d").alias("dist"))
 
 
 def _within_bound(state: DataFrame, goals: DataFrame) -> DataFrame:
@@ -188,38 +241,64 @@ def _within_bound(state: DataFrame, goals: DataFrame) -> DataFrame:
     return joined.withColumn("beyond", beyond).withColumn("fresh", F.col("fresh") & ~F.col("beyond")).drop("_most")
 
 
-def extract_routes(pred: DataFrame, targets: DataFrame, max_rounds: int = 40) -> DataFrame:
+def _walk(steps: pd.DataFrame, walkers: pd.DataFrame) -> pd.DataFrame:
+    """Follows predecessors from each walker's place to the block's border or the source."""
+    names = ("voyage_id", "target_i", "target_j", "i", "j", "back", "open")
+    made: dict[str, list] = {c: [] for c in names}
+    before = dict(zip(zip(steps["i"], steps["j"]), zip(steps["pi"], steps["pj"])))
+    for v, ti, tj, i, j, back in zip(*[walkers[c] for c in names[:6]]):
+        at, start = (i, j), back
+        while True:
+            inside = at in before
+            if not inside and back == start:
+                raise ValueError(f"node {at} of voyage {v} is on a way but has no row")
+            for c, x in zip(names, (v, ti, tj, *at, back, not inside)):
+                made[c].append(x)
+            if not inside or pd.isna(before[at][0]):
+                break
+            at, back = tuple(int(x) for x in before[at]), back + 1
+            if back - start > len(before):
+                raise ValueError("predecessors run in a circle")
+    return pd.DataFrame(made)
+
+
+def extract_routes(pred: DataFrame, targets: DataFrame, max_rounds: int | None = None, block: int = WALK_BLOCK) -> DataFrame:
     """Waypoints of the route to each target, ``seq`` 0 at the source.
 
-    ``targets``: voyage_id, i, j. Predecessor steps are doubled each round
-    (1, 2, 4, ... hops), so the rounds follow the logarithm of the longest
-    route; both tables are checkpointed per round. A target that ``pred`` does not reach
-    has no route and no row (``unreachable`` lists those).
+    ``targets``: voyage_id, i, j. Routes are walked from their targets block by block: a
+    round takes every route through one block of ``block`` x ``block`` nodes, so rounds follow
+    blocks crossed, and only nodes on wanted routes are written. A target that ``pred`` does
+    not reach has no route and no row (``unreachable`` lists those). More than ``max_rounds``
+    rounds, or predecessors that lead back to a node, are an error.
     """
     ensure_checkpoint_dir(pred.sparkSession)
     key = ["voyage_id", "i", "j"]
-    hop = pred.filter("pi is not null").select(*key, F.col("pi").alias("hi"), F.col("pj").alias("hj")).checkpoint()
-    walk = targets.join(pred.select(*key), key, "left_semi").select(
-        *key, F.col("i").alias("target_i"), F.col("j").alias("target_j"), F.lit(0).cast("bigint").alias("back")
+    area = ["voyage_id", "_ti", "_tj"]
+    names = ["voyage_id", "target_i", "target_j", "i", "j", "back"]
+    ends = names[:3]
+    steps = overlay.in_tiles(pred.select(*key, "pi", "pj"), block).checkpoint()
+    walkers = targets.select(*key).distinct().join(steps.select(*key), key, "left_semi").select(
+        "voyage_id", F.col("i").alias("target_i"), F.col("j").alias("target_j"), "i", "j", F.lit(0).cast("bigint").alias("back")
     )
-    size = 1
-    for _ in range(max_rounds):
-        further = walk.join(hop, key).select(
-            "voyage_id", F.col("hi").alias("i"), F.col("hj").alias("j"), "target_i", "target_j",
-            (F.col("back") + size).alias("back"),
+    parts: list[DataFrame] = []
+    for _ in range(max_rounds) if max_rounds is not None else count():
+        at = overlay.in_tiles(walkers, block).toDF(*names, "_ti", "_tj")
+        near = steps.join(at.select(*area).distinct(), area, "left_semi")
+        done = (
+            overlay.dealt(near.toDF(*near.columns), area).groupBy(*area)
+            .cogroup(overlay.dealt(at, area).groupBy(*area))
+            .applyInPandas(_walk, "voyage_id bigint, target_i bigint, target_j bigint, i bigint, j bigint, back bigint, open boolean")
+            .checkpoint()
         )
-        walk = walk.unionByName(further).checkpoint()
-        onward = hop.select("voyage_id", F.col("i").alias("_i"), F.col("j").alias("_j"),
-                            F.col("hi").alias("i"), F.col("hj").alias("j"))
-        hop = onward.join(hop, key).select(
-            "voyage_id", F.col("_i").alias("i"), F.col("_j").alias("j"), "hi", "hj"
-        ).checkpoint()
-        size *= 2
-        if hop.isEmpty():
+        parts.append(done.filter("not open").select(*names))
+        walkers = done.filter("open").select(*names)
+        if walkers.isEmpty():
             break
     else:
-        raise RuntimeError(f"routes longer than 2**{max_rounds} hops")
-    ends = ["voyage_id", "target_i", "target_j"]
+        raise RuntimeError(f"routes through more than {max_rounds} blocks")
+    walk = parts[0]
+    for part in parts[1:]:
+        walk = walk.unionByName(part)
     hops = walk.groupBy(*ends).agg(F.max("back").alias("_hops"))
     return walk.join(hops, ends).select(*ends, (F.col("_hops") - F.col("back")).alias("seq"), "i", "j")
 
