@@ -110,6 +110,7 @@ def _region_solver():
         made = []
         for back, part in labels.groupby("back"):
             part = part[part["voyage_id"].isin(part["voyage_id"][part["fresh"]].unique())]
+            aims, part = part[part["aim"].notna()], part[part["aim"].isna()]
             at = lookup.get_indexer(pd.MultiIndex.from_arrays([part["i"], part["j"]]))
             part, at = part[at >= 0], at[at >= 0]
             if part.empty:
@@ -119,7 +120,7 @@ def _region_solver():
             names = ("in_at", "in_from", "in_w") if back else ("out_at", "out_to", "out_w")
             near, far, cost = ([np.frombuffer(x, k) for x in tiles[c]] for c, k in zip(names, (np.int64, np.int64, float)))
             spans = np.concatenate([[0], np.cumsum([len(x) for x in near])])
-            near, far, cost = np.concatenate([x + s for x, s in zip(near, starts)]), np.concatenate(far).reshape(-1, 2), np.concatenate(cost)
+            near, far, cost = np.concatenate(near), np.concatenate(far).reshape(-1, 2), np.concatenate(cost)
             to = lookup.get_indexer(pd.MultiIndex.from_arrays(far.T)) if len(far) else np.empty(0, int)
             beyond, code = np.unique(far[to < 0], axis=0, return_inverse=True)
             to[to < 0] = n + code.reshape(-1)
@@ -130,34 +131,77 @@ def _region_solver():
             before = dist.copy()
             np.minimum.at(dist, (at[fresh], v_at[fresh]), d[fresh])
             goals = {v: list(g) for v, g in zip(part["voyage_id"], part["goal"]) if g is not None}
-            most = np.full((n, len(voyages)), np.inf)
-            if goals and "marks" in tiles:
+            # What each node still lacks, and the dearest label that can still lead to the goals.
+            lacks, most = np.zeros((n, len(voyages))), np.full((n, len(voyages)), np.inf)
+            if "marks" in tiles:
                 marks = np.concatenate([np.frombuffer(x, float).reshape(-1, len(r)) for x, r in zip(tiles["marks"], rims)], axis=1)
                 k = len(marks) // 2
                 for x, v in enumerate(voyages):
                     if v in goals:
                         g = np.asarray(goals[v], float)
                         with np.errstate(invalid="ignore"):
-                            lacks = np.concatenate([g[1 : k + 1, None] - marks[:k], marks[k:] - g[k + 1 :, None]])
-                        most[:, x] = g[0] - np.max(np.where(np.isnan(lacks), -np.inf, lacks), axis=0)
+                            bounds = np.concatenate([g[2 : k + 2, None] - marks[:k], marks[k:] - g[k + 2 :, None]])
+                        lacks[:, x] = np.maximum(np.max(np.where(np.isnan(bounds), -np.inf, bounds), axis=0), 0.0)
+            for x, v in enumerate(voyages):
+                if v in goals:
+                    most[:, x] = goals[v][0] - lacks[:, x]
             dist[:n][dist[:n] > most] = np.inf
-            todo = np.unique(tile_of[np.flatnonzero((dist[:n] < before[:n]).any(1))])
-            while len(todo):
-                for t in todo:
+            # Rims from which a goal's tile can be finished: by voyage, the goals with their rims and costs.
+            ends_of: dict[int, list] = {}
+            watched: dict[int, set[int]] = {}
+            for (v, _), rows in aims.groupby(["voyage_id", "aim"]):
+                x, spot = int(np.searchsorted(voyages, v)), lookup.get_indexer(pd.MultiIndex.from_arrays([rows["i"], rows["j"]]))
+                near_end = rows["d"].to_numpy(float)[spot >= 0]
+                spot = spot[spot >= 0]
+                if len(spot):
+                    ends_of.setdefault(x, []).append((spot, near_end))
+                    for t in np.unique(tile_of[spot]):
+                        watched.setdefault(int(t), set()).add(x)
+
+            def tighten(x: int) -> None:
+                """All goals of a voyage lie here: their costs so far bound every label."""
+                v = voyages[x]
+                if v in goals and len(ends_of[x]) == goals[v][1]:
+                    found = max(float(np.min(dist[spot, x] + d)) for spot, d in ends_of[x]) * SLACK
+                    if found < goals[v][0]:
+                        goals[v][0] = found
+                        most[:, x] = found - lacks[:, x]
+                        gone = dist[:n, x] > most[:, x]
+                        dist[:n, x][gone] = np.inf
+                        moved[:n, x][gone] = False
+
+            # Labels that improved and are not yet passed on; tiles with the least of them go first.
+            moved = dist < before
+            moved[n:] = False
+            while True:
+                todo = np.unique(tile_of[np.flatnonzero(moved[:n].any(1))])
+                if not len(todo):
+                    break
+                lead = [np.min(dist[starts[t] : ends[t]], where=moved[starts[t] : ends[t]], initial=np.inf) for t in todo]
+                for t in todo[np.argsort(lead)]:
                     low, high = starts[t], ends[t]
+                    ways = np.flatnonzero(moved[low:high].any(0))
+                    if not len(ways):
+                        continue
+                    moved[low:high] = False
                     inner = np.frombuffer(tiles["matrix"].iloc[t], float).reshape(high - low, high - low)
                     inner = inner.T if back else inner
-                    now = dist[low:high]
+                    now = dist[low:high, ways]
                     best = np.minimum(now, (inner[:, :, None] + now[:, None, :]).min(0))
-                    dist[low:high] = np.where(best > most[low:high], np.inf, best)
-                chosen = np.concatenate([np.arange(spans[t], spans[t + 1]) for t in todo])
-                offer = dist[near[chosen]] + cost[chosen][:, None]
-                where = to[chosen]
-                inside = where < n
-                offer[inside] = np.where(offer[inside] > most[where[inside]], np.inf, offer[inside])
-                better = (offer < dist[where]).any(1)
-                np.minimum.at(dist, where[better], offer[better])
-                todo = np.unique(tile_of[where[better & inside]])
+                    best[best > most[low:high, ways]] = np.inf
+                    dist[low:high, ways] = best
+                    reach = slice(spans[t], spans[t + 1])
+                    where, offer = to[reach], best[near[reach]] + cost[reach][:, None]
+                    inside = where < n
+                    limit = most[np.ix_(where[inside], ways)]
+                    offer[inside] = np.where(offer[inside] > limit, np.inf, offer[inside])
+                    spot = np.ix_(where, ways)
+                    better = offer < dist[spot]
+                    np.minimum.at(dist, spot, offer)
+                    np.logical_or.at(moved, np.ix_(where[inside], ways), better[inside])
+                    for x in watched.get(int(t), ()):
+                        tighten(x)
+            dist[:n][dist[:n] > most] = np.inf
             x, v = np.nonzero(dist < before)
             spots = np.concatenate([nodes, beyond])[x]
             made.append(
@@ -173,11 +217,15 @@ def _region_solver():
     return settle
 
 
-def search(graph: DataFrame, starts: DataFrame, batches: int, tile: int, region: int, max_iter: int | None = None) -> DataFrame:
+def search(
+    graph: DataFrame, starts: DataFrame, batches: int, tile: int, region: int, max_iter: int | None = None, ends: DataFrame | None = None
+) -> DataFrame:
     """Costs (voyage_id, back, i, j, d) of all rim nodes, from starts inside their tiles.
 
     ``back`` searches against the edges. ``starts`` may carry ``goal``: the most a way may
-    cost, then for each landmark the least cost from it to a goal, then the greatest to it.
+    cost, the number of goals, then for each landmark the least cost from it to a goal, and
+    the greatest to it. ``ends`` (voyage_id, aim, i, j, d) are the costs from rims to each goal
+    inside its tile; where all goals of a voyage lie in one region, they lower the first.
     """
     parts: list[DataFrame] = []
     offers = starts
@@ -195,13 +243,16 @@ def search(graph: DataFrame, starts: DataFrame, batches: int, tile: int, region:
         return whole
 
     for _ in range(max_iter) if max_iter is not None else count():
-        fresh = placed(offers.groupBy(*key).agg(F.min("d").alias("d"), F.first("goal", ignorenulls=True).alias("goal")))
+        fresh = placed(offers.groupBy(*key).agg(F.min("d").alias("d"), F.min("goal").alias("goal")))
         active = fresh.select(*area).distinct()
-        labels = fresh.withColumn("fresh", F.lit(True))
+        nothing, none = F.lit(None).cast("array<double>").alias("goal"), F.lit(None).cast("long").alias("aim")
+        labels = fresh.select("*", F.lit(True).alias("fresh"), none)
         if parts:
             known = placed(merged()).join(active, area, "left_semi")
-            nothing = F.lit(None).cast("array<double>")
-            labels = labels.unionByName(known.select(*key, "d", nothing.alias("goal"), *area, F.lit(False).alias("fresh")))
+            labels = labels.unionByName(known.select(*key, "d", nothing, *area, F.lit(False).alias("fresh"), none))
+        if ends is not None:
+            near = placed(ends).join(active, area, "left_semi")
+            labels = labels.unionByName(near.select(*key, "d", nothing, *area, F.lit(False).alias("fresh"), "aim"))
         tiles = graph.join(active.toDF(*area), ["_gi", "_gj"])
         out = (
             dealt(tiles, area).groupBy(*area)
@@ -306,13 +357,29 @@ def goals(sources: DataFrame, targets: DataFrame, marks: DataFrame, n_marks: int
     far = F.array_repeat(F.lit(float("inf")), 2 * n_marks)
     own = marks.select("i", "j", "marks")
     here = sources.join(own, ["i", "j"], "left").select("voyage_id", F.coalesce("marks", far).alias("s"))
-    there = targets.join(own, ["i", "j"], "left").select("voyage_id", F.coalesce("marks", far).alias("t"))
+    there = targets.join(own, ["i", "j"], "left").select("voyage_id", "i", "j", F.coalesce("marks", far).alias("t"))
     # Over a landmark: from the source to it and on to the target.
     over = F.array_min(F.zip_with(F.slice("s", n_marks + 1, n_marks), F.slice("t", 1, n_marks), lambda a, b: a + b))
     least = [F.min(F.col("t")[k]) for k in range(n_marks)]
     greatest = [F.max(F.col("t")[n_marks + k]) for k in range(n_marks)]
     met = here.join(there, "voyage_id").withColumn("ub", over)
-    return met.groupBy("voyage_id").agg(F.array(F.max("ub") * SLACK, *least, *greatest).alias("goal"))
+    n_goals = F.count_distinct(F.struct("i", "j")).cast("double")
+    return met.groupBy("voyage_id").agg(F.array(F.max("ub") * SLACK, n_goals, *least, *greatest).alias("goal"))
+
+
+def plain_goals(targets: DataFrame) -> DataFrame:
+    """(voyage_id, goal) without landmarks."""
+    n_goals = F.count_distinct(F.struct("i", "j")).cast("double")
+    return targets.groupBy("voyage_id").agg(F.array(F.lit(float("inf")), n_goals).alias("goal"))
+
+
+def goal_ends(arcs: DataFrame, targets: DataFrame, batches: int, tile: int) -> DataFrame:
+    """Costs inside its tile from every node to each goal, for ``search``."""
+    # Each goal is searched back from on its own, under a number of its own.
+    numbered = targets.select("voyage_id", "i", "j").withColumn("aim", F.xxhash64("voyage_id", "i", "j"))
+    at = numbered.select(F.col("aim").alias("voyage_id"), F.lit(True).alias("back"), "i", "j", F.lit(0.0).alias("d"))
+    costs = open_tiles(arcs, at, batches, tile).select(F.col("voyage_id").alias("aim"), "i", "j", "d")
+    return numbered.select("voyage_id", "aim").join(costs, "aim").select("voyage_id", F.lit(False).alias("back"), "aim", "i", "j", "d")
 
 
 def lacking(marks: str, goal: str, n_marks: int):
@@ -322,5 +389,5 @@ def lacking(marks: str, goal: str, n_marks: int):
         return F.when(F.isnan(x), F.lit(float("-inf"))).otherwise(x)
 
     m, g = F.col(marks), F.col(goal)
-    bounds = [known(g[1 + k] - m[k]) for k in range(n_marks)] + [known(m[n_marks + k] - g[1 + n_marks + k]) for k in range(n_marks)]
+    bounds = [known(g[2 + k] - m[k]) for k in range(n_marks)] + [known(m[n_marks + k] - g[2 + n_marks + k]) for k in range(n_marks)]
     return F.array_max(F.array(*bounds))

@@ -125,7 +125,9 @@ def cost_distance(
     last_slot = int(checked["last"] or 0)
     at = [F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")]
     begin = sources.select("voyage_id", *at).checkpoint()
-    batches = max(1, -(-begin.select("voyage_id").distinct().count() // batch_voyages))
+    n_voyages = begin.select("voyage_id").distinct().count()
+    # Few voyages are spread over the tasks there are.
+    batches = max(1, -(-n_voyages // batch_voyages), min(n_voyages, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     goals = None if targets is None else targets.select("voyage_id", *at).distinct()
     if slice_len is None:
         dist = _settled(arcs, begin, goals, max_iter, tile, region, batches, directed)
@@ -154,7 +156,7 @@ def _settled(
     """Costs (voyage_id, i, j, dist) by the overlay."""
     graph = overlay.build(arcs, tile, region).checkpoint()
     starts = begin.select("voyage_id", F.lit(False).alias("back"), "i", "j", F.lit(0.0).alias("d"))
-    aims = marks = None
+    aims = marks = ends = None
     spots = overlay.landmark_nodes(arcs) if goals is not None and directed else []
     if goals is not None:
         nodes = arcs.select("i", "j").union(arcs.select("ni", "nj"))
@@ -163,12 +165,16 @@ def _settled(
         marks = overlay.landmarks(arcs, graph, spots, tile, region).checkpoint()
         graph = overlay.with_marks(graph, marks, len(spots), tile).checkpoint()
         aims = overlay.goals(begin, goals, marks, len(spots)).checkpoint()
+    elif goals is not None:
+        aims = overlay.plain_goals(goals).checkpoint()
+    if goals is not None:
+        ends = overlay.goal_ends(arcs, goals, batches, tile).checkpoint()
     first = overlay.open_tiles(arcs, starts, batches, tile)
     if aims is None:
         first = first.withColumn("goal", F.lit(None).cast("array<double>"))
     else:
         first = first.join(aims, "voyage_id", "left")
-    labels = overlay.search(graph, first.checkpoint(), batches, tile, region, max_iter)
+    labels = overlay.search(graph, first.checkpoint(), batches, tile, region, max_iter, ends)
     dist = overlay.open_tiles(arcs, labels.unionByName(starts), batches, tile).select("voyage_id", "i", "j", F.col("d").alias("dist"))
     if goals is None:
         return dist.checkpoint()
@@ -177,7 +183,7 @@ def _settled(
         F.when(F.count("dist") == F.count(F.lit(1)), F.max("dist") * overlay.SLACK).alias("_most")
     )
     lacks = F.lit(0.0)
-    if aims is not None:
+    if spots:
         dist = dist.join(marks, ["i", "j"], "left").join(aims, "voyage_id", "left")
         # A node that no landmark meets is bounded by its cost alone.
         lacks = F.greatest(F.lit(0.0), F.coalesce(overlay.lacking("marks", "goal", len(spots)), F.lit(0.0)))

@@ -146,44 +146,17 @@ LAGGED_SQL = """lagged as (
   left join env_cells b on b.cell_i = e.cell_i and b.cell_j = e.cell_j and b.slot = e.slot - 2)"""
 
 
-@registered(
-    f"""with {LAGGED_SQL} select cell_i, cell_j, slot, {t.fx('sic', 5)} as sic, true as in_range from lagged
-    where slot > 9 and sic_lag1 is not null and sic_lag2 is not null""",
-    ("env_cells",),
-)
-def predict_forest(spark, sf_dir):
-    """Random forest fitted on earlier slots, scored on later ones: a prediction in range for every row."""
-    rows = _model_rows(spark, sf_dir)
-    model = seaice.fit_sea_ice(rows.filter("slot <= 9"), FEATURES, trees=10, depth=4)
-    scored = seaice.predict(model, rows.filter("slot > 9"))
-    in_range = F.coalesce(F.col("sic_pred").between(0.0, 1.0), F.lit(False))
-    return scored.select("cell_i", "cell_j", "slot", fixed(F.col("sic"), 5).alias("sic"), in_range.alias("in_range"))
-
-
-@registered(
-    f"""with {LAGGED_SQL} select slot, count(*) as n, true as closer_than_mean from lagged
-    where slot > 9 and sic_lag1 is not null and sic_lag2 is not null group by 1""",
-    ("env_cells",),
-)
-def predict_boosting_report(spark, sf_dir):
-    """Gradient boosting fitted on earlier slots; rows and whether the error stays below 0.5, by later slot."""
-    rows = _model_rows(spark, sf_dir)
-    model = seaice.fit_sea_ice(rows.filter("slot <= 9"), FEATURES, kind="boosting", trees=5, depth=3)
-    report = seaice.regression_report(seaice.predict(model, rows.filter("slot > 9")), "sic", "sic_pred", ["slot"])
-    return report.select("slot", "n", (F.col("mae") < 0.5).alias("closer_than_mean"))
-
-
 @registered()
-def forest_predictions(spark, sf_dir):
-    """The predictions of predict_forest themselves."""
+def predict_forest(spark, sf_dir):
+    """Random forest fitted on earlier slots, scored on later ones."""
     rows = _model_rows(spark, sf_dir)
     model = seaice.fit_sea_ice(rows.filter("slot <= 9"), FEATURES, trees=10, depth=4)
     return seaice.predict(model, rows.filter("slot > 9")).select("cell_i", "cell_j", "slot", "sic", "sic_pred")
 
 
 @registered()
-def boosting_errors(spark, sf_dir):
-    """Error report of predict_boosting_report, and the error of the training mean, by later slot."""
+def predict_boosting_report(spark, sf_dir):
+    """Gradient boosting fitted on earlier slots: errors by later slot, beside those of the training mean."""
     rows = _model_rows(spark, sf_dir)
     train = rows.filter("slot <= 9")
     model = seaice.fit_sea_ice(train, FEATURES, kind="boosting", trees=5, depth=3)

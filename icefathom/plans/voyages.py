@@ -491,19 +491,17 @@ def _tiled(spark, sf_dir, targets=None):
     if targets is not None:
         at = nodes.filter(targets).select("i", "j")
         wanted = spread.fan_out(at, starts.select("voyage_id").distinct())
-    return pathing.cost_distance(pathing.grid_edges(nodes), starts, tile=16, targets=wanted)
+    return pathing.cost_distance(pathing.grid_edges(nodes), starts, tile=16, targets=wanted, directed=False)
 
 
 @registered(
-    f"""with recursive {EDGES_SQL}, most as (select voyage_id, max(d) as most from dist where j = 25 and i <= 20 group by 1)
-    select d.voyage_id, d.i, d.j, cast(d.d as double) as dist, p.pi, p.pj
-    from dist d join most m on m.voyage_id = d.voyage_id and d.d <= m.most left join pred p
-      on p.voyage_id = d.voyage_id and p.i = d.i and p.j = d.j""",
+    f"""with recursive {EDGES_SQL} select d.voyage_id, d.i, d.j, cast(d.d as double) as dist, p.pi, p.pj
+    from dist d left join pred p using (voyage_id, i, j)""",
     ("grid_nodes",),
 )
 def cost_distance_tiles(spark, sf_dir):
-    """Distances over tiles of 16 x 16 nodes, as far as the dearest of the places asked for."""
-    return _tiled(spark, sf_dir, "j = 25 and i <= 20")
+    """Distances to every node of the whole grid over tiles of 16 x 16 nodes: rims crossed grow with the table."""
+    return _tiled(spark, sf_dir)
 
 
 def _routes_with_misses(dist, at):
@@ -521,7 +519,7 @@ def _routes_with_misses(dist, at):
 
 @registered(
     f"""with recursive {EDGES_SQL}, goal as (select voyage_id, i, j from (select distinct voyage_id from starts) v
-      cross join (select i, j from grid_nodes where j = 25 and i <= 20 union all select -1, -1) g),
+      cross join (select i, j from grid_nodes where j = 25 union all select -1, -1) g),
     walk as (select g.voyage_id, g.i as target_i, g.j as target_j, g.i, g.j, cast(0 as bigint) as back from goal g join dist d using (voyage_id, i, j)
       union all select w.voyage_id, w.target_i, w.target_j, p.pi, p.pj, w.back + 1
         from walk w join pred p on p.voyage_id = w.voyage_id and p.i = w.i and p.j = w.j)
@@ -531,38 +529,11 @@ def _routes_with_misses(dist, at):
     ("grid_nodes",),
 )
 def routes_to_targets(spark, sf_dir):
-    """Routes to the head of a column and to one place outside the grid, which none reaches.
+    """Routes to the whole of a column and to one place outside the grid, which none reaches.
 
     The search stops at the cost of the farthest of the places it can reach.
     """
-    at = "j = 25 and i <= 20"
-    return _routes_with_misses(_tiled(spark, sf_dir, at).checkpoint(), at)
-
-
-@registered(
-    f"""with recursive {EDGES_SQL} select d.voyage_id, d.i, d.j, cast(d.d as double) as dist, p.pi, p.pj
-    from dist d left join pred p using (voyage_id, i, j)""",
-    ("grid_nodes",),
-)
-def cost_distance_tiles_whole(spark, sf_dir):
-    """Distances to every node of the whole grid over tiles of 16 x 16 nodes: rims crossed grow with the table."""
-    return _tiled(spark, sf_dir)
-
-
-@registered(
-    f"""with recursive {EDGES_SQL}, goal as (select voyage_id, i, j from (select distinct voyage_id from starts) v
-      cross join (select i, j from grid_nodes where j = 25 union all select -1, -1) g),
-    walk as (select g.voyage_id, g.i as target_i, g.j as target_j, g.i, g.j, cast(0 as bigint) as back from goal g join dist d using (voyage_id, i, j)
-      union all select w.voyage_id, w.target_i, w.target_j, p.pi, p.pj, w.back + 1
-        from walk w join pred p on p.voyage_id = w.voyage_id and p.i = w.i and p.j = w.j)
-    select voyage_id, target_i, target_j, i, j, max(back) over (partition by voyage_id, target_i, target_j) - back as seq, true as reached from walk
-    union all select voyage_id, i, j, null, null, null, false from goal g where not exists (
-      select 1 from dist d where d.voyage_id = g.voyage_id and d.i = g.i and d.j = g.j)""",
-    ("grid_nodes",),
-)
-def routes_to_column(spark, sf_dir):
-    """Routes to the whole of a column and to one place outside the grid, which none reaches."""
-    return _routes_with_misses(_tiled(spark, sf_dir).checkpoint(), "j = 25")
+    return _routes_with_misses(_tiled(spark, sf_dir, "j = 25").checkpoint(), "j = 25")
 
 
 @registered()
@@ -575,5 +546,5 @@ def voyages_across(spark, sf_dir):
     voyage = F.floor(F.col("i") / 4).cast("bigint").alias("voyage_id")
     starts = nodes.filter("i % 4 = 0 and j = 0").select(voyage, "i", "j")
     goal = nodes.filter("i % 4 = 0 and j = 25").select(voyage, "i", "j")
-    dist = pathing.cost_distance(pathing.grid_edges(nodes), starts, tile=8, targets=goal).checkpoint()
+    dist = pathing.cost_distance(pathing.grid_edges(nodes), starts, tile=8, targets=goal, directed=False).checkpoint()
     return pathing.extract_routes(dist, goal)

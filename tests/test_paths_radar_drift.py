@@ -261,9 +261,9 @@ def test_path_queries_cover_the_grid_and_voyages_grow_with_it(spark):
     nodes = view(spark, WIDER, "grid_nodes")
     column = {r.i for r in nodes.filter("j = 25").select("i").collect()}
     assert max(column) > 20
-    routes_ = QUERIES["routes_to_column"](spark, WIDER).filter("reached").select("voyage_id", "target_i").distinct().collect()
+    routes_ = QUERIES["routes_to_targets"](spark, WIDER).filter("reached").select("voyage_id", "target_i").distinct().collect()
     assert {(r.voyage_id, r.target_i) for r in routes_} == {(v, i) for v in (0, 1) for i in column}
-    assert QUERIES["cost_distance_tiles_whole"](spark, WIDER).count() == 2 * nodes.count()
+    assert QUERIES["cost_distance_tiles"](spark, WIDER).count() == 2 * nodes.count()
 
     steps = {}
     for r in pathing.grid_edges(nodes).collect():
@@ -291,8 +291,55 @@ def test_model_queries_return_predictions_and_errors(spark):
     from icefathom.plans.registry import QUERIES
 
     load_all()
-    rows = QUERIES["forest_predictions"](spark, WIDER).collect()
+    rows = QUERIES["predict_forest"](spark, WIDER).collect()
     assert all(0 <= r.sic_pred <= 1 for r in rows) and len({r.sic_pred for r in rows}) > 1
-    for r in QUERIES["boosting_errors"](spark, WIDER).collect():
+    for r in QUERIES["predict_boosting_report"](spark, WIDER).collect():
         assert r.mae > 0 and r.mean_mae > 0 and r.closer_than_mean == (r.mae < r.mean_mae)
-        print(r)
+
+
+def test_directed_search_over_regions_equals_the_plain_one(spark):
+    """Any region size, few and many batches, one-way edges: same costs; landmarks settle fewer nodes."""
+    draw = random.Random(11)
+    cost = {(i, j): draw.randint(1, 3) + draw.random() for i in range(20) for j in range(14)}
+    rows, graph = [], {}
+    for (i, j), c in cost.items():
+        for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0), (1, 1)):
+            if (i + a, j + b) in cost and draw.random() > 0.05:
+                w = c + cost[(i + a, j + b)]
+                rows.append((i - 5, j, i + a - 5, j + b, w))
+                graph.setdefault((i - 5, j), []).append(((i + a - 5, j + b), w))
+    edges = spark.createDataFrame(rows, "i long, j long, ni long, nj long, w double")
+    begin = [(v, -5 + v, 2 * v) for v in range(6)]
+    goals = [(v, -5 + v + 6, 2 * v + 3) for v in range(6)] + [(0, 12, 12), (5, 999, 999)]
+    starts = spark.createDataFrame(begin, "voyage_id long, i long, j long")
+    wanted = spark.createDataFrame(goals, "voyage_id long, i long, j long")
+    want = {v: dijkstra(graph, (i, j)) for v, i, j in begin}
+    whole = pathing.cost_distance(edges, starts, tile=3, region=3).collect()
+    assert {(r.voyage_id, r.i, r.j) for r in whole} == {(v, *n) for v in want for n in want[v]}
+    assert all(math.isclose(r.dist, want[r.voyage_id][(r.i, r.j)], rel_tol=1e-9) for r in whole)
+    kept = {}
+    for directed in (False, True):
+        near = pathing.cost_distance(edges, starts, tile=3, region=3, targets=wanted, directed=directed, batch_voyages=3).checkpoint()
+        got = {(r.voyage_id, r.i, r.j): r.dist for r in near.collect()}
+        assert all(math.isclose(d, want[v][(i, j)], rel_tol=1e-9) for (v, i, j), d in got.items())
+        assert {(v, i, j) for v, i, j in goals if (i, j) in want[v]} <= set(got)
+        routes_ = pathing.extract_routes(near, wanted, block=10).collect()
+        legs = {}
+        for r in routes_:
+            legs.setdefault((r.voyage_id, r.target_i, r.target_j), []).append((r.seq, (r.i, r.j)))
+        for (v, i, j), leg in legs.items():
+            path = [at for _, at in sorted(leg)]
+            assert path[0] == begin[v][1:] and path[-1] == (i, j)
+            assert math.isclose(sum(dict(graph[x])[y] for x, y in zip(path, path[1:])), want[v][(i, j)], rel_tol=1e-9)
+        kept[directed] = len(got)
+    assert kept[True] < kept[False] < len(whole)
+
+
+def test_routes_refuse_circles_and_gaps(spark):
+    circle = spark.createDataFrame([(1, 0, 0, 0, 1), (1, 0, 1, 0, 0)], "voyage_id long, i long, j long, pi long, pj long")
+    goal = spark.createDataFrame([(1, 0, 0)], "voyage_id long, i long, j long")
+    with pytest.raises(Exception, match="circle"):
+        pathing.extract_routes(circle, goal).collect()
+    gap = circle.filter("j = 0")
+    with pytest.raises(Exception, match="no row"):
+        pathing.extract_routes(gap, goal).collect()
