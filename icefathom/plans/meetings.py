@@ -174,6 +174,47 @@ def collision_watch(spark, sf_dir):
     )
 
 
+REACH_SQL = CPA_SQL.replace(
+    "abs(v.lat - b.lat) < 1.0e0 and ", ""
+).replace(f"\n  where {t.hav('v.lat', 'v.lon', 'b.lat', 'b.lon')} <= 100.0e0", "")
+
+
+def _all_approaches(spark, sf_dir, limit_km):
+    return joins.approaches(
+        inputs.moving_pings(spark, sf_dir), inputs.moving_bergs(spark, sf_dir), 12.0, limit_km, 10800.0, "ping_id", "fix_id"
+    )
+
+
+@registered(
+    f"with {REACH_SQL} select ping_id, fix_id, {t.fx('t_h')} as t_star_h, {t.fx('d_km')} as cpa_km from approach where d_km <= 20.0e0",
+    ("pings", "berg_fixes"),
+)
+def cpa_from_any_distance(spark, sf_dir):
+    """Closest approaches of 20 km or less within 12 h, however far apart the two are now."""
+    a = _all_approaches(spark, sf_dir, 20.0)
+    return a.select(
+        "ping_id", F.col("b_fix_id").alias("fix_id"), fixed(F.col("t_star_h")).alias("t_star_h"), fixed(F.col("cpa_km")).alias("cpa_km")
+    )
+
+
+@registered(
+    f"""with {REACH_SQL}, near as (select * from approach where d_km <= 60.0e0), classed as (
+      select *, case when d_km <= 5.0e0 and t_h <= 1.0e0 then 'critical' when d_km <= 20.0e0 and t_h <= 6.0e0 then 'warning'
+        when d_km <= 60.0e0 and t_h <= 12.0e0 then 'watch' else 'clear' end as risk_class,
+        row_number() over (partition by vessel_id order by d_km, t_h, fix_id) as rn
+      from (select *, row_number() over (partition by vessel_id, berg_id order by d_km, t_h, fix_id) as own from near) a where own = 1)
+    select vessel_id, cast(rn as int) as rank, ping_id, fix_id, risk_class, {t.fx('d_km')} as cpa_km from classed where rn <= 3""",
+    ("pings", "berg_fixes"),
+)
+def collision_watch_any_distance(spark, sf_dir):
+    """The three bergs that come closest to every vessel, from however far."""
+    limits = [("critical", 5.0, 1.0), ("warning", 20.0, 6.0), ("watch", 60.0, 12.0)]
+    top = routes.collision_watch(_all_approaches(spark, sf_dir, 60.0), limits, 3, "vessel_id", "b_fix_id", "b_berg_id")
+    return top.select(
+        "vessel_id", "rank", "ping_id", F.col("b_fix_id").alias("fix_id"), "risk_class", fixed(F.col("cpa_km")).alias("cpa_km")
+    )
+
+
 @registered(
     """select p.ping_id, o.obs_id from pings p join feed_obs o on o.cell = p.vessel_id % 50 and o.regime = 'LIVE'
     and epoch_us(o.ts) - epoch_us(p.ts) between -7200e6 and 3600e6""",

@@ -244,3 +244,33 @@ def test_pairs_in_one_spot_grow_in_proportion(spark):
         made[n] = placed.join(nearest._short_lists(leaves, goals, []), "_cell").count()
     assert made[2000] < 250 * 2000, made
     assert made[2000] < 8 * made[500]
+
+
+def test_approaches_from_any_distance_equal_all_pairs(spark):
+    """Fast ships far from slow bergs, bergs seen earlier or later, unknown velocities: none is missed."""
+    from datetime import datetime
+
+    draw = random.Random(8)
+    shape = "{0} long, ts timestamp, lat double, lon double, x double, y double, vx double, vy double"
+
+    def rows(n, speeds, spread):
+        out = []
+        for i in range(n):
+            x, y = draw.uniform(-spread, spread), 1.5e6 + draw.uniform(-spread, spread)
+            v = draw.choice(speeds)
+            vx, vy = (None, None) if v is None else (v * draw.uniform(-1, 1), v * draw.uniform(-1, 1))
+            out.append((i, datetime(2024, 1, 1, draw.randrange(6), draw.randrange(60)), -75.0 + draw.uniform(-2, 2), 0.0, x, y, vx, vy))
+        return out
+
+    ships, bergs = rows(150, (0.0, 12.0, 40.0, None), 4e5), rows(150, (0.0, 0.4, 3.0, None), 4e5)
+    ships += [(900, datetime(2024, 1, 1, 3), -75.0, 0.0, 0.0, 2.0e6, 0.0, 30.0), (901, datetime(2024, 1, 1, 3), None, 0.0, None, None, 1.0, 1.0)]
+    bergs += [(900, datetime(2024, 1, 1, 3), -75.0, 0.0, 0.0, 2.2e6, 0.0, 0.0)]
+    a = spark.createDataFrame(ships, shape.format("ping_id"))
+    b = spark.createDataFrame(bergs, shape.format("fix_id"))
+    got = {(r.ping_id, r.b_fix_id): r.cpa_km for r in joins.approaches(a, b, 12.0, 15.0, 7200.0, "ping_id", "fix_id").collect()}
+    wide = joins.cpa(a, b.withColumn("lat", F.lit(-75.0)).withColumn("lon", F.lit(0.0)), 12.0, 20_000.0, 7200.0, "ping_id", "fix_id")
+    want = {(r.ping_id, r.b_fix_id): r.cpa_km for r in wide.filter("cpa_km <= 15").collect()}
+    assert got == want and len(want) > 20
+    assert got[(900, 900)] == pytest.approx(0.0, abs=1e-6)
+    assert (900, 900) not in {(r.ping_id, r.b_fix_id) for r in joins.cpa(a, b.withColumn("lat", F.lit(-73.0)), 12.0, 100.0, 7200.0, "ping_id", "fix_id").collect()}
+    assert joins.approaches(a.limit(0), b, 12.0, 15.0, 7200.0, "ping_id", "fix_id").count() == 0
