@@ -83,7 +83,7 @@ def test_cost_distance_refuses(spark):
     src = spark.createDataFrame([(1, 0, 0)], "voyage_id long, i long, j long")
     chain = spark.createDataFrame([(i, 0, i + 1, 0, 1.0) for i in range(40)], "i long, j long, ni long, nj long, w double")
     with pytest.raises(RuntimeError):
-        pathing.cost_distance(chain, src, max_iter=2, tile=2)
+        pathing.cost_distance(chain, src, max_iter=2, tile=2, region=2)
     with pytest.raises(ValueError):
         pathing.cost_distance(chain.withColumn("w", F.lit(0.0)), src)
 
