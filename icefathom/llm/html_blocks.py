@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 # Element classes of HTML, fixed values.
@@ -33,13 +34,82 @@ _TOKENS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
+#: Kinds of class, id and role words: the kind, and the beginnings of words that show it.
+KINDS = {
+    "ad": ("ad", "ads", "adv", "advert", "sponsor", "promo", "banner", "doubleclick"),
+    "menu": ("nav", "navigation", "menu", "breadcrumb", "pagination", "pager", "toc", "tabs", "toolbar"),
+    "top": ("header", "masthead", "branding", "logo", "topbar"),
+    "bottom": ("footer", "copyright", "legal", "contentinfo", "colophon"),
+    "side": ("sidebar", "aside", "widget", "complementary", "rail", "related", "recommend", "popular", "trending", "teaser"),
+    "notice": ("cookie", "consent", "notice", "gdpr", "popup", "modal", "overlay", "alert", "dialog", "paywall"),
+    "form": ("form", "search", "login", "signup", "subscribe", "newsletter", "register"),
+    "talk": ("comment", "comments", "disqus", "respond", "reply", "replies", "discussion"),
+    "share": ("share", "sharing", "social", "follow", "tweet", "like", "author", "byline", "meta", "tags"),
+    "body": ("content", "article", "post", "entry", "story", "main", "body", "text", "prose"),
+}
+_SHORT = frozenset(("ad", "ads", "adv", "nav", "top", "toc"))
+#: Elements and kinds whose text is not main text even inside an article.
+APART = frozenset("nav header footer aside form button select menu dialog label legend fieldset option".split())
+APART_KINDS = frozenset(("ad", "menu", "side", "notice", "form", "talk", "share", "bottom"))
+
+
+@lru_cache(maxsize=1 << 14)
+def kinds_of(words: str) -> frozenset[str]:
+    """Kinds that the class, id and role words of an element show."""
+    found = set()
+    for word in words.replace("_", " ").replace("-", " ").split():
+        for kind, stems in KINDS.items():
+            if any(word == s or (s not in _SHORT and word.startswith(s)) for s in stems):
+                found.add(kind)
+    return frozenset(found)
+
+
+class Place:
+    """An open element with what its ancestors say, shared by all blocks below it.
+
+    ``tags`` and ``kinds`` are the sets of all ancestors; a place that adds nothing holds its
+    parent's set, so that deep pages cost one small object an element. ``part`` is the innermost
+    element that sets text apart or opens main text, ``within`` the last other one around it,
+    and ``marked`` whether the markup labels the text as main (None outside ``article`` and
+    ``main``).
+    """
+
+    __slots__ = ("tag", "tags", "kinds", "part", "within", "marked")
+
+    def __init__(self, tag: str, words: str, above: Place | None):
+        own = kinds_of(words) if words else frozenset()
+        tags, kinds = (above.tags, above.kinds) if above else (frozenset(), frozenset())
+        self.tag = tag
+        self.tags = tags if tag in tags else tags | {tag}
+        self.kinds = kinds if own <= kinds else kinds | own
+        self.part, self.within, self.marked = (above.part, above.within, above.marked) if above else ("none", "none", None)
+        kind = min(own & APART_KINDS, default=None)
+        main = tag in ("article", "main")
+        if tag == "body":
+            part = None  # class words of the whole page say nothing on a part of it
+        elif kind:
+            part = f"kind {kind}"
+        elif tag in APART:
+            part = tag
+        else:
+            part = "main" if main else "body" if "body" in own else None
+        if part and part != self.part:
+            self.part, self.within = part, self.part
+        if main or self.marked is not None:
+            self.marked = self.marked is not False and not (part and part not in ("main", "body"))
+
+    @property
+    def signs(self) -> tuple:
+        return self.tags, self.kinds, self.tag, self.part, self.within
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, the characters of it inside links, and its ancestors."""
+    """A leaf block: its text, the characters of it inside links, and the element around it."""
 
     text: str
     linked: int
-    path: tuple[tuple[str, str], ...]  # (tag, class, id and role words) from the root down
+    place: Place | None
 
 
 def _tag_end(html: str, at: int, no_more: dict[str, int]) -> int:
@@ -71,7 +141,8 @@ def _tag_end(html: str, at: int, no_more: dict[str, int]) -> int:
 def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page in page order; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Place] = []
+    depths: dict[str, list[int]] = {}  # where the open elements of each name stand in the stack
     text: list[str] = []
     linked, in_link = 0, False
     no_more: dict[str, int] = {}
@@ -82,18 +153,18 @@ def blocks(html: str) -> list[Block]:
             joined = "".join(text)
             clean = " ".join((unescape(joined) if "&" in joined else joined).split())
             if clean:
-                out.append(Block(clean, min(linked, len(clean)), tuple(stack)))
+                out.append(Block(clean, min(linked, len(clean)), stack[-1] if stack else None))
             text.clear()
         linked = 0
 
+    def innermost(names: tuple[str, ...] | frozenset[str]) -> int:
+        return max((depths[name][-1] for name in names if depths.get(name)), default=-1)
+
     def close(names: tuple[str, ...], until: frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            name = stack[depth][0]
-            if name in names:
-                del stack[depth:]
-                return
-            if name in until:
-                return
+        depth = innermost(names)
+        if depth >= 0 and depth >= innermost(until):
+            while len(stack) > depth:
+                depths[stack.pop().tag].pop()
 
     at, size = 0, len(html)
     while at < size:
@@ -132,8 +203,7 @@ def blocks(html: str) -> list[Block]:
         if closing:
             if name in BLOCK:
                 flush()
-                if any(open_tag == name for open_tag, _ in stack):
-                    close((name,), frozenset())
+                close((name,), frozenset())
                 in_link = False
             continue
         if name in RAW:
@@ -155,6 +225,7 @@ def blocks(html: str) -> list[Block]:
         if name not in VOID:
             attributes = html[match.end() : end]
             words = " ".join(a or b or c for a, b, c in _TOKENS.findall(attributes)).lower() if "=" in attributes else ""
-            stack.append((name, words))
+            depths.setdefault(name, []).append(len(stack))
+            stack.append(Place(name, words, stack[-1] if stack else None))
     flush()
     return out

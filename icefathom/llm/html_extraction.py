@@ -5,10 +5,12 @@ ancestors' tags, the kinds of their class, id and role words, and its text: leng
 share of links, punctuation, place in the page. Two labels, main text or not, with a
 weight for each pair of neighbours; trained by maximum likelihood, decoded by Viterbi.
 
-Training pages: a bounded sample of the table (``SAMPLE_PAGES``, chosen by hash) whose
-markup labels it (an ``article`` or ``main`` element, without what its own markup sets
-apart), and ``BUILT_PAGES`` built pages that label the parts the sample may lack: side
-bars, notices, forms, reader comments, pages without an article element.
+Training pages: a bounded sample of the table (``SAMPLE_PAGES`` of at most ``SAMPLE_CHARS``
+characters, chosen by hash) whose markup labels it (an ``article`` or ``main`` element,
+without what its own markup sets apart), and ``BUILT_PAGES`` built pages that label the
+parts the sample may lack, in and outside an article: side bars, notices, forms, reader
+comments, menus and footers, pages without an article element. The built pages weigh as
+much as the sample, whatever its length.
 
 Defined cases: a null or empty page has an empty text, as has a page without main text.
 Pages of any length are read whole. A page without any tag is one block. Repeated rows
@@ -30,45 +32,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from icefathom.llm.columns import shield
-from icefathom.llm.html_blocks import Block, blocks
+from icefathom.llm.html_blocks import KINDS, Block, Place, blocks
 
 SAMPLE_PAGES = 200
-BUILT_PAGES = 400
-#: Kinds of class, id and role words: the kind, and the beginnings of words that show it.
-KINDS = {
-    "ad": ("ad", "ads", "adv", "advert", "sponsor", "promo", "banner", "doubleclick"),
-    "menu": ("nav", "navigation", "menu", "breadcrumb", "pagination", "pager", "toc", "tabs", "toolbar"),
-    "top": ("header", "masthead", "branding", "logo", "topbar"),
-    "bottom": ("footer", "copyright", "legal", "contentinfo", "colophon"),
-    "side": ("sidebar", "aside", "widget", "complementary", "rail", "related", "recommend", "popular", "trending", "teaser"),
-    "notice": ("cookie", "consent", "notice", "gdpr", "popup", "modal", "overlay", "alert", "dialog", "paywall"),
-    "form": ("form", "search", "login", "signup", "subscribe", "newsletter", "register"),
-    "talk": ("comment", "comments", "disqus", "respond", "reply", "replies", "discussion"),
-    "share": ("share", "sharing", "social", "follow", "tweet", "like", "author", "byline", "meta", "tags"),
-    "body": ("content", "article", "post", "entry", "story", "main", "body", "text", "prose"),
-}
-_SHORT = frozenset(("ad", "ads", "adv", "nav", "top", "toc"))
-#: Elements whose text is not main text even inside an article, for the labels of sampled pages.
-APART = frozenset("nav header footer aside form button select menu dialog label legend fieldset option".split())
-APART_KINDS = frozenset(("ad", "menu", "side", "notice", "form", "talk", "share"))
-
-
-def kinds_of(words: str) -> frozenset[str]:
-    """Kinds that the class, id and role words of an element show."""
-    found = set()
-    for word in words.replace("_", " ").replace("-", " ").split():
-        for kind, stems in KINDS.items():
-            if any(word == s or (s not in _SHORT and word.startswith(s)) for s in stems):
-                found.add(kind)
-    return frozenset(found)
-
-
-def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    """Features of a block's ancestors."""
-    out = [f"has {tag}" for tag in sorted({tag for tag, _ in path})]
-    out += [f"kind {kind}" for kind in sorted({k for _, words in path if words for k in kinds_of(words)})]
-    out.append(f"in {path[-1][0]}" if path else "in nothing")
-    return out
+BUILT_PAGES = 600
+#: Parts that do not set their text apart.
+OPEN_PARTS = frozenset(("none", "main", "body"))
+#: Pages longer than this do not train; so the sample is bounded in bytes too.
+SAMPLE_CHARS = 1 << 18
+
+
+def path_features(place: Place | None) -> list[str]:
+    """Features of a block's ancestors.
+
+    Next to what is anywhere above: the innermost part that sets text apart or opens main text,
+    alone and with the part around it, so that a side bar inside an article is told from the
+    article's own text however often the training pages show the latter.
+    """
+    if place is None:
+        return ["in nothing", "part none", "part none within none"]
+    out = [f"has {tag}" for tag in sorted(place.tags)] + [f"kind {kind}" for kind in sorted(place.kinds)]
+    out += [f"in {place.tag}", f"part {place.part}", f"part {place.part} within {place.within}"]
+    # The same without the kind, so that rare kinds learn from all others.
+    inner, outer = place.part not in OPEN_PARTS, place.within not in OPEN_PARTS
+    return out + [f"apart {inner} within {outer}"] + ["is apart"] * inner
 
 
 def text_features(block: Block, place: int, total: int) -> list[str]:
@@ -94,12 +81,13 @@ class Field:
 
     def score(self, block: Block, place: int, total: int) -> float:
         """Log odds of main text before the neighbours are heard."""
-        of_path = self._paths.get(block.path)
+        signs = block.place.signs if block.place else None
+        of_path = self._paths.get(signs)
         if of_path is None:
             if len(self._paths) > 50_000:
                 self._paths.clear()
-            of_path = sum(self.weights.get(f, 0.0) for f in path_features(block.path))
-            self._paths[block.path] = of_path
+            of_path = sum(self.weights.get(f, 0.0) for f in path_features(block.place))
+            self._paths[signs] = of_path
         return of_path + sum(self.weights.get(f, 0.0) for f in text_features(block, place, total))
 
     def decode(self, page: list[Block]) -> list[bool]:
@@ -124,12 +112,7 @@ class Field:
 
 def markup_labels(page: list[Block]) -> list[bool] | None:
     """Labels that the markup itself gives; None if it sets no main text apart."""
-    out = []
-    for block in page:
-        at = next((i for i, (tag, _) in enumerate(block.path) if tag in ("article", "main")), None)
-        inside = block.path[at:] if at is not None else ()
-        apart = any(tag in APART or kinds_of(words) & APART_KINDS for tag, words in inside)
-        out.append(bool(inside) and not apart)
+    out = [bool(block.place and block.place.marked) for block in page]
     return out if any(out) else None
 
 
@@ -156,15 +139,24 @@ def built_page(draw: random.Random) -> list[tuple[str, list[bool]]]:
 
     def apart(kind: str) -> tuple[str, list[bool]]:
         tags = {"menu": "nav", "top": "header", "bottom": "footer", "side": "aside", "form": "form"}
-        tag, name = (tags[kind], None) if kind in tags and draw.random() < 0.5 else ("div", kind)
+        tag, name = (tags[kind], None) if kind in tags and draw.random() < 0.5 else (draw.choice(("div", "section")), kind)
+        if kind == "control":
+            control = draw.choice(("button", "select", "dialog", "fieldset", "menu"))
+            if control == "select":
+                n = draw.randint(1, 4)
+                return "<select>" + "".join(f"<option>{some(1, 3)}" for _ in range(n)) + "</select>", [False] * n
+            return f"<{control}>{draw.choice((some(1, 4), sentence()))}</{control}>", [False]
         if kind == "menu" or (kind == "side" and draw.random() < 0.5):
             inside, n = links()
         elif kind == "bottom":
             inside, n = "&copy; " + draw.choice((some(1, 4), sentence())), 1
-        elif kind == "form":
+        elif kind == "form" and draw.random() < 0.6:
             inside, n = f"<label>{some(1, 3)}</label><input><button>{some(1, 2)}</button>", 2
         elif kind == "top":
             inside, n = f"<h1>{some(1, 4)}</h1><p>{some(2, 8)}</p>", 2
+        elif kind == "talk" and draw.random() < 0.3:
+            n = draw.randint(1, 3)
+            inside = "".join(f"<article><p>{sentence()}</p></article>" for _ in range(n))
         elif draw.random() < 0.5:
             n = draw.randint(1, 4)
             inside = "".join(f"<p>{sentence()}</p>" for _ in range(n))
@@ -189,12 +181,16 @@ def built_page(draw: random.Random) -> list[tuple[str, list[bool]]]:
     for kind in ("notice", "top", "menu", "ad", "form", "side"):
         if draw.random() < 0.5:
             parts.append(apart(kind))
-    body = [paragraph() for _ in range(draw.randint(1, 12))]
-    if draw.random() < 0.7:
+    body = [paragraph() for _ in range(draw.choice((1, 1, 2, 3, draw.randint(1, 12))))]
+    if draw.random() < 0.6:
         body.insert(0, (f"<h1>{some(1, 10)}</h1>", [True]))
-    for kind in ("ad", "share", "side", "form", "talk"):
-        if draw.random() < 0.2:
-            body.insert(draw.randint(0, len(body)), apart(kind))
+    often = draw.choice((0.0, 0.15, 0.5))
+    for kind in ("ad", "share", "side", "form", "talk", "menu", "bottom", "notice", "control"):
+        if draw.random() < often:
+            markup, labels = apart(kind)
+            if draw.random() < 0.3:  # a wrapper that says nothing
+                markup = f"<{(tag := draw.choice(('div', 'section')))}>{markup}</{tag}>"
+            body.insert(draw.randint(0, len(body)), (markup, labels))
     shape = draw.random()
     opening = "<article>" if shape < 0.4 else "<main>" if shape < 0.55 else f'<div class="{word("body")}">' if shape < 0.85 else "<div>"
     parts += [(opening, []), *body, ("</article>" if shape < 0.4 else "</main>" if shape < 0.55 else "</div>", [])]
@@ -218,8 +214,14 @@ def built_pages(n: int = BUILT_PAGES) -> list[tuple[list[Block], list[bool]]]:
     return out
 
 
-def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, penalty: float = 0.05) -> Field:
-    """Maximum likelihood weights, by gradient steps of adapted size over all pages at once."""
+def train(
+    pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, penalty: float = 0.05, shares: list[float] | None = None
+) -> Field:
+    """Maximum likelihood weights, by gradient steps of adapted size over all pages at once.
+
+    ``shares`` says how often each page counts (once by default).
+    """
+    shares = [share for share, (p, _) in zip(shares or [1.0] * len(pages), pages) if p]
     pages = [(p, y) for p, y in pages if p]
     names: dict[str, int] = {}
     features, begins, lengths, gold = [], [0], [], []
@@ -227,11 +229,12 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, penalt
         lengths.append(len(page))
         gold += labels
         for i, block in enumerate(page):
-            own = path_features(block.path) + text_features(block, i, len(page))
+            own = path_features(block.place) + text_features(block, i, len(page))
             features += [names.setdefault(f, len(names)) for f in own]
             begins.append(len(features))
     index, bounds = np.array(features), np.array(begins)
     truth = np.array(gold, float)
+    counted = np.repeat(np.array(shares), lengths)
     lengths = np.array(lengths)
     heads = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     owner = np.repeat(np.arange(len(truth)), np.diff(bounds))
@@ -244,7 +247,7 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, penalt
     follows[heads] = False
     after = np.flatnonzero(follows)
     seen_pairs = np.zeros((2, 2))
-    np.add.at(seen_pairs, (truth[after - 1].astype(int), truth[after].astype(int)), 1)
+    np.add.at(seen_pairs, (truth[after - 1].astype(int), truth[after].astype(int)), counted[after])
     state = [np.zeros(len(names)), np.zeros((2, 2)), 0.0]
     for _ in range(rounds):
         unary = np.zeros((len(truth), 2))
@@ -263,11 +266,12 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 150, penalt
         total = np.logaddexp.reduce(both, axis=1)
         chance = np.exp(both[:, 1] - total)
         edge = forward[after - 1][:, :, None] + pairs[None] + (unary[after] + backward[after])[:, None, :]
-        expected = np.exp(edge - total[after][:, None, None]).sum(axis=0)
+        expected = (np.exp(edge - total[after][:, None, None]) * counted[after][:, None, None]).sum(axis=0)
+        missed = counted * (truth - chance)
         slopes = [
-            np.bincount(index, weights=(truth - chance)[owner], minlength=len(names)) - penalty * weights,
+            np.bincount(index, weights=missed[owner], minlength=len(names)) - penalty * weights,
             seen_pairs - expected - penalty * pairs,
-            float((truth - chance)[heads].sum()) - penalty * start,
+            float(missed[heads].sum()) - penalty * start,
         ]
         steps = []
         for i, slope in enumerate(slopes):
@@ -286,7 +290,7 @@ def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int
     total = pages.count()
     share = int(min(1.0, sample / max(total, 1)) * (1 << 30))
     draw = F.xxhash64(F.col(key).cast("string"))
-    few = pages.filter(F.col(key).isNotNull() & (F.pmod(draw, F.lit(1 << 30)) < share))
+    few = pages.filter(F.col(key).isNotNull() & (F.coalesce(F.length(html), F.lit(0)) <= SAMPLE_CHARS) & (F.pmod(draw, F.lit(1 << 30)) < share))
     chosen = few.orderBy(draw, key).limit(2 * sample).select(html).collect()
     labelled = []
     for row in sorted(chosen, key=lambda r: r[0] or ""):
@@ -294,7 +298,10 @@ def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int
         labels = markup_labels(page)
         if labels:
             labelled.append((page, labels))
-    return train(labelled + built_pages())
+    built = built_pages()
+    # Blocks of both halves count alike: clean articles of the table do not outvote the built parts.
+    many, few = sum(len(p) for p, _ in labelled), sum(len(p) for p, _ in built)
+    return train(labelled + built, shares=[few / max(many, 1)] * len(labelled) + [1.0] * len(built))
 
 
 def main_text(html: str | None, model: Field) -> str:

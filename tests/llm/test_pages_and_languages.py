@@ -116,7 +116,56 @@ def test_broken_markup_and_odd_pages(model):
     assert texts("") == [] and html_extraction.main_text(None, model) == ""
     assert texts("plain text") == ["plain text"]
     assert len(blocks("<p>x" * 20_000)) == 20_000
-    assert blocks('<a b="' * 3000) == blocks("<" * 3000 + "a") == [] or True
+    assert texts('<a b="' * 3000) == []  # a tag that never ends takes the rest with it
+    assert texts("<" * 3000 + "a") == ["<" * 2999]
+    assert [b.place and b.place.tag for b in blocks("x<p>y</p>")] == [None, "p"]
+
+
+PARTS = [
+    "<aside>You may also like this other story of ours today.</aside>",
+    '<section class="comments">Great post, I liked it a lot and shared it.</section>',
+    '<section id="comments"><article><p>Great post, I liked it a lot and shared it.</p></article></section>',
+    "<footer>Filed by the newsroom. All rights reserved by the owner.</footer>",
+    "<nav><ul><li><a href='#'>Back</a></li><li><a href='#'>Next page</a></li></ul></nav>",
+    "<form><label>Your mail address</label><input><button>Sign up now</button></form>",
+    "<button>Read it aloud</button>",
+    "<select><option>First choice<option>Second choice</select>",
+    '<div class="newsletter">Get the best of our stories by mail every week.</div>',
+    '<div class="share-buttons"><a href="#">Share this</a></div>',
+    '<div class="ad">Buy this wonderful thing now, it is cheap.</div>',
+    '<div id="cookie-consent"><p>We use cookies to improve what you see here.</p></div>',
+    '<div><div class="sidebar"><p>Some other stories that many people read today.</p></div></div>',
+]
+
+
+@pytest.fixture(scope="module")
+def fitted(spark, small):
+    return html_extraction.fit(spark.read.parquet(f"{small}/pages.parquet"))
+
+
+@pytest.mark.parametrize("part", PARTS)
+@pytest.mark.parametrize("opening", ["<article>", "<main>", '<div class="post-content">'])
+def test_parts_inside_an_article_go_and_its_text_stays(fitted, part, opening):
+    """With the field that the query fits, whose sampled pages have clean articles only."""
+    first, last = "The only paragraph of a short article.", "A second one follows, and it says a little more than the first."
+    close = "</" + opening[1:].split()[0].rstrip(">") + ">"
+    top, end = "<html><body><nav><ul><li><a href='/'>Home</a></ul></nav>", close + "<footer>&copy; someone</footer></body></html>"
+    for before, after in (([first], []), ([], [first]), ([first], [last]), ([first, last], [])):
+        made = "".join(f"<p>{p}</p>" for p in before) + part + "".join(f"<p>{p}</p>" for p in after)
+        assert html_extraction.main_text(top + opening + made + end, fitted) == "\n".join(before + after)
+
+
+def test_deep_and_long_pages(fitted):
+    from time import perf_counter
+
+    start = perf_counter()
+    deep = blocks("<div>x" * 100_000)
+    assert len(deep) == 100_000 and deep[-1].place.tags == {"div"}
+    assert len({id(b.place.tags) for b in deep}) == 1  # all share one set
+    assert perf_counter() - start < 20
+    page = "<html><body><article>" + "".join(f"<p>Paragraph {i} of a very long story.</p>" for i in range(80_000)) + "</article>"
+    assert len(page) > 3_000_000
+    assert html_extraction.main_text(page, fitted).count("\n") == 79_999
 
 
 def test_held_out_pages_are_labelled_right(model):
