@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from icefathom.operators.clusters import connected
+from icefathom.session import ensure_checkpoint_dir
+
 TILE = 512
 
 
@@ -98,6 +101,47 @@ def detections_to_cells(hits: DataFrame, size: int) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n_hits"), F.max("p").alias("peak"), F.avg("p").alias("mean_p"))
 
 
+def detection_objects(hits: DataFrame) -> DataFrame:
+    """One row per object: hits that touch along an edge or a corner, over any border of tiles.
+
+    Hits of a row that stand side by side are one run, so a large target is few nodes; runs
+    meet those of the next row through the columns they touch, an equi-join that stays in
+    proportion to the hits; objects are the connected components. ``object_r`` and ``object_c``
+    name the object by its first pixel; ``centre`` is weighted by the signal (by the pixels
+    where the signal sums to zero).
+    """
+    row = W.partitionBy("scene", "r").orderBy("c")
+    clean = hits.filter("scene is not null and r is not null and c is not null and p is not null")
+    runs = (
+        clean.withColumn("_island", F.col("c") - F.row_number().over(row))
+        .groupBy("scene", "r", "_island")
+        .agg(
+            F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), F.max("p").alias("peak"),
+            F.sum("p").alias("p"), F.sum(F.col("p").cast("double") * F.col("c")).alias("pc"), F.sum("c").alias("cs"),
+        )
+        .drop("_island")
+        .withColumn("run", F.struct("scene", "r", "c0"))
+    )
+    ensure_checkpoint_dir(hits.sparkSession)
+    runs = runs.checkpoint()
+    upper = runs.select("scene", (F.col("r") + 1).alias("r"), F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("c"), F.col("run").alias("a"))
+    lower = runs.select("scene", "r", F.explode(F.sequence("c0", "c1")).alias("c"), F.col("run").alias("b"))
+    roots = connected(upper.join(lower, ["scene", "r", "c"]).select("a", "b").distinct())
+    named = runs.join(roots.withColumnRenamed("node", "run"), "run", "left").withColumn("root", F.coalesce("root", "run"))
+    p, n = F.sum("p").cast("double"), F.sum("n")
+    return (
+        named.groupBy("root")
+        .agg(
+            n.alias("n_pixels"), F.max("peak").alias("peak"), F.min("r").alias("r_min"), F.max("r").alias("r_max"),
+            F.min("c0").alias("c_min"), F.max("c1").alias("c_max"),
+            F.when(p != 0, F.sum(F.col("p").cast("double") * F.col("r")) / p).otherwise(F.sum(F.col("n") * F.col("r")) / n).alias("centre_r"),
+            F.when(p != 0, F.sum("pc") / p).otherwise(F.sum("cs") / n).alias("centre_c"),
+        )
+        .select("root.scene", F.col("root.r").alias("object_r"), F.col("root.c0").alias("object_c"), "*")
+        .drop("root")
+    )
+
+
 def lead_runs(pixels: DataFrame, max_p: float, min_len: int) -> DataFrame:
     """Runs of neighbouring dark pixels along a row: candidate leads.
 

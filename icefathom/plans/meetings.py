@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from icefathom.functions import geo
 from icefathom.functions.numeric import fixed
-from icefathom.operators import drift, geometry, joins, nearest, routes
+from icefathom.operators import clusters, drift, geometry, joins, nearest, routes
 from icefathom.plans import inputs
 from icefathom.plans import sqltext as t
 from icefathom.plans.registry import registered
@@ -299,6 +299,28 @@ def berg_density(spark, sf_dir):
     return _density(spark, sf_dir)
 
 
+@registered(
+    f"""with recursive spots as (select fix_id, {t.px('lat', 'lon')} as x, {t.py('lat', 'lon')} as y from berg_fixes),
+    near as (select a.fix_id, b.fix_id as other from spots a join spots b
+      on b.x between a.x - 60000.0e0 and a.x + 60000.0e0 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3.6e9),
+    core as (select fix_id from near group by 1 having count(*) >= 4),
+    links as (select n.fix_id, n.other from near n join core c on c.fix_id = n.fix_id join core d on d.fix_id = n.other),
+    reach as (select fix_id, fix_id as root from core
+      union select l.other, r.root from reach r join links l on l.fix_id = r.fix_id),
+    named as (select fix_id, min(root) as cluster_id from reach group by 1),
+    edge as (select n.fix_id, min(k.cluster_id) as cluster_id from near n join named k on k.fix_id = n.other
+      where n.fix_id not in (select fix_id from core) group by 1)
+    select s.fix_id, case when k.fix_id is not null then 'core' when e.fix_id is not null then 'border'
+      when s.x is not null then 'noise' end as kind, coalesce(k.cluster_id, e.cluster_id) as cluster_id
+    from spots s left join named k on k.fix_id = s.fix_id left join edge e on e.fix_id = s.fix_id""",
+    ("berg_fixes",),
+)
+def berg_clusters(spark, sf_dir):
+    """Clusters of berg fixes by density, across cells: four fixes within 60 km of each other's core."""
+    b = geometry.project_3031(inputs.bergs(spark, sf_dir).select("fix_id", "lat", "lon"))
+    return clusters.density_clusters(b, 60_000.0, 4, "fix_id").select("fix_id", "kind", "cluster_id")
+
+
 @registered(
     f"""with {DENSITY_SQL},
     centres as (select cell_i, cell_j, (cell_i + 0.5e0) * 50000.0e0 as x, (cell_j + 0.5e0) * 50000.0e0 as y

@@ -63,6 +63,26 @@ def detections_to_cells(spark, sf_dir):
     return cells.withColumn("mean_p", fixed(F.col("mean_p")))
 
 
+@registered(
+    f"""with recursive {CFAR_SQL}, hits as (select scene, r, c, p from cfar where hit),
+    touch as (select a.scene, a.r, a.c, b.r as nr, b.c as nc from hits a join hits b
+      on b.scene = a.scene and b.r between a.r - 1 and a.r + 1 and b.c between a.c - 1 and a.c + 1),
+    reach as (select scene, r, c, r as fr, c as fc from hits
+      union select t.scene, t.nr, t.nc, x.fr, x.fc from reach x join touch t on t.scene = x.scene and t.r = x.r and t.c = x.c),
+    named as (select h.*, (select min(struct_pack(r := x.fr, c := x.fc)) from reach x
+      where x.scene = h.scene and x.r = h.r and x.c = h.c) as root from hits h)
+    select scene, root.r as object_r, root.c as object_c, cast(count(*) as bigint) as n_pixels, max(p) as peak, min(r) as r_min,
+      max(r) as r_max, min(c) as c_min, max(c) as c_max, {t.fx('sum(cast(p as double) * r) / sum(cast(p as double))')} as centre_r,
+      {t.fx('sum(cast(p as double) * c) / sum(cast(p as double))')} as centre_c
+    from named group by 1, 2, 3""",
+    ("sar_pixels",),
+)
+def detection_objects(spark, sf_dir):
+    """Radar objects: touching hits as one target with its extent, peak and centre."""
+    found = radar.detection_objects(_hits(spark, sf_dir).filter("hit"))
+    return found.withColumns({"centre_r": fixed(F.col("centre_r")), "centre_c": fixed(F.col("centre_c"))})
+
+
 @registered(
     """with dark as (select *, c - row_number() over (partition by scene, r order by c) as island from sar_pixels where p <= 18000000)
     select scene, r, min(c) as c_start, max(c) as c_end, count(*) as length, min(p) as darkest from dark
