@@ -22,7 +22,8 @@ only that one takes part in the sorts.
 
 Defined cases: null, empty and shorter texts have no spans. Rows with a null key are left
 as they are. Rows with equal keys and equal texts are one document; equal keys with
-different texts are told apart by their digest. Texts are read whole. Other input columns
+different texts are told apart by their digest, and where such texts share a passage at
+the same place the least digest counts as the earlier one. Texts are read whole. Other input columns
 stay in ``cut``, whatever they are called, and do not pass through ``repeats``.
 """
 
@@ -83,11 +84,14 @@ def _tables(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(prefix, tag, key, digest, at): the retained suffixes; equal documents have equal tags."""
+    """(prefix, tag, key, mark, at): the retained suffixes; equal documents have equal tags.
+
+    ``mark`` is the hash of the text as it stands, which finds it again among others of its key.
+    """
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for part in slices(batch.column(1)):
                 found = words(part, ~BLANKS, EXACT_VALUES)
                 places, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -105,14 +109,14 @@ def _suffixes(docs: DataFrame, key: str, text: str) -> DataFrame:
                         pa.array(prefix.view(np.int64)),
                         pa.array(tag.view(np.int64)),
                         pa.array(keys[part.first : part.last][of].astype(np.int64)),
-                        pa.array(digest),
+                        pa.array(marks[part.first : part.last][of]),
                         pa.array(local.astype(np.int32)),
                     ],
-                    ["prefix", "tag", "key", "digest", "at"],
+                    ["prefix", "tag", "key", "mark", "at"],
                 )
 
-    kept = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), text)
-    return kept.mapInArrow(batches, "prefix long, tag long, key long, digest long, at int")
+    kept = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), text, F.xxhash64(text))
+    return kept.mapInArrow(batches, "prefix long, tag long, key long, mark long, at int")
 
 
 def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,15 +154,12 @@ def _windows(joined: DataFrame) -> DataFrame:
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            keys, digests, spots = (batch.column(i) for i in (0, 1, 2))
-            keys, digests = keys.to_numpy(), digests.to_numpy()
-            for part in slices(batch.column(3)):
+            keys, spots = batch.column(0).to_numpy(), batch.column(1)
+            for part in slices(batch.column(2)):
                 found = words(part, ~BLANKS, EXACT_VALUES)
                 own = _digests(found)
                 for i, (a, b) in enumerate(zip(found.bounds[:-1], found.bounds[1:])):
                     row = part.first + i
-                    if own[i] != digests[row]:
-                        continue  # another text under the same key
                     hashes = found.hashes[a:b]
                     wanted = np.zeros(len(hashes), bool)
                     wanted[spots[row].values.to_numpy()] = True
@@ -168,36 +169,36 @@ def _windows(joined: DataFrame) -> DataFrame:
                         [
                             pa.array(made),
                             pa.array(np.full(len(first), keys[row])),
-                            pa.array(np.full(len(first), digests[row])),
+                            pa.array(np.full(len(first), own[i])),
                             pa.array(first.astype(np.int32)),
                         ],
                         ["window", "key", "digest", "first"],
                     )
 
-    return joined.select("key", "digest", "spots", "text").mapInArrow(batches, "window long, key long, digest long, first int")
+    return joined.select("key", "spots", "text").mapInArrow(batches, "window long, key long, digest long, first int")
 
 
 def _compared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (window, key, first): 0 repeats, 1 the task's first row, 2 its last."""
+    """Of rows sorted by (window, key, first, digest): 0 repeats, 1 the task's first row, 2 its last."""
     last, flag, tail = None, False, None
     for batch in rows:
         if not batch.num_rows:
             continue
-        window, key, first = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        window, key, digest, first = (batch.column(i).to_numpy() for i in range(4))
         same = np.zeros(len(window), bool)
         new = np.ones(len(window), bool)
         same[1:] = window[1:] == window[:-1]
-        new[1:] = ~same[1:] | (key[1:] != key[:-1]) | (first[1:] != first[:-1])
+        new[1:] = ~same[1:] | (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (digest[1:] != digest[:-1])
         kind = np.where(same & new, 0, -1)
         if last is None:
             kind[0] = 1
         else:
             same[0] = last[0] == window[0]
-            new[0] = not same[0] or last[1:] != (key[0], first[0])
+            new[0] = not same[0] or last[1:] != (key[0], first[0], digest[0])
             kind[0] = 0 if same[0] and (new[0] or flag) else -1
         # A repeated row is what its left neighbour is.
         kind = kind[np.maximum.accumulate(np.where(new, np.arange(len(kind)), 0))]
-        last, flag, tail = (window[-1], key[-1], first[-1]), kind[-1] == 0, batch.slice(len(window) - 1)
+        last, flag, tail = (window[-1], key[-1], first[-1], digest[-1]), kind[-1] == 0, batch.slice(len(window) - 1)
         keep = kind >= 0
         if keep.any():
             yield pa.RecordBatch.from_arrays(
@@ -220,15 +221,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     suffixes = _suffixes(docs, key, text).repartitionByRange("prefix", "tag", "key").sortWithinPartitions("prefix", "tag", "key")
     kept = suffixes.mapInArrow(_shared, suffixes.schema)
-    spots = kept.groupBy("key", "digest").agg(F.collect_set("at").alias("spots"))
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    order = ["window", "key", "first"]
-    extended = _windows(spots.join(texts, "key")).repartitionByRange(*order).sortWithinPartitions(*order)
+    spots = kept.groupBy("key", "mark").agg(F.collect_set("at").alias("spots"))
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    order = ["window", "key", "first", "digest"]
+    extended = _windows(spots.join(texts, ["key", "mark"])).repartitionByRange(*order).sortWithinPartitions(*order)
     rows = extended.mapInArrow(_compared, "window long, key long, digest long, first int, kind int").checkpoint()
 
     edge, lasts = rows.filter("kind = 1"), rows.filter("kind = 2")
-    before = lasts.select("window", F.struct("key", "first").alias("place"))
-    late = edge.join(before, "window").filter(F.col("place") < F.struct("key", "first"))
+    before = lasts.select("window", F.struct(*order[1:]).alias("place"))
+    late = edge.join(before, "window").filter(F.col("place") < F.struct(*order[1:]))
     found = rows.filter("kind = 0").select("key", "digest", "first").union(late.select("key", "digest", "first"))
 
     run = Window.partitionBy("key", "digest").orderBy("first")

@@ -242,3 +242,25 @@ def test_repeats_of_odd_tables(docs):
     assert cut == [(0, body), (1, "short other text"), (1, body), (1, body), (2, "a b")]
     named = suffix_dedup.cut(df.withColumnsRenamed({"source": "spans", "lang": "digest"}), suffix_dedup.repeats(df))
     assert {(r["spans"], r["digest"]) for r in named.collect()} == {("s", "en")}
+
+
+@pytest.mark.parametrize("before", [0, 1])
+def test_texts_of_one_id_that_share_a_passage(docs, before):
+    """One of them keeps it, at one place of all texts or at different ones."""
+    draw = random.Random(4)
+    body = text(draw, 60)
+    own = lambda i, n, side: " ".join(f"{side}{i}x{k}" for k in range(n))  # noqa: E731  no other text has these
+    rows = [(7, " ".join(filter(None, [own(i, 3 * before * i, "l"), body, own(i, 5, "r")]))) for i in range(50)]
+    rows += [(9, "x " + body), (7, text(draw, 80)), rows[0]]  # a later id, one without the passage, a repeated row
+    df = docs(rows)
+    found = suffix_dedup.repeats(df).collect()
+    assert len(found) == 52
+    spans = [[(s["start"], s["end"]) for s in r["spans"]] for r in found if r["doc_id"] == 7]
+    places = [(3 * before * i, 3 * before * i + 60) for i in range(50)]
+    cut_away = sorted(s[0] for s in spans if s)
+    assert all(len(s) < 2 for s in spans) and len(cut_away) == 49
+    assert cut_away == sorted(places)[1:]  # by place in the text the first one stays
+    assert [(s["start"], s["end"]) for r in found if r["doc_id"] == 9 for s in r["spans"]] == [(1, 61)]
+    left = [r["text"] for r in suffix_dedup.cut(df, suffix_dedup.repeats(df)).collect()]
+    # At different places the first row keeps it, and so does its repetition.
+    assert sum(body in t for t in left) == 1 + before and len(left) == 53

@@ -19,6 +19,18 @@ LICENCES = [
 ]
 
 
+def test_an_id_labelled_both_ways_counts_as_bad(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "quality").filter("quality is not null")
+    both = labels.union(labels.filter("quality = 0").selectExpr("doc_id", "1 as quality"))
+    shuffled = both.repartition(5, "quality").orderBy("quality", ascending=False)
+
+    def kept(table):
+        return sorted(map(tuple, quality_rules.judge(rows, table).select("doc_id", "score", "kept").collect()))
+
+    assert kept(both) == kept(shuffled)
+
+
 def test_licences(docs, samples):
     rows = LICENCES + [(k + 100, t) for k, t in samples]
     got = license_scan.scan(docs(rows)).drop("lang", "source", "n_chars").collect()
