@@ -30,10 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether decoding them gives the text back."""
+    """Token ids of every document, whether decoding gives the text back, and parity with SentencePiece."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.round_trip(docs, sentencepiece_codec.read_model(PIECE_MODEL))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "exact", "ids")
+    coded = sentencepiece_codec.round_trip(docs, sentencepiece_codec.read_model(PIECE_MODEL), compare=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "exact", F.col("same").alias("parity"), "ids")
 
 
 @_query

@@ -35,6 +35,51 @@ def test_round_trip_reports_changed_texts(docs, model):
     assert [out[k]["exact"] for k in (1, 2, 3, 4)] == [True, False, None, True]
 
 
+def test_words_apart_give_the_ids_of_whole_texts(docs, samples, model, monkeypatch):
+    """Also where the table of known words overflows, and where words end in markers."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = [t for _, t in samples] + ODD + ["a▁ b", "a ▁", "▁▁ ▁", " x", "x  ", "é" * 300 + " " + "漢" * 300, "a " * 3000]
+    for kept in (codec.KEPT_WORDS, 50):
+        monkeypatch.setattr(codec, "KEPT_WORDS", kept)
+        made = codec.codec_of.__wrapped__(model, 2, True)
+        for i in range(0, len(texts), 40):
+            part = texts[i : i + 40]
+            ids = made.encode(part)
+            assert ids.to_pylist() == [None if t is None else own.encode(t) for t in part]
+            assert made.same(part, ids) == [None if t is None else True for t in part]
+        assert len(made.known) < len(set(" ".join(t or "" for t in texts).split(" "))) or kept > 50
+
+
+def test_words_unlike_the_library_are_told(docs, model):
+    made = codec.codec_of.__wrapped__(model, 2, True)
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[1] for _ in texts]
+
+        def piece_to_id(self, piece):
+            return -1
+
+    made.own = Other()
+    texts = ["one two", None, ""]
+    assert made.same(texts, made.encode(texts)) == [False, None, True]
+
+
+def test_registered_codec_query_has_parity_for_every_document(spark):
+    from icefathom.llm.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = QUERIES["op1_sentencepiece"](spark, sf_dir).select("doc_id", "parity", "exact").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert r["parity"] == (None if text is None else True)
+        assert r["exact"] == (None if text is None else "▁" not in text)
+
+
 def test_unigram_models_have_the_library_ids():
     import io
 
@@ -55,7 +100,7 @@ def test_unigram_models_have_the_library_ids():
     own = sentencepiece.SentencePieceProcessor(model_proto=raw)
     made = codec.codec_of(raw)
     for text in ("the cats", "  the   cat ", "thé cat", "sat at the"):
-        assert made.encode([text])[0] == own.encode(text)
+        assert made.encode([text]).to_pylist()[0] == own.encode(text)
     assert io is not None
 
 
