@@ -15,6 +15,7 @@ from icefathom.plans.registry import registered
 from icefathom.plans.views import over, view
 from icefathom.plans.voyages import _surface
 from icefathom.session import ensure_checkpoint_dir
+from icefathom.sources import state
 from icefathom.streaming import telemetry as live
 
 CFAR_SQL = """boxes as (
@@ -273,16 +274,27 @@ def stream_clean_pings(spark, sf_dir):
     return _run(spark, clean.select("vessel_id", "ping_id", "t_s", "status"))
 
 
-@registered(
-    """select vessel_id, ping_id, t_s, status from (select *, row_number() over (
-    partition by vessel_id order by ts desc, ping_id desc) as rn from pings) p where rn = 1""",
-    ("pings",),
-)
+LATEST_SQL = """select vessel_id, ping_id, t_s, status from (select *, row_number() over (
+    partition by vessel_id order by ts desc, ping_id desc) as rn from pings) p where rn = 1"""
+
+
+@registered(LATEST_SQL, ("pings",))
 def latest_state(spark, sf_dir):
     p = _live_pings(spark, sf_dir, False).select("vessel_id", "ts", "ping_id", "t_s", "status")
     return live.latest_state(p).select("vessel_id", "ping_id", "t_s", "status")
 
 
+@registered(LATEST_SQL, ("pings",))
+def stream_latest_state(spark, sf_dir):
+    """The same rows from a table that a stream keeps."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = _live_pings(spark, sf_dir, True).select("vessel_id", "ts", "ping_id", "t_s", "status")
+    each = state.upsert_batches(f"{folder}/state", ["vessel_id"], ["ts", "ping_id"])
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return state.read_state(spark, f"{folder}/state").drop("ts")
+
+
 def _windows_sql(size_h: int, slide_h: int, closed_before_h: int | None = None) -> str:
     size, slide = size_h * DAY_H, slide_h * DAY_H
     closed = (

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from icefathom.operators.quality import fix_rules, tag_reasons
 from icefathom.operators.spread import block_join, latest_by
 
+#: A batch whose pings are in more slots than these reads all slots between the first and the last.
+MOST_SLOTS = 256
+
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Event time as a zoned timestamp."""
@@ -107,13 +110,13 @@ def enrich_stream(
 
 def enrich_batches(
     surface_path: str, on: list[str], limit: float, sink: Callable[[DataFrame, int], None], value: str = "cost",
-    profile: str | None = None,
+    profile: str | None = None, slot: str = "slot",
 ) -> Callable[[DataFrame, int], None]:
     """Function for ``foreachBatch``: joins each micro-batch with the newest stored surface.
 
     The surface is a folder of versions (``risk.store_surface``), partitioned by profile and
     slot; every batch lists it afresh, reads the newest version only, and of that the slots
-    its pings are in. An older version stays until readers are done with it. ``sink`` gets
+    its pings are in (from the first to the last, if they are more than ``MOST_SLOTS``). An older version stays until readers are done with it. ``sink`` gets
     the alerts and the batch number, by which a repeated batch can overwrite itself.
     """
 
@@ -124,11 +127,22 @@ def enrich_batches(
         current = stored.filter(F.col("version") == newest)
         if profile is not None:
             current = current.filter(F.col("profile") == profile)
+        if slot in on:
+            current = current.filter(_in_slots(batch, slot))
         sink(enrich_stream(batch, current.select(*on, value), on, limit, value), number)
 
     return each
 
 
+def _in_slots(batch: DataFrame, slot: str) -> Column:
+    """Condition on the slots of a batch as literals, so that other slots' files are not read."""
+    found = [r[0] for r in batch.select(slot).filter(F.col(slot).isNotNull()).distinct().limit(MOST_SLOTS + 1).collect()]
+    if len(found) <= MOST_SLOTS:
+        return F.col(slot).isin(found)
+    first, last = batch.agg(F.min(slot), F.max(slot)).first()
+    return F.col(slot).between(first, last)
+
+
 def late_rows(query) -> int:
     """Rows that a running or finished stream has dropped as too late, of the progress it still holds."""
     return sum(

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from icefathom.sources import state
 from icefathom.streaming import telemetry as live
 
 T0 = datetime(2024, 1, 1)
@@ -136,3 +137,64 @@ def test_enrichment_sees_a_new_surface(spark, tmp_path):
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert seen == {0: {2, 3}, 1: set()}
+
+
+def test_stream_keeps_a_table(spark, tmp_path):
+    """Newest rows over several batches; old versions stay readable until they are swept out."""
+    stream, path = feed(spark, tmp_path / "in", BATCHES), str(tmp_path / "state")
+    each = state.upsert_batches(path, ["vessel_id"], ["ts", "ping_id"], buckets=4)
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert state.state_versions(spark, path) == [0, 1, 2, 3]
+    latest = live.latest_state(spark.read.parquet(str(tmp_path / "in")))
+    cols = ["vessel_id", "ts", "ping_id", "status"]
+    assert sorted(state.read_state(spark, path).select(cols).collect()) == sorted(latest.select(cols).collect())
+    assert {r.vessel_id: r.ping_id for r in state.read_state(spark, path, 0).collect()} == {1: 1, 2: 3}
+    assert state.vacuum_state(spark, path, keep=1) > 0
+    assert state.state_versions(spark, path) == [3]
+    assert sorted(state.read_state(spark, path).select(cols).collect()) == sorted(latest.select(cols).collect())
+
+
+def test_repeated_and_broken_batches_change_nothing(spark, tmp_path):
+    path = str(tmp_path / "state")
+    each = state.upsert_batches(path, ["k"], ["t"], buckets=8)
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, t long, v string")
+    read = lambda: sorted(map(tuple, state.read_state(spark, path).collect()), key=str)
+    with pytest.raises(ValueError):
+        state.read_state(spark, path)
+    each(rows(), 0)
+    each(rows((1, 1, "a"), (2, 1, "b"), (None, 1, "n")), 1)
+    each(rows((1, 5, "c"), (1, 4, "older"), (3, 1, "d")), 2)
+    after = read()
+    assert after == sorted([(1, 5, "c"), (2, 1, "b"), (3, 1, "d"), (None, 1, "n")], key=str)
+    each(rows((1, 9, "again")), 2)  # a number that is done
+    assert read() == after
+    rows((1, 99, "half")).write.parquet(f"{path}/data/3/_bucket=0")  # data without a manifest
+    assert read() == after
+    each(rows((2, 1, "tie"), (4, 1, "e")), 3)
+    assert read() == sorted([(1, 5, "c"), (2, 1, "tie"), (3, 1, "d"), (4, 1, "e"), (None, 1, "n")], key=str)
+    with pytest.raises(ValueError):
+        state.upsert_batches(path, ["k"], ["t"], buckets=9)(rows((1, 1, "x")), 4)
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    path = str(tmp_path / "state")
+    each = state.upsert_batches(path, ["k"], ["t"], buckets=32)
+    each(spark.range(1000).select(F.col("id").alias("k"), F.lit(0).alias("t")), 0)
+    each(spark.createDataFrame([(7, 1)], "k long, t int"), 1)
+    assert len(list((tmp_path / "state" / "data" / "0").glob("_bucket=*"))) == 32
+    assert len(list((tmp_path / "state" / "data" / "1").glob("_bucket=*"))) == 1
+    assert state.read_state(spark, path).count() == 1000
+
+
+def test_enrichment_reads_the_slots_of_the_batch(spark, tmp_path):
+    pings = spark.createDataFrame([(1, 3), (2, 5), (3, None)], "cell long, slot long")
+    path = str(tmp_path / "surface")
+    surface = spark.range(20).select(F.lit(1).alias("version"), F.col("id").alias("slot"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("cell"), F.lit(9.0).alias("cost"))
+    surface.write.partitionBy("version", "slot").parquet(path)
+    seen = []
+    each = live.enrich_batches(path, ["cell", "slot"], 5.0, lambda alerts, n: seen.append((sorted((r.cell, r.slot) for r in alerts.collect()), len(alerts.inputFiles()))))
+    each(pings, 0)
+    assert seen[0][0] == [(1, 3), (2, 5)]
+    plan = spark.read.parquet(path).filter(live._in_slots(pings, "slot"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [slot" in plan and "IN (3,5)" in plan
