@@ -11,8 +11,8 @@ counts as one blank.
 
 Items of 48 bytes or more use q = 12, shorter ones q = 6, and items below 16 bytes must
 stand there unchanged. The benchmark travels to the tasks in blocks of at most
-``BLOCK_BYTES`` of text; a larger benchmark makes several passes over the documents, so
-no broadcast grows with it.
+``BLOCK_BYTES`` of text; a larger benchmark makes several passes over the documents, each
+stored before the next block is read, so that neither driver nor broadcasts grow with it.
 
 Defined cases: a null or empty text holds nothing; a null or blank item is nowhere; items
 with equal texts are all reported. Texts are read whole. Repeated rows give repeated
@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from icefathom.llm.batches import BLANKS, EXACT_VALUES, Texts, run_hashes, slices
 from icefathom.llm.columns import shield
+from icefathom.session import ensure_checkpoint_dir
 
 #: One edit is allowed for so many bytes of an item.
 BYTES_PER_EDIT = 16
@@ -252,24 +253,24 @@ class Benchmark:
         return [[(*key, edits) for key, edits in sorted(spots.items())] for spots in found]
 
 
-def _blocks(bench: DataFrame, key: str, text: str) -> list[Benchmark]:
-    """The benchmark in blocks of about BLOCK_BYTES, by hash."""
-    kept = bench.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+def find(docs: DataFrame, bench: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Adds ``spans``: every place of the text where a benchmark item stands.
+
+    A benchmark of one block is searched when the result is read. Of a larger one each block
+    (by hash) is read, searched and its result stored before the next one is read.
+    """
+    docs, restore = shield(docs, (text,), ("spans",))
+    out = docs.withColumn("spans", F.lit(None).cast(SPANS))
+    kept = bench.select(F.col(item_key).cast("long").alias("key"), F.col(item_text).alias("text")).distinct()
     total = kept.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
-    blocks = []
+    if n > 1:
+        ensure_checkpoint_dir(docs.sparkSession)
     for b in range(n):
         own = kept if n == 1 else kept.filter(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == b)
-        blocks.append(Benchmark([(r["key"], r["text"]) for r in own.collect()]))
-    return blocks
-
-
-def find(docs: DataFrame, bench: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Adds ``spans``: every place of the text where a benchmark item stands."""
-    docs, restore = shield(docs, (text,), ("spans",))
-    out = docs.withColumn("spans", F.lit(None).cast(SPANS))
-    for block in _blocks(bench, item_key, item_text):
-        out = _search(out, block, text)
+        out = _search(out, Benchmark([(r["key"], r["text"]) for r in own.collect()]), text)  # about BLOCK_BYTES
+        if n > 1:
+            out = out.checkpoint()
     return restore(out.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS))))
 
 
@@ -282,7 +283,7 @@ def _search(docs: DataFrame, block: Benchmark, text: str) -> DataFrame:
             at, old = (batch.schema.get_field_index(c) for c in (text, "spans"))
             made = [s for part in slices(batch.column(at)) for s in block.spans(part, indexes)]
             before = batch.column(old).to_pylist()
-            both = [[tuple(x.values()) for x in b or []] + m for b, m in zip(before, made)]
+            both = [sorted([tuple(x.values()) for x in b or []] + m) for b, m in zip(before, made)]
             new = pa.array([[dict(zip(("item_id", "start", "end", "edits"), x)) for x in spots] for spots in both], kind)
             yield batch.set_column(old, "spans", new)
 

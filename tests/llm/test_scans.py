@@ -1,6 +1,9 @@
 """Licence scan, quality rules and decontamination against brute force."""
 
+import gc
+import random
 import re
+import weakref
 from collections import Counter
 
 from icefathom.llm import decontamination, license_scan, quality_rules
@@ -174,6 +177,67 @@ def test_leaks_equal_brute_force_over_the_table(spark, docs, samples, small, mon
             assert edits(item, place) == s["edits"] <= len(item) // decontamination.BYTES_PER_EDIT
 
 
+def test_edited_items_are_found_as_brute_force_finds_them(spark, docs, small):
+    """Every item that stands somewhere within its budget of edits, and no other."""
+    rng = random.Random(5)
+    bench = spark.read.parquet(f"{small}/benchmark.parquet").filter("length(text) >= 16").orderBy("item_id").limit(12)
+    items = {r["item_id"]: decontamination.plain(r["text"]) for r in bench.collect()}
+    rows = []
+    for item_id, item in items.items():
+        body, budget = item.decode(), len(item) // decontamination.BYTES_PER_EDIT
+        for share in (0.5, 1.0, 1.0, 1.3, 2.0):
+            chars = list(body)
+            for _ in range(round(budget * share)):
+                at = rng.randrange(len(chars))
+                chars[at : at + 1] = rng.choice([["#"], [], [chars[at], "#"]])
+            rows.append((len(rows), f"some words first {''.join(chars)} and more words"))
+    want = set()
+    for doc_id, text in rows:
+        for item_id, item in items.items():
+            if least_edits(item, decontamination.plain(text)) <= len(item) // decontamination.BYTES_PER_EDIT:
+                want.add((doc_id, item_id))
+    got = {(r["doc_id"], s["item_id"]) for r in decontamination.find(docs(rows), bench).collect() for s in r["spans"]}
+    assert got == want
+    assert len(items) * 2 < len(want) < len(rows) * len(items)
+
+
+def test_blocks_are_read_one_after_the_other(spark, docs, monkeypatch):
+    """The same spans as in one pass; an earlier block is searched before a later one is made."""
+    texts = [f"{ITEM} number {i} of the items, each with {i * 7919} words of its own" for i in range(40)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 5, "item_id long, text string")
+    rows = [(i, f"before {t} after") for i, t in enumerate(texts[:20])] + [(99, None), (99, "")]
+    spans = lambda: sorted((r["doc_id"], r["text"] or "", [tuple(s) for s in r["spans"]]) for r in decontamination.find(docs(rows), bench).collect())
+    once = spans()
+    assert sum(len(s) for _, _, s in once) >= 20
+    made = []
+
+    def counted(block):
+        # Only the last block may still be on the driver, as its variable holds it.
+        gc.collect()
+        assert sum(x() is not None for x in made) <= 1
+        found = own(block)
+        made.append(weakref.ref(found))
+        return found
+
+    own = decontamination.Benchmark
+
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(decontamination, "Benchmark", counted)
+    assert spans() == once
+    assert len(made) > 4
+
+
+def least_edits(item, text):
+    """Least edit distance of the item to any stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
