@@ -7,8 +7,9 @@ shard that has room. All keys of a cell meet the shards in one order, so the ove
 is settled between cells: one aggregate gives the load of each cell, the settlement
 (at most ``cells`` x ``shards`` numbers, whatever the size of the table) says which part
 of each cell goes where, and rows pick their part by their rank in the cell. Ranks come
-from windows over (cell, bucket) with as many buckets as the counted rows ask for, so no
-window grows with the table.
+from windows over (cell, bucket) with as many buckets as the counted rows ask for. Rows equal
+in every column are ranked as one row with its count and made again in bounded pieces, so no
+window grows with the table. (Columns of a type that cannot be grouped, maps, are not taken.)
 
 With ``slack`` 0 the capacities are the exact shares (counts at most one apart). A larger
 slack leaves more keys where the plain ring puts them and moves fewer when a shard joins.
@@ -29,6 +30,8 @@ from icefathom.llm.columns import shield
 
 #: Rows that one ranking window should hold, about.
 BUCKET_ROWS = 200_000
+#: Equal rows that one task makes again in a piece.
+PIECE_ROWS = 100_000
 
 
 def ring_hash(*keys: Column) -> Column:
@@ -106,6 +109,20 @@ def capacities(total: int, shards: int, slack: float) -> list[int]:
     return [share + int(share * slack) for share in exact]
 
 
+def _expanded(ranked: DataFrame) -> DataFrame:
+    """One row for each of the ``_n`` equal rows, ranked from ``_rank`` on.
+
+    More than PIECE_ROWS of them are cut into pieces that are dealt to other tasks first.
+    """
+    last = F.col("_rank") + F.col("_n") - 1
+    many = F.col("_n") > PIECE_ROWS
+    few = ranked.filter(~many).withColumn("_end", last)
+    pieces = ranked.filter(many).withColumn("_end", last).withColumn("_rank", F.explode(F.sequence("_rank", "_end", F.lit(PIECE_ROWS).cast("long"))))
+    pieces = pieces.withColumn("_end", F.least(F.col("_rank") + PIECE_ROWS - 1, "_end")).repartition("_rank")
+    both = few.unionByName(pieces)
+    return both.withColumn("_rank", F.explode(F.sequence("_rank", "_end"))).drop("_n", "_end")
+
+
 def assign(
     docs: DataFrame,
     shards: int,
@@ -126,13 +143,16 @@ def assign(
 
     tied = ring_hash(F.col(key), *[F.col(c) for c in tie])
     placed = placed.withColumn("_bucket", (tied % buckets).cast("int"))
-    window = Window.partitionBy("_cell", "_bucket").orderBy("_place", key, *tie)
-    ranked = placed.withColumn("_rank", F.row_number().over(window).cast("long") - 1)
+    # Equal rows are counted and ranked as one, whatever their number.
+    counted = placed.groupBy(*placed.columns).agg(F.count("*").alias("_n"))
+    window = Window.partitionBy("_cell", "_bucket").orderBy("_place", key, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("_rank", F.coalesce(F.sum("_n").over(window), F.lit(0)))
     if buckets > 1:
-        sizes = placed.groupBy("_cell", "_bucket").agg(F.count("*").alias("_n"))
+        sizes = placed.groupBy("_cell", "_bucket").agg(F.count("*").alias("_size"))
         running = Window.partitionBy("_cell").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.select("_cell", "_bucket", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+        sizes = sizes.select("_cell", "_bucket", F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_before"))
         ranked = ranked.join(sizes, ["_cell", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before")
+    ranked = _expanded(ranked)
     # At most cells x shards parts, so this table's size does not depend on the data.
     table = spark.createDataFrame(
         [(p.cell, p.shard, p.low, p.high, p.base) for p in parts],

@@ -1,5 +1,6 @@
 """SentencePiece codec against the library itself, and the ring against its law."""
 
+import zlib
 from collections import Counter
 
 import pytest
@@ -158,6 +159,38 @@ def test_ring_equals_brute_force_also_in_many_buckets(spark, docs, monkeypatch):
     assert len({(r["shard"], r["slot"]) for r in rows}) == 600
 
 
+def test_repeated_rows_are_ranked_once_and_made_again(docs, monkeypatch):
+    """A third of the rows is one row: in pieces and whole, in one bucket and in many."""
+    rows = [(7, "same")] * 200 + [(i, f"t{i}") for i in range(400)]
+    whole = Counter((r["doc_id"], r["shard"]) for r in placed(docs(rows), shards=3))
+    for piece, bucket in ((7, 200_000), (1, 50), (100_000, 50)):
+        monkeypatch.setattr(sharding, "PIECE_ROWS", piece)
+        monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket)
+        got = placed(docs(rows), shards=3)
+        assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in rows)
+        for s in range(3):
+            assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(200))
+        if bucket == 200_000:
+            assert Counter((r["doc_id"], r["shard"]) for r in got) == whole
+
+
+def test_registered_sharding_query_keeps_its_contract(spark):
+    from icefathom.llm.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = QUERIES["op2_sharding"](spark, sf_dir).collect()
+    want = Counter()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        data = (r["text"] or "").encode()
+        want[r["doc_id"], len(data) + 1, zlib.crc32(data)] += 1
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+    counts = Counter(r["shard"] for r in rows)
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+    for shard, n in counts.items():
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(n))
+
+
 def test_few_keys_move_when_a_shard_joins(docs):
     df = docs([(i, "x") for i in range(4000)])
     old = {r["doc_id"]: r["shard"] for r in placed(df, shards=8, slack=0.25)}
